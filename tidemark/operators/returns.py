@@ -6,6 +6,8 @@ calendar and windows partitioned by key stay small at any data size.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.finance import NORMAL_1PCT, TRADING_DAYS, annualise, daily_rate, ratio
@@ -136,8 +138,8 @@ def price_features(bars: DataFrame, grid: Grid, *, by: str = "symbol", risk_free
 
     Row-count features are trailing, so they are computed once per bar from
     cumulative sums and picked at the as-of edge.  Features that depend on the
-    path inside the calendar window (drawdown, quantiles, RSI) are folded over
-    the key's bars, held as one array whose length the calendar bounds.
+    path inside the calendar window (drawdown, quantiles, RSI) come from one
+    Arrow batch per key, see ``path_features``.
     """
     keys = [by]
     w = history(keys)
@@ -200,68 +202,60 @@ def price_features(bars: DataFrame, grid: Grid, *, by: str = "symbol", risk_free
           .withColumn("sharpe_63d", ratio(F.col("_mean_63") - daily_rate(rf), F.col("_sd_63")) * root)
           .withColumn("var_normal_1pct", F.col("_mean_252") - NORMAL_1PCT * F.col("_sd_252"))
           .withColumn("vol_ratio_21_252", ratio(F.col("vol_21d"), F.col("vol_252d"))))
-    paths = path_features(base, at, by, window_months)
+    paths = path_features(base, by, grid, window_months)
     at = at.join(paths, [by, "as_of"], "left").withColumn("var_gap", F.col("var_hist_1pct") - F.col("var_normal_1pct"))
     return at.drop(*[c for c in at.columns if c.startswith("_")], "rn", "rate")
 
 
-def path_features(base: DataFrame, at: DataFrame, by: str, window_months: int) -> DataFrame:
-    """Drawdowns, historical VaR, shortfall and RSI at each edge.
+def path_features(base: DataFrame, by: str, grid: Grid, window_months: int) -> DataFrame:
+    """Drawdowns, historical VaR, shortfall and RSI at each as-of edge.
 
-    Per key: one array of bars and one array of edges; every edge is a fold
-    over a slice of the bars inside the row, so bars are never replicated.
+    These depend on the path inside a window, so they run as one Arrow batch
+    per key: a key's bars are daily, so a group is bounded by the calendar.
     """
-    bars = base.groupBy(by).agg(F.array_sort(F.collect_list(
-        F.struct("rn", "date", F.col("adj_close").alias("p"), F.col("lr").alias("r")))).alias("bars"))
-    picks = at.groupBy(by).agg(F.collect_list(F.struct("as_of", "rn")).alias("picks"))
-
-    def worst(xs: Column) -> Column:
-        zero = F.struct(F.lit(None).cast("double").alias("peak"), F.lit(0.0).alias("dd"))
-        return F.aggregate(
-            xs, zero,
-            lambda s, x: F.struct(
-                F.greatest(s["peak"], x["p"]).alias("peak"),
-                F.least(s["dd"], x["p"] / F.greatest(s["peak"], x["p"]) - 1).alias("dd")),
-            lambda s: s["dd"])
-
-    def quantile(sorted_xs: Column, level: float) -> Column:
-        pos = (F.size(sorted_xs) - 1) * F.lit(level)
-        lo = F.floor(pos).cast("int")
-        a = F.get(sorted_xs, lo)
-        b = F.get(sorted_xs, F.least(lo + 1, F.size(sorted_xs) - 1))
-        return a + (b - a) * (pos - lo)
-
-    def rsi(xs: Column) -> Column:
-        a = 1.0 / 14
-        state = F.struct(F.lit(None).cast("double").alias("p"), F.lit(None).cast("double").alias("g"),
-                         F.lit(None).cast("double").alias("l"))
-
-        def step(s: Column, x: Column) -> Column:
-            d = x["p"] - s["p"]
-            up, down = F.greatest(d, F.lit(0.0)), F.greatest(-d, F.lit(0.0))
-            nothing = s["p"].isNull()
-            return F.struct(
-                x["p"].alias("p"),
-                F.when(nothing, s["g"]).otherwise(F.coalesce((1 - a) * s["g"] + a * up, up)).alias("g"),
-                F.when(nothing, s["l"]).otherwise(F.coalesce((1 - a) * s["l"] + a * down, down)).alias("l"))
-
-        value = F.aggregate(xs, state, step, lambda s: F.when(s["l"] == 0, F.lit(100.0))
-                            .otherwise(100 - 100 / (1 + s["g"] / s["l"])))
-        return F.when(F.size(xs) >= 15, value)
-
-    def one(e: Column) -> Column:
-        upto = F.slice(F.col("bars"), 1, e["rn"])
-        window = F.filter(upto, lambda x: x["date"] >= F.add_months(e["as_of"], -window_months))
-        last = F.slice(F.col("bars"), F.greatest(e["rn"] - 251, F.lit(1)), F.least(e["rn"], F.lit(252)))
-        rs = F.array_sort(F.filter(F.transform(last, lambda x: x["r"]), lambda v: v.isNotNull()))
-        q = quantile(rs, 0.01)
-        tail = F.filter(rs, lambda v: v <= quantile(rs, 0.01))
-        es = F.aggregate(tail, F.lit(0.0), lambda s, v: s + v) / F.nullif(F.size(tail), F.lit(0))
-        return F.struct(e["as_of"].alias("as_of"), q.alias("var_hist_1pct"), es.alias("expected_shortfall"),
-                        worst(last).alias("max_drawdown_252d"), worst(window).alias("max_drawdown_full"),
-                        rsi(window).alias("rsi_14d"))
-
-    return bars.join(picks, by).select(by, F.inline(F.transform("picks", one)))
+    points = pd.date_range(grid.start, grid.end, freq=f"{grid.step}D")
+    starts = (points - pd.DateOffset(months=window_months)).to_numpy()
+    points = points.to_numpy()
+    decay = 13.0 / 14.0
+
+    def worst(p: np.ndarray) -> float:
+        return float((p / np.maximum.accumulate(p) - 1).min())
+
+    def rsi(p: np.ndarray) -> float:
+        if len(p) < 15:
+            return np.nan
+        d = np.diff(p)
+        weight = decay ** np.arange(len(d) - 1, -1, -1) / 14.0
+        weight[0] *= 14.0
+        gain, loss = float(weight @ np.maximum(d, 0)), float(weight @ np.maximum(-d, 0))
+        return 100.0 if loss == 0 else 100 - 100 / (1 + gain / loss)
+
+    def per_key(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        days = pd.to_datetime(pdf["date"]).to_numpy()
+        p, r = pdf["p"].to_numpy(float), pdf["r"].to_numpy(float)
+        ends, begins = np.searchsorted(days, points, "left"), np.searchsorted(days, starts, "left")
+        rows = []
+        for as_of, end, begin in zip(points, ends, begins):
+            if end - begin < 1:
+                continue
+            lo = max(end - 252, 0)
+            rs = r[lo:end]
+            rs = rs[np.isfinite(rs)]
+            q = float(np.quantile(rs, 0.01)) if len(rs) else np.nan
+            es = float(rs[rs <= q].mean()) if len(rs) else np.nan
+            rows.append((pdf[by].iloc[0], as_of, q, es, worst(p[lo:end]), worst(p[begin:end]), rsi(p[begin:end])))
+        out = pd.DataFrame(rows, columns=[by, "as_of", "var_hist_1pct", "expected_shortfall",
+                                          "max_drawdown_252d", "max_drawdown_full", "rsi_14d"])
+        out["as_of"] = pd.to_datetime(out["as_of"]).dt.date
+        return out
+
+    kind = base.schema[by].dataType.simpleString()
+    schema = (f"{by} {kind}, as_of date, var_hist_1pct double, expected_shortfall double, "
+              "max_drawdown_252d double, max_drawdown_full double, rsi_14d double")
+    out = (base.select(by, "date", F.col("adj_close").alias("p"), F.col("lr").alias("r"))
+           .groupBy(by).applyInPandas(per_key, schema))
+    return out.select(by, "as_of", *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in out.columns[2:]])
 
 
 def index_features(indices: DataFrame, grid: Grid, keys: list[str], risk_free: DataFrame | None = None) -> DataFrame:

@@ -116,8 +116,8 @@ def _(spark, sf):
 m AS (SELECT d.symbol, d.source, g.as_of, w.ds, date_diff('day', CAST(g.as_of - to_months(w.a) AS DATE), CAST(g.as_of - to_months(w.b) AS DATE)) AS days
   FROM docs d, grid g, (VALUES ('news_baseline', 12, 2), ('news_recent', 2, 0), ('macro', 6, 0)) w(ds, a, b)
   WHERE d.published >= g.as_of - to_months(w.a) AND d.published < g.as_of - to_months(w.b)),
-s AS (SELECT symbol, as_of, ds, days, source, COUNT(*) AS n, ROW_NUMBER() OVER (PARTITION BY symbol, as_of, ds ORDER BY COUNT(*) DESC, source) AS rk
-  FROM m GROUP BY ALL)""") + """
+c AS (SELECT symbol, as_of, ds, days, source, COUNT(*) AS n FROM m GROUP BY symbol, as_of, ds, days, source),
+s AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY symbol, as_of, ds ORDER BY n DESC, source) AS rk FROM c)""") + """
 SELECT symbol, as_of, ds, CAST(SUM(n) AS BIGINT) AS n_documents, COUNT(*) AS n_sources,
        string_agg(CASE WHEN rk <= 5 THEN source END, ',' ORDER BY rk) AS top_sources,
        ROUND(SUM(n) / GREATEST(1, MAX(days)), 6) AS documents_per_day
