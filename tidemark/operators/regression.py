@@ -12,10 +12,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.finance import (DEFAULT_MRP, TRADING_DAYS, daily_rate, market_risk_premium, ratio, sml_return)
-from .returns import history, log_return, running_sums, trailing
+from .returns import history, log_return, running_sums, trailing, with_lags
 from .windows import INDEX_MONTHS, Grid, asof_calendar, asof_join, edges
 
 ESTIMATION, EVENT = 252, 21
+SUMS = ("n", "x", "y", "xx", "xy", "yy")
 
 
 def inner_align(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
@@ -51,6 +52,7 @@ def aligned_returns(bars: DataFrame, indices: DataFrame, risk_free: DataFrame |
 
 def line_fit(n: Column, sx: Column, sy: Column, sxx: Column, sxy: Column, syy: Column) -> dict[str, Column]:
     """Least squares of y on x from the six sums, with its derived figures."""
+    n = F.nullif(n, F.lit(0.0))
     mx, my = sx / n, sy / n
     cxx, cxy, cyy = sxx - sx * mx, sxy - sx * my, syy - sy * my
     beta = F.try_divide(cxy, cxx)
@@ -98,8 +100,8 @@ def pair_sums(df: DataFrame, by: list[str], y: str, x: str, tag: str) -> DataFra
     return running_sums(df, by, {f"{tag}n": F.lit(1.0), f"{tag}x": b, f"{tag}y": a, f"{tag}xx": b * b, f"{tag}xy": a * b, f"{tag}yy": a * a})
 
 
-def beta_over(tag: str, rows: int, by: list[str]) -> Column:
-    t = lambda v: trailing(f"{tag}{v}", rows, by)
+def beta_over(tag: str, rows: int) -> Column:
+    t = lambda v: trailing(f"{tag}{v}", rows)
     cov = t("xy") - t("x") * t("y") / rows
     var = t("xx") - t("x") * t("x") / rows
     return F.when((t("n") == rows) & (var > 0), cov / var)
@@ -108,14 +110,15 @@ def beta_over(tag: str, rows: int, by: list[str]) -> Column:
 def rolling_beta(aligned: DataFrame, by: list[str], rows: int = 126) -> DataFrame:
     """Trailing cov / var in constant time per row, and its change."""
     s = pair_sums(aligned.dropna(subset=["xe", "ye"]), by, "ye", "xe", "_e")
-    s = s.select(*by, "date", beta_over("_e", rows, by).alias("rolling_beta"))
+    s = with_lags(s, by, [f"_e{v}" for v in SUMS], {rows})
+    s = s.select(*by, "date", beta_over("_e", rows).alias("rolling_beta"))
     return s.withColumn("beta_delta", F.col("rolling_beta") - F.lag("rolling_beta", rows - 1).over(history(by)))
 
 
-def event_columns(by: list[str], tag: str = "_t") -> dict[str, Column]:
+def event_columns(tag: str = "_t") -> dict[str, Column]:
     """Market model on rows [-273, -21) and the abnormal returns of the last 21."""
-    est = lambda v: trailing(f"{tag}{v}", ESTIMATION, by, offset=EVENT)
-    ev = lambda v: trailing(f"{tag}{v}", EVENT, by)
+    est = lambda v: trailing(f"{tag}{v}", ESTIMATION, offset=EVENT)
+    ev = lambda v: trailing(f"{tag}{v}", EVENT)
     fit = line_fit(est("n"), est("x"), est("y"), est("xx"), est("xy"), est("yy"))
     a, b = fit["alpha"], fit["beta"]
     car = ev("y") - EVENT * a - b * ev("x")
@@ -132,19 +135,18 @@ def windowed_fits(aligned: DataFrame, grid: Grid, by: list[str], months: int = I
     """
     rows = aligned.dropna(subset=["xe", "ye"])
     s = pair_sums(pair_sums(rows, by, "ye", "xe", "_e"), by, "y", "x", "_t")
-    w = history(by)
-    s = s.withColumn("_b", beta_over("_e", 126, by))
-    s = s.withColumn("beta_delta", F.col("_b") - F.lag("_b", 125).over(w))
-    for name, c in event_columns(by).items():
-        s = s.withColumn(f"_{name}", c)
-    sums = [f"_e{v}" for v in ("n", "x", "y", "xx", "xy", "yy")]
+    sums = [f"_e{v}" for v in SUMS]
+    s = with_lags(s, by, [*sums, *[f"_t{v}" for v in SUMS]], {126, EVENT, ESTIMATION + EVENT})
+    s = s.select(*by, "date", "x_from", *sums, beta_over("_e", 126).alias("_b"),
+                 *[c.alias(f"_{k}") for k, c in event_columns().items()])
+    s = s.withColumn("beta_delta", F.col("_b") - F.lag("_b", 125).over(history(by)))
     at = edges(s, grid, by=by).withColumn("_start", F.add_months("as_of", -months))
     before = s.select(*by, "x_from", F.struct(*sums).alias("_cut"))
     at = asof_join(at.filter(F.col("date") >= F.col("_start")), before, by=by, left_time="_start", right_time="x_from",
                    values=["_cut"], strict=True)
-    diff = {v: F.col(f"_e{v}") - F.coalesce(F.col(f"_cut._e{v}"), F.lit(0.0)) for v in ("n", "x", "y", "xx", "xy", "yy")}
+    diff = {v: F.col(f"_e{v}") - F.coalesce(F.col(f"_cut._e{v}"), F.lit(0.0)) for v in SUMS}
     at = at.select("*", *[c.alias(f"_w{v}") for v, c in diff.items()]).filter(F.col("_wn") >= 3)
-    fit = line_fit(*[F.col(f"_w{v}") for v in ("n", "x", "y", "xx", "xy", "yy")])
+    fit = line_fit(*[F.col(f"_w{v}") for v in SUMS])
     long_enough = F.col("_wn") > 251
     event_ok = F.col("_wn") >= ESTIMATION + EVENT + 10
     return at.select(

@@ -125,11 +125,17 @@ def running_sums(df: DataFrame, by: list[str], terms: dict[str, Column], date_co
     return df.select("*", *[F.sum(F.coalesce(c, F.lit(0.0))).over(w).alias(n) for n, c in terms.items()])
 
 
-def trailing(name: str, rows: int, by: list[str], offset: int = 0, date_col: str = "date") -> Column:
-    """Sum over the ``rows`` rows that end ``offset`` rows before this one."""
-    w = history(by, date_col)
-    head = F.lag(name, offset).over(w) if offset else F.col(name)
-    return F.coalesce(head, F.lit(0.0)) - F.coalesce(F.lag(name, rows + offset).over(w), F.lit(0.0))
+def with_lags(df: DataFrame, by: list[str], sums: list[str], offsets: set[int], date_col: str = "date") -> DataFrame:
+    """Earlier values of all running sums, one packed ``lag`` per offset."""
+    packed, w = F.struct(*sums), history(by, date_col)
+    return df.select("*", *[F.lag(packed, n).over(w).alias(f"_L{n}") for n in sorted(offsets)])
+
+
+def trailing(name: str, rows: int, offset: int = 0) -> Column:
+    """Sum over the ``rows`` rows that end ``offset`` rows before this one.
+    Needs ``with_lags`` for ``offset`` and ``rows + offset``."""
+    head = F.coalesce(F.col(f"_L{offset}")[name], F.lit(0.0)) if offset else F.col(name)
+    return head - F.coalesce(F.col(f"_L{rows + offset}")[name], F.lit(0.0))
 
 
 def price_features(bars: DataFrame, grid: Grid, *, by: str = "symbol", risk_free: DataFrame | None = None,
@@ -151,30 +157,31 @@ def price_features(bars: DataFrame, grid: Grid, *, by: str = "symbol", risk_free
     if has_volume:
         terms["_v"] = F.col("volume")
     base = running_sums(base, keys, terms)
+    wide = with_lags(base, keys, list(terms), {50, 200, *LOOKBACKS, *SMA_LOOKBACKS})
 
     out: dict[str, Column] = {}
     n_ret = F.col("rn") - 1
     for lb in LOOKBACKS:
         out[f"ret_{lb}d"] = F.log(F.col("adj_close") / F.lag("adj_close", lb).over(w))
         n = F.least(n_ret, F.lit(lb))
-        s1, s2 = trailing("_s1", lb, keys), trailing("_s2", lb, keys)
+        s1, s2 = trailing("_s1", lb), trailing("_s2", lb)
         var = F.greatest((s2 - s1 * s1 / F.nullif(n, F.lit(0))) / F.nullif(n - 1, F.lit(0)), F.lit(0.0))
         out[f"_sd_{lb}"] = F.sqrt(var)
         out[f"_mean_{lb}"] = s1 / F.nullif(n, F.lit(0))
         out[f"vol_{lb}d"] = F.when(n >= max(5, lb // 4), F.sqrt(var) * (TRADING_DAYS ** 0.5))
     n = F.nullif(F.least(n_ret, F.lit(252)), F.lit(0))
-    m = trailing("_s1", 252, keys) / n
-    m2 = trailing("_s2", 252, keys) / n - m * m
-    m3 = trailing("_s3", 252, keys) / n - 3 * m * (trailing("_s2", 252, keys) / n) + 2 * m * m * m
-    m4 = (trailing("_s4", 252, keys) / n - 4 * m * (trailing("_s3", 252, keys) / n)
-          + 6 * m * m * (trailing("_s2", 252, keys) / n) - 3 * m * m * m * m)
+    m = trailing("_s1", 252) / n
+    m2 = trailing("_s2", 252) / n - m * m
+    m3 = trailing("_s3", 252) / n - 3 * m * (trailing("_s2", 252) / n) + 2 * m * m * m
+    m4 = (trailing("_s4", 252) / n - 4 * m * (trailing("_s3", 252) / n)
+          + 6 * m * m * (trailing("_s2", 252) / n) - 3 * m * m * m * m)
     out["skew_252d"] = F.when(n > 2, ratio(m3, F.pow(m2, F.lit(1.5))))
     out["kurtosis_252d"] = F.when(n > 3, ratio(m4, m2 * m2) - 3)
-    out["arith_geo_gap"] = trailing("_a", 252, keys) / n - F.expm1(trailing("_g", 252, keys) / n)
+    out["arith_geo_gap"] = trailing("_a", 252) / n - F.expm1(trailing("_g", 252) / n)
     for lb in SMA_LOOKBACKS:
-        out[f"sma_dist_{lb}d"] = F.when(F.col("rn") > lb, F.col("adj_close") / (trailing("_p", lb, keys) / lb) - 1)
+        out[f"sma_dist_{lb}d"] = F.when(F.col("rn") > lb, F.col("adj_close") / (trailing("_p", lb) / lb) - 1)
     for lb in (50, 200):
-        ma = trailing("_p", lb, keys) / lb
+        ma = trailing("_p", lb) / lb
         out[f"ma_cross_{lb}d"] = F.when(F.col("rn") >= lb, F.when(F.col("adj_close") >= ma, 1.0).otherwise(-1.0))
     tail = w.rowsBetween(-251, 0)
     out["pct_from_52w_high"] = F.when(F.col("rn") > 1, F.col("adj_close") / F.max("adj_close").over(tail) - 1)
@@ -183,11 +190,11 @@ def price_features(bars: DataFrame, grid: Grid, *, by: str = "symbol", risk_free
         out["momentum_12_1"] = F.log(F.lag("adj_close", 21).over(w) / F.lag("adj_close", 252).over(w))
         out["reversal_24_36m"] = -F.log(F.lag("adj_close", 252).over(w) / F.lag("adj_close", 756).over(w))
     if has_volume:
-        recent = trailing("_v", 21, keys) / F.least(F.col("rn"), F.lit(21))
-        year = trailing("_v", 252, keys) / F.least(F.col("rn"), F.lit(252))
+        recent = trailing("_v", 21) / F.least(F.col("rn"), F.lit(21))
+        year = trailing("_v", 252) / F.least(F.col("rn"), F.lit(252))
         out["liq_rel_volume_21d"] = F.when(year > 0, recent / year)
         out["liq_log_dollar_volume"] = F.when(recent > 0, F.log1p(recent * F.col("adj_close")))
-    wide = base.select(by, "date", "adj_close", "rn", *[c.alias(k) for k, c in out.items()])
+    wide = wide.select(by, "date", "adj_close", "rn", *[c.alias(k) for k, c in out.items()])
     from .technical import crossover_age  # the two modules share their frames
     wide = crossover_age(wide, keys, 50, rn="rn", state="ma_cross_50d", out="ma_cross_age_50d")
 
