@@ -33,11 +33,11 @@ def _(spark, sf):
 
 
 @query("clip_window_bars", with_(PRICES) + """
-SELECT symbol, date, ROUND(adj_close, 6) AS adj_close FROM prices
+SELECT symbol, date, ROUND(adj_close, 9) AS adj_close FROM prices
 WHERE date >= DATE '1999-01-04' AND date < DATE '1999-07-04'""")
 def _(spark, sf):
     return win.clip(views.prices(spark, sf), "date", "1999-01-04", "1999-07-04").select(
-        "symbol", "date", r(F.col("adj_close")).alias("adj_close"))
+        "symbol", "date", r(F.col("adj_close"), 9).alias("adj_close"))
 
 
 @query("shift_months", """
