@@ -1,5 +1,15 @@
 """Word lists, patterns and tables that results depend on."""
 
+# Word boundaries by ASCII letters, digits and underscore: the patterns below
+# are written for engines whose \\b knows only those.
+WORD_START, WORD_END = r"(?<!\w)", r"(?!\w)"
+BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+
+
+def ascii_words(pattern: str) -> str:
+    return pattern.replace(r"\b", BOUNDARY)
+
+
 # Finance lexicon.
 POSITIVE_TERMS = tuple("""
 beat beats exceeded outperform upgrade upgraded raised surge surged rally

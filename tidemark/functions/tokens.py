@@ -184,7 +184,7 @@ def scrub(raw: Column) -> Column:
     text = F.regexp_replace(text, r"\n{4,}", "\n\n\n")
     fired = []
     for name, pattern in fixed.INSTRUCTION_PATTERNS:
-        p = pattern if name == "fence-escape" else "(?i)" + pattern
+        p = pattern if name == "fence-escape" else "(?i)" + fixed.ascii_words(pattern)
         fired.append(F.when(text.rlike(p) | raw.rlike(p), name))
         text = F.regexp_replace(text, rf"(?=(\n?)){p}", "$1" + fixed.REDACTION)  # a leading line break stays
     clean = F.regexp_replace(text, r"^\s+|\s+$", "")

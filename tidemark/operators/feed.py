@@ -70,3 +70,45 @@ def heatmap(counts: DataFrame, today: Column, day: str = "day", n: str = "n") ->
 def bucket_counts(df: DataFrame, bucket: str, active: Column) -> DataFrame:
     return (df.filter(active).groupBy(F.coalesce(bucket, F.lit("unknown")).alias("bucket"))
             .agg(F.count("*").alias("n")).orderBy(F.desc("n"), "bucket"))
+
+
+def feed_query(postings: DataFrame, applied: DataFrame, prefs, now: Column, *, status: str = "active", buckets: list[str] = (), q: str = "",
+               sort: str = "score", max_age_days: float | None = None, hide_applied: bool = True) -> DataFrame:
+    """The ranked feed: filters, then a place by score, mix or newest."""
+    from ..functions.dates import is_fresh, stamp
+    from .joins import anti_applied
+    from .postings import max_years
+    df = postings
+    if status == "active":
+        df = df.filter(F.col("status").isin(*ACTIVE_STATUSES))
+    elif status == "all":
+        df = df.filter(F.col("status") != "archived")
+    else:
+        df = df.filter(F.col("status") == status)
+    hide = hide_applied and status not in ("applied", "archived")
+    if hide:
+        df = df.filter(F.col("status") != "applied")
+    if buckets:
+        df = df.filter(F.col("location_bucket").isin(*buckets))
+    if q.strip():
+        blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+        text = F.lower(F.concat_ws(" ", *[blank(c) for c in ("title", "company", "location", "sources")]))
+        df = df.filter(F.contains(text, F.lit(q.strip().lower())))
+    if max_age_days and max_age_days > 0:
+        df = df.filter(is_fresh(F.col("posted_date"), F.col("first_seen_at"), now, max_age_days))
+    df = df.filter(~F.coalesce(max_years(F.col("description")) > prefs.experience_cap, F.lit(False)))
+    if hide:
+        df = anti_applied(df, applied)
+    if sort == "mix":
+        return weighted_mix(df, dict(prefs.location_weights), "location_bucket", "match_score", "id")
+    if sort == "recent":
+        df = df.withColumn("_t", F.coalesce(stamp(F.col("posted_date")), stamp(F.col("first_seen_at"))))
+        order = [F.desc_nulls_last("_t"), F.desc_nulls_last("match_score"), F.desc("first_seen_at"), F.desc("id")]
+    else:
+        order = [F.desc_nulls_last("match_score"), F.desc("first_seen_at"), F.desc("id")]
+    return sorted_positions(df, [], order, "place", "shown").drop("_t", "shown")
+
+
+def feed_buckets(feed: DataFrame) -> DataFrame:
+    """Rows shown per bucket; a stated but unmatched location is off-list."""
+    return feed.groupBy(F.coalesce("location_bucket", F.lit("off-list")).alias("bucket")).agg(F.count("*").alias("shown"))

@@ -36,11 +36,11 @@ def sorted_positions(df: DataFrame, groups: list[str], order: list, position: st
     ``order`` must end in a unique column.
     """
     s = _numbered(df, [*groups, *order])
-    offsets = _before(s.groupBy("_part").agg(F.count("*").alias("_c")), "_c", "_off")
-    placed = s.join(offsets, "_part").withColumn("_pos", F.col("_off") + F.col("_row")).drop("_part", "_row", "_off")
-    extent = placed.groupBy(*groups).agg(F.min("_pos").alias("_start"), F.count("*").alias(size))
+    offsets = _before(s.groupBy("_part").agg(F.count("*").alias("_c")), "_c", "__off")
+    placed = s.join(offsets, "_part").withColumn("__at", F.col("__off") + F.col("_row")).drop("_part", "_row", "__off")
+    extent = placed.groupBy(*groups).agg(F.min("__at").alias("__start"), F.count("*").alias(size))
     joined = placed.join(extent, groups) if groups else placed.join(extent, F.lit(True))
-    return joined.withColumn(position, F.col("_pos") - F.col("_start")).drop("_pos", "_start")
+    return joined.withColumn(position, F.col("__at") - F.col("__start")).drop("__at", "__start")
 
 
 def running_total(df: DataFrame, order: list, values: dict[str, str]) -> DataFrame:
