@@ -24,15 +24,15 @@ def purge_gap(step_days: int = 7, horizon: int = DEFAULT_HORIZON) -> int:
 
 def group_quantiles(df: DataFrame, groups: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Linear-interpolated quantiles per group, exact at any size."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_c"))
-    s = running_total(counts, [*groups, value], {"_c": "_less"})
-    extent = s.groupBy(*groups).agg(F.min("_less").alias("_start"), F.sum("_c").alias("_n"))
-    s = (s.join(extent, groups) if groups else s.join(extent, F.lit(True))).withColumn("_rel", F.col("_less") - F.col("_start"))
-    aggs, outs = [F.max("_n").alias("n")], []
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("__n"))
+    s = running_total(counts, [*groups, value], {"__n": "__less"})
+    extent = s.groupBy(*groups).agg(F.min("__less").alias("__start"), F.sum("__n").alias("__size"))
+    s = (s.join(extent, groups) if groups else s.join(extent, F.lit(True))).withColumn("__rel", F.col("__less") - F.col("__start"))
+    aggs, outs = [F.max("__size").alias("n")], []
     for name, q in probs.items():
-        pos = (F.col("_n") - 1) * F.lit(float(q))
+        pos = (F.col("__size") - 1) * F.lit(float(q))
         lo, hi = F.floor(pos), F.ceil(pos)
-        at = lambda k: F.max(F.when((F.col("_rel") <= k) & (k < F.col("_rel") + F.col("_c")), F.col(value)))
+        at = lambda k: F.max(F.when((F.col("__rel") <= k) & (k < F.col("__rel") + F.col("__n")), F.col(value)))
         aggs += [at(lo).alias(f"_lo_{name}"), at(hi).alias(f"_hi_{name}"), F.max(pos - lo).alias(f"_f_{name}")]
         outs.append((F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * F.col(f"_f_{name}")).alias(name))
     return s.groupBy(*groups).agg(*aggs).select(*groups, "n", *outs)

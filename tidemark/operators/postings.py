@@ -41,6 +41,11 @@ class Preferences:
     experience_cap: int = fixed.EXPERIENCE_CAP
 
 
+def fixed_digits(x: Column, digits: int = 4) -> Column:
+    """A non-negative score to fixed digits, decided on its binary value."""
+    return F.floor(x * 10 ** digits + 0.5) / 10 ** digits
+
+
 # --- phrases ----------------------------------------------------------------------
 
 def expand_synonyms(text: Column, synonyms: Mapping[str, str]) -> Column:
@@ -202,7 +207,7 @@ def scored(df: DataFrame, prefs: Preferences, vocabulary: Sequence[Skill] = (),
         score = F.when(F.col("resume_score").isNull(), pref).otherwise((1 - w) * pref + w * F.col("resume_score"))
     else:
         df, score = df.withColumn("resume_score", F.lit(None).cast("double")), pref
-    return (df.withColumn("match_score", F.round(score, 4)).withColumn("location_score", F.round("_l", 4)).withColumn("keyword_score", F.round("_k", 4)).drop("_l", "_k"))
+    return (df.withColumn("match_score", fixed_digits(score)).withColumn("location_score", fixed_digits(F.col("_l"))).withColumn("keyword_score", fixed_digits(F.col("_k"))).drop("_l", "_k"))
 
 
 # --- gate ---------------------------------------------------------------------------

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import PCA, VectorAssembler
+import numpy as np
+import pandas as pd
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import cut_lineage
 from .evaluation import group_quantiles
+from .ranking import sorted_positions
+from .selection import top_per_key
 
 
 def null_counts(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -81,19 +85,33 @@ def pca_project(df: DataFrame, key: list[str], column: str, k: int = 2) -> DataF
     return out.select(*key, *[F.get("_p", F.lit(i)).alias(f"pc{i + 1}") for i in range(k)])
 
 
-def knn_regress(queries: DataFrame, points: DataFrame, key: str, vector: str, target: str, k: int, cells: int = 8) -> DataFrame:
+def knn_regress(queries: DataFrame, points: DataFrame, key: str, vector: str, target: str, k: int, block: int = 4096) -> DataFrame:
     """Mean target of the k nearest other points, exact.
 
-    Every point meets every query here, so the smaller side must be small: the
-    queries are packed into ``cells`` blocks and each point is sent to each
-    block once.  Each block keeps its own k best per query before the blocks
-    are merged, so a query never gathers more than k rows per task.
+    Queries travel in blocks of a fixed size; each task scans its own points
+    once per block and emits only its k best per query, so no pair leaves a
+    task that is not among a local best k.
     """
-    q = queries.select(F.col(key).alias("_q"), F.col(vector).alias("_qv"), F.pmod(F.xxhash64(key), F.lit(cells)).alias("_cell"))
-    p = points.select(F.col(key).alias("_p"), F.col(vector).alias("_pv"), F.col(target).cast("double").alias("_t"),
-                      F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).cast("long").alias("_cell"))
-    d = F.aggregate(F.zip_with("_qv", "_pv", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    near = q.join(p, "_cell").filter(F.col("_q") != F.col("_p")).select("_q", "_p", "_t", d.alias("_d"))
-    w = W.partitionBy("_q").orderBy("_d", "_p")
-    best = near.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
+    placed = cut_lineage(sorted_positions(queries.select(key, F.col(vector).cast("array<double>").alias(vector)), [], [key]))
+    blocks = (placed.agg(F.max("pos")).first()[0] or 0) // block + 1
+    pts = points.select(F.col(key).alias("_p"), F.col(vector).cast("array<double>").alias("_v"), F.col(target).cast("double").alias("_t"))
+    near = None
+    for b in range(blocks):
+        rows = placed.filter((F.col("pos") >= b * block) & (F.col("pos") < (b + 1) * block)).select(key, vector).collect()  # at most ``block`` rows
+        part = _local_best(pts, np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float), k)
+        near = part if near is None else near.unionByName(part)
+    best = top_per_key(near, ["_q"], ["_d", "_p"], k)
     return best.groupBy(F.col("_q").alias(key)).agg(F.avg("_t").alias("prediction"), F.max("_d").alias("radius"))
+
+
+def _local_best(points: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int) -> DataFrame:
+    def scan(batches):
+        for pdf in batches:
+            p, t, v = pdf["_p"].to_numpy(), pdf["_t"].to_numpy(float), np.stack(pdf["_v"].to_numpy())
+            for q, x in zip(ids, vectors):
+                d = ((v - x) ** 2).sum(axis=1)
+                d[p == q] = np.inf
+                take = np.lexsort((p, d))[:k]
+                take = take[np.isfinite(d[take])]
+                yield pd.DataFrame({"_q": q, "_p": p[take], "_t": t[take], "_d": d[take]})
+    return points.mapInPandas(scan, "_q bigint, _p bigint, _t double, _d double")

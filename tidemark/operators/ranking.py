@@ -54,6 +54,25 @@ def running_total(df: DataFrame, order: list, values: dict[str, str]) -> DataFra
     return out.drop("_part", "_row")
 
 
+def with_previous(df: DataFrame, groups: list[str], order: list, cols: list[str], out: str = "prev") -> DataFrame:
+    """Each row with the row before it in its group, as a struct.
+
+    The lag runs inside the sorted partitions; the first row of a partition
+    takes the last row of the nearest earlier one, from a table with one row
+    per partition.  A group that holds most rows is spread like any other.
+    """
+    s = _numbered(df, [*groups, *order])
+    packed = F.struct(*[F.col(c) for c in dict.fromkeys([*groups, *cols])])
+    s = s.withColumn("__in", F.lag(packed).over(W.partitionBy("_part").orderBy("_row")))
+    last = s.groupBy("_part").agg(F.max_by(packed, "_row").alias("__last"))
+    carry = last.select("_part", F.lag("__last").over(W.partitionBy(F.lit(0)).orderBy("_part")).alias("__edge"))
+    j = s.join(carry, "_part").withColumn("__p", F.coalesce("__in", F.when(F.col("_row") == 0, F.col("__edge"))))
+    same = F.lit(True)
+    for g in groups:
+        same = same & F.col(f"__p.{g}").eqNullSafe(F.col(g))
+    return j.withColumn(out, F.when(same, F.col("__p"))).drop("_part", "_row", "__in", "__edge", "__p")
+
+
 def hash_order(key: Column, seed: int) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}")))
 

@@ -19,7 +19,7 @@ def ready(spark, sf):
     return s.withColumn("sources", F.concat(F.lit('["'), "source", F.lit('"]')))
 
 
-FEED = """fd AS (SELECT *, ROUND(0.65 * loc + 0.35 * kw, 4) AS match_score FROM ap WHERE status IN ('new', 'tailored') AND NOT applied AND COALESCE(years, 0) <= 2
+FEED = """fd AS (SELECT *, ROUND(0.65::DOUBLE * loc + 0.35::DOUBLE * kw, 4) AS match_score FROM ap WHERE status IN ('new', 'tailored') AND NOT applied AND COALESCE(years, 0) <= 2
   AND contains(lower(concat_ws(' ', title, company, COALESCE(location, ''), '["' || source || '"]')), 'engineer')
   AND date_diff('second', COALESCE(posted_date, first_seen_at)::TIMESTAMP, TIMESTAMP '2001-08-01 12:00:00') / 86400.0 <= 40)"""
 ARGS = dict(q="Engineer", max_age_days=40)

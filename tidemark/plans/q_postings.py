@@ -60,10 +60,10 @@ bk AS (SELECT *, CASE WHEN COALESCE(location, '') = '' THEN 'unknown' WHEN {sql_
 us AS (SELECT *, COALESCE((COALESCE(location_bucket = 'seattle', false) OR regexp_matches({HEAD}, '{fixed.US_RESTRICTED}') OR regexp_matches(title || chr(10) || description, '{fixed.US_RESTRICTED}')
   OR (COALESCE(location_bucket = 'remote', false) AND regexp_matches({HEAD}, '{fixed.US_LOCATION}') AND NOT regexp_matches({HEAD}, '\\bcanada\\b', 'i'))) AND NOT regexp_matches(title || chr(10) || description, '{fixed.SPONSORSHIP}', 'i'), false)
   AND location_bucket IS NOT NULL AS unsponsored_us FROM bk),
-kw AS (SELECT *, CASE WHEN location_bucket IS NULL OR location_bucket = 'unknown' THEN 0 ELSE (CASE location_bucket WHEN 'calgary' THEN 0.5 WHEN 'edmonton' THEN 0.2 WHEN 'remote' THEN 0.15 WHEN 'vancouver' THEN 0.1 ELSE 0.05 END / 0.5::DOUBLE) * CASE WHEN unsponsored_us THEN 0.35 ELSE 1 END END AS loc,
-  0.5 * CASE WHEN {sql_phrases('title', fixed.PRIMARY_ROLES)} THEN 1.0 WHEN {sql_phrases('title', fixed.SIMILAR_ROLES)} THEN 0.7 WHEN {sql_phrases('description', (*fixed.PRIMARY_ROLES, *fixed.SIMILAR_ROLES))} THEN 0.4 ELSE 0 END
-  + 0.3 * CASE WHEN {sql_phrases('title', fixed.LEVEL_KEYWORDS)} THEN 1.0 WHEN {sql_phrases('description', fixed.LEVEL_KEYWORDS)} THEN 0.5 ELSE 0 END
-  + 0.2 * CASE WHEN {sql_phrases('title', fixed.TIMING_KEYWORDS)} THEN 1.0 WHEN {sql_phrases('description', fixed.TIMING_KEYWORDS)} THEN 0.7 ELSE 0 END AS kw FROM us),
+kw AS (SELECT *, CASE WHEN location_bucket IS NULL OR location_bucket = 'unknown' THEN 0::DOUBLE ELSE (CASE location_bucket WHEN 'calgary' THEN 0.5 WHEN 'edmonton' THEN 0.2 WHEN 'remote' THEN 0.15 WHEN 'vancouver' THEN 0.1 ELSE 0.05 END::DOUBLE / 0.5::DOUBLE) * CASE WHEN unsponsored_us THEN 0.35 ELSE 1 END::DOUBLE END AS loc,
+  0.5::DOUBLE * CASE WHEN {sql_phrases('title', fixed.PRIMARY_ROLES)} THEN 1.0 WHEN {sql_phrases('title', fixed.SIMILAR_ROLES)} THEN 0.7 WHEN {sql_phrases('description', (*fixed.PRIMARY_ROLES, *fixed.SIMILAR_ROLES))} THEN 0.4 ELSE 0 END::DOUBLE
+  + 0.3::DOUBLE * CASE WHEN {sql_phrases('title', fixed.LEVEL_KEYWORDS)} THEN 1.0 WHEN {sql_phrases('description', fixed.LEVEL_KEYWORDS)} THEN 0.5 ELSE 0 END::DOUBLE
+  + 0.2::DOUBLE * CASE WHEN {sql_phrases('title', fixed.TIMING_KEYWORDS)} THEN 1.0 WHEN {sql_phrases('description', fixed.TIMING_KEYWORDS)} THEN 0.7 ELSE 0 END::DOUBLE AS kw FROM us),
 yr AS (SELECT *, CASE WHEN description LIKE 'Requires 3+%' THEN 3 WHEN description LIKE 'Fully remote%' THEN 2 END AS years FROM kw),
 gt AS (SELECT *, date_diff('second', COALESCE(posted_date, first_seen_at)::TIMESTAMP, TIMESTAMP '2001-08-01 12:00:00') / 86400.0 <= 45 AS fresh, {sql_phrases('title', fixed.EXCLUDED_TITLES)} AS senior,
   ({sql_phrases('title', fixed.ROLE_KEYWORDS)} OR {sql_phrases('title', fixed.GRAD_KEYWORDS)}) AS role_ok FROM yr),
@@ -117,7 +117,7 @@ def _(spark, sf):
 @query("score_posting", with_(POSTINGS, RULES, """fit AS (SELECT id, CAST(description LIKE '%Python%' AS INT) + CAST(description LIKE '%SQL%' AS INT) AS have,
   CAST(description LIKE '%Python%' AS INT) + CAST(description LIKE '%SQL%' AS INT) + CAST(description LIKE '%Spark%' AS INT) + CAST(description LIKE '%Kafka%' AS INT) AS asked FROM postings),
 f2 AS (SELECT id, CASE WHEN asked > 0 THEN ROUND(0.5 * (have + 1) / (asked + 2) + 0.5 * (1 - EXP(-have / 4.0)), 4) END AS resume_score FROM fit)""") + """
-SELECT id, location_bucket, resume_score, ROUND(CASE WHEN resume_score IS NULL THEN 0.65 * loc + 0.35 * kw ELSE 0.7 * (0.65 * loc + 0.35 * kw) + 0.3 * resume_score END, 4) AS match_score FROM kw JOIN f2 USING (id)""")
+SELECT id, location_bucket, resume_score, ROUND(CASE WHEN resume_score IS NULL THEN 0.65::DOUBLE * loc + 0.35::DOUBLE * kw ELSE 0.7::DOUBLE * (0.65::DOUBLE * loc + 0.35::DOUBLE * kw) + 0.3::DOUBLE * resume_score END, 4) AS match_score FROM kw JOIN f2 USING (id)""")
 def _(spark, sf):
     prefs = po.Preferences(max_age_days=45, resume_weight=0.3)
     s = po.scored(views.postings(spark, sf), prefs, SKILLS, PROFILE)
