@@ -21,11 +21,9 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
-    from pyspark.sql import SparkSession
     from tidemark.plans import registry
     from tidemark.session import get_session
-    SparkSession.builder.config("spark.driver.memory", "20g").config("spark.ui.showConsoleProgress", "false")
-    spark = get_session("tidemark-bench", f"local[{cpus}]", int(cpus))
+    spark = get_session("tidemark-bench", f"local[{cpus}]", int(cpus), {"spark.driver.memory": "20g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     registry.load_all()
     spark.range(1000).selectExpr("sum(id)").collect()  # start the executor threads

@@ -7,7 +7,19 @@ BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 
 def ascii_words(pattern: str) -> str:
-    return pattern.replace(r"\b", BOUNDARY)
+    """The pattern with each word boundary as the one-sided test that its
+    neighbours allow, or as the two-sided one."""
+    parts = pattern.split(r"\b")
+    out = parts[0]
+    for before, after in zip(parts, parts[1:]):
+        if after[:1].isalnum() or after[:2] == r"\d":
+            out += WORD_START
+        elif before[-1:].isalnum() and after[:1] in ("", "|", ")", "["):
+            out += WORD_END
+        else:
+            out += BOUNDARY
+        out += after
+    return out
 
 
 # Finance lexicon.

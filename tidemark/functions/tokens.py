@@ -52,38 +52,40 @@ def mentions(text: Column, terms: Sequence[str]) -> Column:
 
 # --- claim tokens ---------------------------------------------------------------
 
-def _ends(t: Column, suffix: str) -> Column:
-    return F.endswith(t, F.lit(suffix))
+# The tokeniser works on one padded string ("" " tok tok " "") so that each rule is
+# a single pass of the regular-expression engine over the text.
+_MARK = "\u0001"
+_TO_Y = r" ([a-z-]{2,})ies(?= )"
+_SUFFIX = (r" (?:([a-z-]+ss)es|([a-z-]{3,}[sxz]|[a-z-]{2,}(?:ch|sh))es|([a-z-]{4,})ingly|([a-z-]{4,})ing|([a-z-]{4,})edly|([a-z-]{4,})ed"
+           r"|([a-z-]{4,})es|([a-z-]{3,}ss)|([a-z-]{4,})s)(?= )")
 
 
-def _drop(t: Column, n: int) -> Column:
-    return F.substring(t, F.lit(1), F.length(t) - n)
+def _stop_pattern() -> str:
+    return " (?:[^ ]?|" + "|".join(fixed.CLAIM_STOP_WORDS) + ")(?= )"
 
 
-def stem(t: Column) -> Column:
-    """Light suffix stemming; short tokens and tokens with digits or symbols stay."""
-    n = F.length(t)
-    cut = F.when((n > 4) & _ends(t, "ies"), F.concat(_drop(t, 3), F.lit("y")))
-    cut = cut.when((n > 4) & _ends(t, "sses"), _drop(t, 2)).when((n > 5) & t.rlike("(?:[sxz]|ch|sh)es$"), _drop(t, 2))
-    for suffix in ("ingly", "ing", "edly", "ed", "es"):
-        cut = cut.when(_ends(t, suffix) & (n - len(suffix) >= 4), _drop(t, len(suffix)))
-    cut = cut.when(_ends(t, "ss"), t).when(_ends(t, "s") & (n - 1 >= 4), _drop(t, 1)).otherwise(t)
-    done = F.when((F.length(cut) > 4) & _ends(cut, "e"), _drop(cut, 1)).otherwise(cut)
-    return F.when((n <= 4) | t.rlike("[0-9./+#]"), t).otherwise(done)
+def stem_all(padded: Column) -> Column:
+    """Light suffix stemming of every token of a padded string; short tokens and
+    tokens with digits or symbols stay.  A token is changed by one suffix rule
+    at most, then loses a final e."""
+    s = F.regexp_replace(padded, _TO_Y, f" $1y{_MARK}")
+    s = F.regexp_replace(s, _SUFFIX, f" $1$2$3$4$5$6$7$8$9{_MARK}")
+    return F.replace(F.regexp_replace(s, rf" ([a-z-]{{4,}})e{_MARK}?(?= )", " $1"), F.lit(_MARK), F.lit(""))
 
 
 def claim_tokens(text: Column) -> Column:
     """Stemmed tokens in order; hyphenated tokens are followed by their parts."""
+    s = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^a-z0-9+#./-]+", " "), F.lit(" "))
+    s = F.regexp_replace(F.regexp_replace(s, r"(?<= )[-./]+|[-./]+(?= )", ""), _stop_pattern(), "")
+
     def kept(t: Column) -> Column:
         return (F.length(t) > 1) & ~t.isin(*fixed.CLAIM_STOP_WORDS)
 
-    raw = F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9+#./-]+", " "), " ")
-    raw = F.filter(F.transform(raw, lambda t: F.regexp_replace(t, "^[-./]+|[-./]+$", "")), kept)
-
     def expand(t: Column) -> Column:
-        parts = F.transform(F.filter(F.split(t, "-"), kept), stem)
-        return F.when(t.contains("-"), F.concat(F.array(stem(t)), parts)).otherwise(F.array(stem(t)))
-    return F.flatten(F.transform(raw, expand))
+        return F.when(t.contains("-"), F.concat(F.array(t), F.filter(F.split(t, "-"), kept))).otherwise(F.array(t))
+    parts = F.concat(F.lit(" "), F.array_join(F.flatten(F.transform(F.split(F.trim(s), " +"), expand)), " "), F.lit(" "))
+    s = stem_all(F.when(s.contains("-"), parts).otherwise(s))
+    return F.filter(F.split(F.trim(s), " +"), lambda t: t != "")
 
 
 def bigrams(tokens: Column) -> Column:
@@ -186,6 +188,6 @@ def scrub(raw: Column) -> Column:
     for name, pattern in fixed.INSTRUCTION_PATTERNS:
         p = pattern if name == "fence-escape" else "(?i)" + fixed.ascii_words(pattern)
         fired.append(F.when(text.rlike(p) | raw.rlike(p), name))
-        text = F.regexp_replace(text, rf"(?=(\n?)){p}", "$1" + fixed.REDACTION)  # a leading line break stays
+        text = F.regexp_replace(text, rf"(?=(\n?)){p}" if name == "role-marker" else p, ("$1" if name == "role-marker" else "") + fixed.REDACTION)
     clean = F.regexp_replace(text, r"^\s+|\s+$", "")
     return F.struct(clean.alias("text"), F.array_compact(F.array(*fired)).alias("triggered"))

@@ -204,19 +204,21 @@ def corpus_terms(corpus: DataFrame, text: str = "text") -> tuple[DataFrame, Data
 def claim_support(claim_rows: DataFrame, corpus: DataFrame, keys: list[str], threshold: float = 0.55) -> DataFrame:
     """Share of each claim's tokens and bigrams found in a corpus.
 
-    Equal tokens of a claim are counted before they meet the corpus, whose
-    side is distinct: the join never multiplies rows, and Spark broadcasts the
-    corpus side only when its measured size allows it.
+    Tokens and bigrams of a claim are exploded once and looked up in the
+    distinct terms of the corpus; the lookup never multiplies rows.  Spark
+    broadcasts the terms only when their measured size allows it and splits
+    hot terms otherwise.  A claim's rows leave one task as one sum per claim.
     """
     tokens, pairs, _ = corpus_terms(corpus)
+    known = tokens.withColumn("kind", F.lit(1)).unionByName(pairs.withColumn("kind", F.lit(2)))
+    tagged = lambda c, kind: F.transform(c, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term")))
     c = claim_rows.select(*keys, claim_tokens(F.col("claim")).alias("_t"))
-    uni = c.select(*keys, F.explode("_t").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("n"))
-    uni = uni.join(tokens, "term", "left").groupBy(*keys).agg((F.sum(F.when(F.col("hit") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("unigram"))
-    bi = c.select(*keys, F.explode(bigrams(F.col("_t"))).alias("term")).join(pairs, "term", "left")
-    bi = bi.groupBy(*keys).agg((F.count("hit") / F.count("*")).alias("bigram"))
-    score = F.least(F.lit(1.0), F.col("unigram") * 0.75 + F.coalesce("bigram", F.lit(0.0)) * 0.25 + F.when(F.col("unigram") >= 0.95, 0.05).otherwise(0.0))
-    return uni.join(bi, keys, "left").select(*keys, "unigram", F.coalesce("bigram", F.lit(0.0)).alias("bigram"), F.round(score, 3).alias("score"),
-                                             (F.round(score, 3) < threshold).alias("low_overlap"))
+    terms = c.select(*keys, F.inline(F.concat(tagged(F.col("_t"), 1), tagged(bigrams(F.col("_t")), 2))))
+    found = terms.join(known, ["kind", "term"], "left")
+    share = lambda kind: F.avg(F.when(F.col("kind") == kind, F.coalesce("hit", F.lit(0))))
+    g = found.groupBy(*keys).agg(share(1).alias("unigram"), F.coalesce(share(2), F.lit(0.0)).alias("bigram"))
+    score = F.least(F.lit(1.0), F.col("unigram") * 0.75 + F.col("bigram") * 0.25 + F.when(F.col("unigram") >= 0.95, 0.05).otherwise(0.0))
+    return g.select(*keys, "unigram", "bigram", F.round(score, 3).alias("score"), (F.round(score, 3) < threshold).alias("low_overlap"))
 
 
 def unsupported_numbers(claim_rows: DataFrame, corpus: DataFrame, keys: list[str]) -> DataFrame:

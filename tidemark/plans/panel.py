@@ -9,6 +9,7 @@ from ..operators import documents as doc
 from ..operators import regression as reg
 from ..operators import returns as ret
 from ..operators import technical as tech
+from ..session import cut_lineage
 from ..operators.windows import DEFAULT_HORIZON, MACRO_MONTHS, Grid, asof_calendar, edges, members
 
 KEYS = ["symbol", "as_of"]
@@ -81,8 +82,8 @@ def feature_rows(bars: DataFrame, indices: DataFrame, risk_free: DataFrame, seri
                    F.col("adj_r_squared").alias("ff_adj_r_squared"), F.col("residual_std").alias("ff_residual_std"), (1 - F.col("r_squared")).alias("ff_firm_specific_share"))
 
     symbols = bars.select("symbol").distinct()
-    scores = doc.doc_scores(docs, lexicon)
-    novelty = doc.vocab_novelty(docs, grid)
+    scores = cut_lineage(doc.doc_scores(docs, lexicon))  # each text is read once
+    novelty = cut_lineage(doc.vocab_novelty(docs, grid))
     stats = doc.text_stats(scores, grid, ["symbol"], doc.NEWS, symbols)
     tag = {"news_baseline": "ds2", "news_recent": "ds3"}
     stat_cols = [c for c in stats.columns if c not in (*KEYS, "ds")]

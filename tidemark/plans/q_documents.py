@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, tokens as tok
 from ..operators import documents as doc
 from ..sources import views
-from ..sources.tables import table
+from ..sources.tables import table, text_table
 from .cte import DOCS, GRID, POSTINGS, with_
 from .q_returns import rounded
 from .q_sources import sql_text
@@ -152,7 +152,7 @@ def _scrub_sql() -> str:
 
 @query("instruction_scrub", _scrub_sql())
 def _(spark, sf):
-    c = table(spark, sf, "conversations").select("conv_id", "turn", tok.scrub(F.col("text")).alias("s"))
+    c = text_table(spark, sf, "conversations").select("conv_id", "turn", tok.scrub(F.col("text")).alias("s"))
     return c.select("conv_id", "turn", F.col("s.text").alias("scrubbed"), F.array_join("s.triggered", ",").alias("triggered"))
 
 
@@ -173,7 +173,7 @@ def tokens_sql(c: str) -> str:
 
 @query("tokenize_stem", f"SELECT doc_id, md5(array_to_string(tk, ' ')) AS tokens_md5, CAST(len(tk) AS INT) AS n_tokens FROM (SELECT doc_id, {tokens_sql('text')} AS tk FROM documents)")
 def _(spark, sf):
-    t = table(spark, sf, "documents").select("doc_id", tok.claim_tokens(F.col("text")).alias("t"))
+    t = text_table(spark, sf, "documents").select("doc_id", tok.claim_tokens(F.col("text")).alias("t"))
     return t.select("doc_id", F.md5(F.array_join("t", " ")).alias("tokens_md5"), F.size("t").alias("n_tokens"))
 
 
@@ -188,7 +188,7 @@ cl AS (SELECT * FROM cl1 WHERE length(bare) >= 25 AND NOT regexp_matches(bare, '
 
 @query("split_claims", with_(CLAIMS) + "SELECT doc_id, claim_no, line, claim FROM cl")
 def _(spark, sf):
-    return doc.split_claims(table(spark, sf, "documents"))
+    return doc.split_claims(text_table(spark, sf, "documents"))
 
 
 @query("claim_support", with_(CLAIMS, f"""bt AS (SELECT {tokens_sql('text')} AS tk FROM benchmark),
@@ -199,7 +199,7 @@ b AS (SELECT doc_id, claim_no, AVG(CASE WHEN term IN (SELECT term FROM bb) THEN
 z AS (SELECT doc_id, claim_no, unigram, COALESCE(bigram, 0) AS bigram, LEAST(1.0, unigram * 0.75 + COALESCE(bigram, 0) * 0.25 + CASE WHEN unigram >= 0.95 THEN 0.05 ELSE 0 END) AS sc FROM u LEFT JOIN b USING (doc_id, claim_no))""") + """
 SELECT doc_id, claim_no, ROUND(unigram, 6) AS unigram, ROUND(bigram, 6) AS bigram, ROUND(sc, 6) AS score FROM z""")
 def _(spark, sf):
-    c = doc.split_claims(table(spark, sf, "documents"))
+    c = doc.split_claims(text_table(spark, sf, "documents"))
     s = doc.claim_support(c, table(spark, sf, "benchmark"), ["doc_id", "claim_no"])
     exact = F.least(F.lit(1.0), F.col("unigram") * 0.75 + F.col("bigram") * 0.25 + F.when(F.col("unigram") >= 0.95, 0.05).otherwise(0.0))
     return s.select("doc_id", "claim_no", F.round("unigram", 6).alias("unigram"), F.round("bigram", 6).alias("bigram"), F.round(exact, 6).alias("score"))
@@ -213,7 +213,7 @@ def nums_sql(c: str) -> str:
 @query("unsupported_numbers", with_(CLAIMS, f"k AS (SELECT DISTINCT UNNEST({nums_sql('text')}) AS n FROM benchmark)", f"c AS (SELECT doc_id, claim_no, UNNEST({nums_sql('claim')}) AS number FROM cl)") + """
 SELECT doc_id, claim_no, number FROM c WHERE NOT regexp_matches(number, '^(19|20)\\d{2}$') AND number NOT IN (SELECT n FROM k) AND regexp_replace(number, '[^0-9.]', '', 'g') NOT IN (SELECT n FROM k)""")
 def _(spark, sf):
-    c = doc.split_claims(table(spark, sf, "documents"))
+    c = doc.split_claims(text_table(spark, sf, "documents"))
     return doc.unsupported_numbers(c, table(spark, sf, "benchmark"), ["doc_id", "claim_no"])
 
 

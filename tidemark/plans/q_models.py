@@ -13,7 +13,7 @@ from ..operators import returns as ret
 from ..operators.windows import edges
 from ..session import cut_lineage
 from ..sources import views
-from ..sources.tables import table
+from ..sources.tables import table, text_table
 from . import panel as pn
 from .cte import PRICES, with_
 from .q_panel import TARGET
@@ -62,7 +62,7 @@ def _(spark, sf):
 
 @query("tfidf_text")
 def _(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("text_body"))
+    d = text_table(spark, sf, "documents").select("doc_id", F.col("text").alias("text_body"))
     b = md.TextBranch("text_body", max_features=5000)
     x = b.fit(d).transform(d, "tfidf").select("doc_id", vector_to_array("tfidf").alias("v"))
     return x.select("doc_id", F.size(F.filter("v", lambda v: v > 0)).alias("n_terms"), F.round(F.aggregate("v", F.lit(0.0), lambda s, v: s + v * v), 6).alias("squared_length"))
@@ -70,7 +70,7 @@ def _(spark, sf):
 
 @query("adaptive_svd")
 def _(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("text_body"))
+    d = text_table(spark, sf, "documents").select("doc_id", F.col("text").alias("text_body"))
     b = md.TextBranch("text_body", max_features=300, ngrams=False).fit(d)
     x = cut_lineage(b.transform(d, "tfidf").select("doc_id", "tfidf"))
     svd = md.AdaptiveSVD("tfidf").fit(x)
@@ -135,7 +135,7 @@ def _(spark, sf):
 
 
 def labelled_docs(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text", "n_chars", "lang")
+    d = text_table(spark, sf, "documents").select("doc_id", "text", "n_chars", "lang")
     j = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("y")).join(d, "doc_id")
     from ..functions.tokens import word_count
     wc = word_count(F.col("text")).cast("double")

@@ -42,8 +42,9 @@ def _(spark, sf):
 
 
 def feature_rows(spark, sf, grid=MONTHLY):
-    return pn.feature_rows(views.prices(spark, sf), views.indices(spark, sf), views.risk_free(spark, sf), series.forward_filled(views.macro_series(spark, sf)),
-                           views.docs(spark, sf), grid, lexicon=LEX, series_ids=["A", "N", "R"], index_keys=["gspc", "rut", "iwd", "iwf"], scl_keys=["gspc", "rut"])
+    # daily tables feed many blocks: read the fact table once and keep them
+    bars, indices, rf = (cut_lineage(f(spark, sf)) for f in (views.prices, views.indices, views.risk_free))
+    return pn.feature_rows(bars, indices, rf, series.forward_filled(views.macro_series(spark, sf)), views.docs(spark, sf), grid, lexicon=LEX, series_ids=["A", "N", "R"], index_keys=["gspc", "rut", "iwd", "iwf"], scl_keys=["gspc", "rut"])
 
 
 def wide_panel(spark, sf):

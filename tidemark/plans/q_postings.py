@@ -8,7 +8,7 @@ from ..functions import fixed
 from ..operators import postings as po
 from ..operators.joins import dedup_key, normalize_url
 from ..sources import views
-from ..sources.tables import table
+from ..sources.tables import table, text_table
 from .cte import APP_LOG, POSTINGS, with_
 from .q_documents import PROFILE, SKILLS, sql_list
 from .q_joins import applied_log
@@ -44,7 +44,7 @@ PHRASES = ("thth", "ther ou", "tion.", "er-ly")
 
 @query("match_phrases", f"SELECT doc_id, {sql_phrases('text', PHRASES, {})} AS matched FROM documents")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", po.match_phrases(F.col("text"), PHRASES, {}).alias("matched"))
+    return text_table(spark, sf, "documents").select("doc_id", po.match_phrases(F.col("text"), PHRASES, {}).alias("matched"))
 
 
 # the classifier rules in SQL, on the template postings (no remote_status column)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "tidemark", master: str | None = None,
-                shuffle_partitions: int | None = None) -> SparkSession:
+                shuffle_partitions: int | None = None, conf: dict[str, str] | None = None) -> SparkSession:
     """A session with the settings the library relies on.
 
     A cluster's own settings win: only values that decide results (time zone)
@@ -17,6 +17,8 @@ def get_session(app: str = "tidemark", master: str | None = None,
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false")
+    for key, value in (conf or {}).items():
+        builder = builder.config(key, value)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return (

@@ -11,3 +11,23 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table; projection and filters reach the scan."""
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Even out a small table before heavy work on its text.
+
+    A table smaller than one split per core may sit in a single row group and
+    would then be worked on by one core; it is cheap to deal out.  A larger
+    table already has enough splits and is left alone.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    per_split = 128 * 1024 * 1024
+    return df.repartition(cores) if size < cores * per_split else df
+
+
+def text_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """The wanted columns of a table whose rows are long texts."""
+    df = table(spark, folder, name)
+    return spread(df.select(*columns) if columns else df)

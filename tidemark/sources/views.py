@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .tables import table
+from .tables import table, text_table
 
 GRID_START, GRID_END, GRID_STEP = "1999-01-04", "2001-08-06", 7
 
@@ -61,7 +61,7 @@ def macro_series(spark: SparkSession, folder: str) -> DataFrame:
 
 def docs(spark: SparkSession, folder: str) -> DataFrame:
     """Dated news and community documents per symbol."""
-    d = table(spark, folder, "documents")
+    d = text_table(spark, folder, "documents")
     symbols = F.array(*[F.lit(s) for s in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")])
     return d.select(
         "doc_id",
