@@ -276,7 +276,9 @@ def trigrams(key: Column) -> Column:
 
 
 def similar_keys(keys: DataFrame, threshold: float = 0.2) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct keys within a relative edit distance.
+    """Pairs (a, b), a < b, of distinct keys within a relative edit distance,
+    whose titles (when given) are within it too: a long company and place must
+    not hide another discipline.
 
     No pair within the distance is missed.  One edit changes at most three
     padded pieces, so two keys within d edits share all but 3d of their
@@ -284,7 +286,8 @@ def similar_keys(keys: DataFrame, threshold: float = 0.2) -> DataFrame:
     within the distance still meets on one of them.  Frequent pieces are thus
     never a join key, and lengths that differ too much never meet.
     """
-    k = keys.select("key").distinct().withColumn("_n", F.length("key")).filter(F.col("_n") > 0)
+    title = F.col("title_key") if "title_key" in keys.columns else F.lit("")
+    k = keys.groupBy("key").agg(F.min(title).alias("t")).withColumn("_n", F.length("key")).filter(F.col("_n") > 0)
     pieces = k.select("key", "_n", F.explode(trigrams(F.col("key"))).alias("g"))
     freq = pieces.groupBy("g").agg(F.count("*").alias("_f"))
     # the longest partner of a key of length n has n / (1 - t) letters
@@ -295,7 +298,12 @@ def similar_keys(keys: DataFrame, threshold: float = 0.2) -> DataFrame:
     long = F.greatest("na", "nb")
     limit = F.floor(long * threshold + 1e-9).cast("int")
     near = a.join(b, "g").filter((F.col("a") < F.col("b")) & (F.abs(F.col("na") - F.col("nb")) <= limit)).select("a", "b", "na", "nb").distinct()
-    return near.filter(F.levenshtein("a", "b") <= F.greatest("na", "nb") * threshold).select("a", "b")
+    near = near.filter(F.levenshtein("a", "b") <= F.greatest("na", "nb") * threshold).select("a", "b")
+    if "title_key" not in keys.columns:
+        return near
+    names = lambda c, n: k.select(F.col("key").alias(c), F.col("t").alias(n))
+    titled = near.join(names("a", "ta"), "a").join(names("b", "tb"), "b")
+    return titled.filter(F.levenshtein("ta", "tb") <= F.greatest(F.length("ta"), F.length("tb")) * threshold).select("a", "b")
 
 
 def components(nodes: DataFrame, pairs: DataFrame, rank: str = "rank", rounds: int = 50) -> DataFrame:
@@ -327,7 +335,7 @@ def dedup_fuzzy(df: DataFrame, threshold: float = 0.2, id_col: str = "id") -> Da
     the similarity join and the grouping see distinct keys only.
     """
     keyed = df.withColumn("key", dedup_key(F.col("title"), F.col("company"), F.col("location")))
-    nodes = cut_lineage(keyed.groupBy("key").agg(F.min(id_col).alias("rank")))
+    nodes = cut_lineage(keyed.groupBy("key").agg(F.min(id_col).alias("rank"), F.min(dedup_key(F.col("title"), F.lit(""))).alias("title_key")))
     root = components(nodes, similar_keys(nodes, threshold))
     return keyed.join(root, "key").withColumnRenamed("label", "duplicate_of").drop("key")
 

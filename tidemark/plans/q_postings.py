@@ -166,8 +166,10 @@ def _(spark, sf):
     return po.dedup_exact(views.postings(spark, sf)).select("id", "apply_url")
 
 
-FUZZY = f"""RECURSIVE postings_ AS (SELECT 1), {POSTINGS}, nk AS (SELECT {KEY} AS key, MIN(id) AS rank FROM postings GROUP BY 1),
-pr AS (SELECT a.rank AS a, b.rank AS b FROM nk a, nk b WHERE levenshtein(a.key, b.key) <= 0.2::DOUBLE * GREATEST(length(a.key), length(b.key))),
+TITLE = "trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'))"
+NEAR = "levenshtein(a.key, b.key) <= 0.2::DOUBLE * GREATEST(length(a.key), length(b.key)) AND levenshtein(a.t, b.t) <= 0.2::DOUBLE * GREATEST(length(a.t), length(b.t))"
+FUZZY = f"""RECURSIVE postings_ AS (SELECT 1), {POSTINGS}, nk AS (SELECT {KEY} AS key, MIN(id) AS rank, MIN({TITLE}) AS t FROM postings GROUP BY 1),
+pr AS (SELECT a.rank AS a, b.rank AS b FROM nk a, nk b WHERE {NEAR}),
 rc(a, b) AS (SELECT a, b FROM pr UNION SELECT rc.a, pr.b FROM rc JOIN pr ON rc.b = pr.a),
 gr AS (SELECT a AS rank, MIN(b) AS duplicate_of FROM rc GROUP BY a)"""
 

@@ -12,7 +12,7 @@ from ..sources.tables import table
 from ..streaming import jobs
 from .cte import APP_LOG, POSTINGS, STATUS_EVENTS, with_
 from .q_joins import applied_log
-from .q_postings import APPLIED, KEY, PREFS, RULES, now
+from .q_postings import APPLIED, KEY, NEAR, PREFS, RULES, TITLE, now
 from .q_returns import rounded
 from .q_sources import scratch
 from .registry import query
@@ -82,8 +82,8 @@ def _(spark, sf):
 
 
 INGEST = f"""ok AS (SELECT * FROM ap WHERE reason IS NULL AND NOT applied), fu AS (SELECT *, FIRST_VALUE(id) OVER (PARTITION BY apply_url ORDER BY first_seen_at, id) AS uid FROM ok),
-nk AS (SELECT {KEY} AS key, MIN(id) AS rank FROM fu WHERE id = uid GROUP BY 1),
-pr AS (SELECT a.rank AS a, b.rank AS b FROM nk a, nk b WHERE levenshtein(a.key, b.key) <= 0.2::DOUBLE * GREATEST(length(a.key), length(b.key))),
+nk AS (SELECT {KEY} AS key, MIN(id) AS rank, MIN({TITLE}) AS t FROM fu WHERE id = uid GROUP BY 1),
+pr AS (SELECT a.rank AS a, b.rank AS b FROM nk a, nk b WHERE {NEAR}),
 rc(a, b) AS (SELECT a, b FROM pr UNION SELECT rc.a, pr.b FROM rc JOIN pr ON rc.b = pr.a), gr AS (SELECT a AS rank, MIN(b) AS root FROM rc GROUP BY a),
 rt AS (SELECT fu.id AS uid, root FROM fu JOIN nk ON nk.key = {KEY} JOIN gr USING (rank) WHERE fu.id = fu.uid), mm AS (SELECT fu.*, root FROM fu JOIN rt USING (uid)),
 sr AS (SELECT root, source, MIN((first_seen_at, id)) AS o FROM mm GROUP BY root, source), fin AS (SELECT root AS id, string_agg(source, ',' ORDER BY o) AS sources FROM sr GROUP BY root)"""

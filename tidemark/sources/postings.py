@@ -127,19 +127,24 @@ def _fields(source: str, company: Column) -> dict[str, Column]:
                 posted_date=some(j("datePosted")), remote_status=flag(j("jobLocationType") == "TELECOMMUTE"))
 
 
+def require_known(raw: DataFrame, source: str = "source") -> DataFrame:
+    """Fails on a row whose source has no normaliser."""
+    known = F.col(source).isin(*SCHEMAS)
+    error = F.raise_error(F.concat(F.lit("no normaliser for source: "), F.coalesce(F.col(source), F.lit("null")))).cast("string")
+    return raw.withColumn(source, F.when(known, F.col(source)).otherwise(error))
+
+
 def normalise(raw: DataFrame, source: str = "source", body: str = "raw", company: str = "company", extra: list[str] = ()) -> DataFrame:
     """Landed rows (source, company, JSON text) to the ten-column schema.
 
-    An unknown source raises.  Every row is parsed by its own source's schema
-    only: the filter on the source comes before the parse.
+    An unknown source raises (its rows reach a branch that fails).  Every row
+    is parsed by its own source's schema only: the filter comes first.
     """
-    known = F.col(source).isin(*SCHEMAS)
-    checked = raw.withColumn(source, F.when(known, F.col(source)).otherwise(
-        F.raise_error(F.concat(F.lit("no normaliser for source: "), F.coalesce(F.col(source), F.lit("null")))).cast("string")))
-    out = None
+    strange = require_known(raw.filter(~F.col(source).isin(*SCHEMAS) | F.col(source).isNull()), source)
+    out = strange.select(*extra, *[(F.col(source) if c == "source" else F.lit(None).cast("string")).alias(c) for c in COLUMNS])
     for name, schema in SCHEMAS.items():
-        rows = checked.filter(F.col(source) == name).withColumn("j", F.from_json(body, schema))
+        rows = raw.filter(F.col(source) == name).withColumn("j", F.from_json(body, schema))
         cols = _fields(name, F.col(company))
         part = rows.select(*extra, *[(F.lit(name) if c == "source" else cols[c]).alias(c) for c in COLUMNS])
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(part)
     return out
