@@ -15,7 +15,7 @@ from ..functions.finance import ratio
 from ..functions.tokens import (Lexicon, bigrams, claim_tokens, claims, combined_text, lexicon_score, mentions, numeric_claims,
                                 substantive, word_count, words)
 from .selection import first_per_key, top_per_key
-from .windows import Grid, members, window_bounds
+from .windows import Grid, members, sum_members, window_bounds
 
 NEWS = ["news_baseline", "news_recent"]
 
@@ -132,12 +132,13 @@ def sentiment_shift(stats: DataFrame, novelty: DataFrame | None = None) -> DataF
 def vocab_novelty(docs: DataFrame, grid: Grid, top_n: int = 100, stop=fixed.NOVELTY_STOP_WORDS) -> DataFrame:
     """Share of the recent window's top terms absent from the baseline's.
 
-    Terms are counted per (symbol, day) before they fan out, and the top list
-    keeps a bounded number of rows per window before the exchange.
+    Terms are counted per block of days that share their windows before they
+    fan out, and the top list keeps a bounded number of rows per window before
+    the exchange.
     """
     t = doc_columns(docs).select("symbol", "published", F.explode(words(F.col("combined"), fixed.LONG_WORD)).alias("term"))
-    daily = t.filter(~F.col("term").isin(*stop)).groupBy("symbol", "published", "term").agg(F.count("*").alias("n"))
-    counts = members(daily, "published", grid, NEWS).groupBy("symbol", "as_of", "ds", "term").agg(F.sum("n").alias("n"))
+    t = t.filter(~F.col("term").isin(*stop)).withColumn("n", F.lit(1))
+    counts = sum_members(t, "published", grid, NEWS, ["symbol", "term"], "n")
     top = top_per_key(counts, ["symbol", "as_of", "ds"], [F.desc("n"), "term"], top_n).select("symbol", "as_of", "ds", "term")
     # both lists meet on the term: one row per (window pair, term)
     per_term = top.groupBy("symbol", "as_of", "term").agg(F.count_if(F.col("ds") == "news_recent").alias("_r"), F.count_if(F.col("ds") == "news_baseline").alias("_b"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.finance import ratio
-from .ranking import average_ranks, hash_positions, running_total, sorted_positions
+from .ranking import average_ranks, hash_positions, running_total, sorted_positions, with_row
 from .windows import DEFAULT_HORIZON, label_days
 
 # Fixed values.
@@ -27,7 +27,7 @@ def group_quantiles(df: DataFrame, groups: list[str], value: str, probs: dict[st
     counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("__n"))
     s = running_total(counts, [*groups, value], {"__n": "__less"})
     extent = s.groupBy(*groups).agg(F.min("__less").alias("__start"), F.sum("__n").alias("__size"))
-    s = (s.join(extent, groups) if groups else s.join(extent, F.lit(True))).withColumn("__rel", F.col("__less") - F.col("__start"))
+    s = (s.join(extent, groups) if groups else with_row(s, extent)).withColumn("__rel", F.col("__less") - F.col("__start"))
     aggs, outs = [F.max("__size").alias("n")], []
     for name, q in probs.items():
         pos = (F.col("__size") - 1) * F.lit(float(q))
@@ -137,7 +137,7 @@ def information_coefficient(pred: DataFrame, y: str = "y", p: str = "p") -> Data
 def hit_rate_top(pred: DataFrame, q: float = 0.1, y: str = "y", p: str = "p") -> DataFrame:
     size = pred.withColumn("_a", F.abs(p))
     cut = group_quantiles(size, [], "_a", {"_cut": 1 - q}).withColumnRenamed("n", "_n")
-    top = size.join(cut, F.col("_a") >= F.col("_cut"))
+    top = with_row(size, cut).filter(F.col("_a") >= F.col("_cut"))
     g = top.agg(F.max("_n").alias("_n"), F.avg(same_sign(y, p)).alias("_h"), F.count_if(F.col(y) != 0).alias("n_top"))
     return g.select("n_top", F.when(F.col("_n") >= 20, F.col("_h")).alias("hit_rate"))
 
@@ -165,7 +165,7 @@ def auc(pred: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame
     c = pred.groupBy(*by, p).agg(F.sum(F.col(y).cast("long")).alias("_pos"), F.sum(1 - F.col(y).cast("long")).alias("_neg"))
     s = running_total(c, [*by, p], {"_neg": "_below"})
     ext = s.groupBy(*by).agg(F.min("_below").alias("_start"), F.sum("_pos").alias("n1"), F.sum("_neg").alias("n0"))
-    s = s.join(ext, by) if by else s.join(ext, F.lit(True))
+    s = s.join(ext, by) if by else with_row(s, ext)
     area = F.sum(F.col("_pos") * (F.col("_below") - F.col("_start") + F.col("_neg") / 2))
     g = s.groupBy(*by).agg(area.alias("_u"), F.max("n1").alias("n1"), F.max("n0").alias("n0"))
     return g.select(*by, "n1", "n0", F.when((F.col("n1") > 0) & (F.col("n0") > 0), F.col("_u") / (F.col("n1") * F.col("n0").cast("double"))).alias("roc_auc"))
@@ -176,7 +176,7 @@ def classification_metrics(pred: DataFrame, by: list[str], y: str = "y", p: str
     rest = pred.groupBy(*by).agg((-F.avg(t * F.log(q) + (1 - t) * F.log(1 - q))).alias("log_loss"), F.avg((q - t) * (q - t)).alias("brier"),
                                  F.avg(((q >= 0.5) == (t == 1)).cast("double")).alias("accuracy"), F.count("*").alias("n"))
     a = auc(pred.withColumn("_q", q), by, y, "_q").select(*by, "roc_auc")
-    return rest.join(a, by) if by else rest.join(a, F.lit(True))
+    return rest.join(a, by) if by else with_row(rest, a)
 
 
 def null_se(n1: Column, n0: Column) -> Column:

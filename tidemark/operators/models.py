@@ -17,6 +17,7 @@ from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut_lineage
 from .evaluation import regression_metrics
 
 # Model settings.
@@ -65,7 +66,7 @@ class TextBranch:
 
     def fit(self, df: DataFrame) -> "TextBranch":
         c = self.column
-        terms = self._terms(df)
+        terms = cut_lineage(self._terms(df).select(f"{c}__g"))  # each text is tokenised once
         self.counter = CountVectorizer(inputCol=f"{c}__g", outputCol=f"{c}__tf", vocabSize=self.max_features, minDF=self.min_df, maxDF=self.max_df).fit(terms)
         idf = IDF(inputCol=f"{c}__tf", outputCol=f"{c}__i").fit(self.counter.transform(terms))
         self.document_frequency = idf.docFreq

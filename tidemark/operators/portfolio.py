@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.finance import ratio, utility
+from .ranking import with_row
 
 
 def capital_allocation(assets: DataFrame, rf: Column, aversions: list[float], mean: str = "mean", sd: str = "sd") -> DataFrame:
@@ -60,20 +61,20 @@ def markowitz(rets: DataFrame, weights: DataFrame, by: str = "symbol", r: str =
     n = weights.agg(F.count("*").alias("_n_assets"))
     daily = (rets.filter(F.col(r).isNotNull()).join(weights, by)
              .groupBy("date").agg(F.sum(F.col("weight") * F.col(r)).alias("_p"), F.count("*").alias("_have")))
-    whole = daily.join(n, daily["_have"] == n["_n_assets"])
+    whole = with_row(daily, n).filter(F.col("_have") == F.col("_n_assets"))
     return whole.agg(F.count("*").alias("n_days"), F.avg("_p").alias("portfolio_return"), F.var_samp("_p").alias("portfolio_variance"))
 
 
 def treynor_black(fits: DataFrame, keys: list[str], alpha: str = "alpha", residual_sd: str = "residual_std") -> DataFrame:
     """alpha / residual variance, normalised to one; combined squared Sharpe.
 
-    The total is one aggregated row, joined back by a constant key.
+    The total is one aggregated row, read as a scalar subquery.
     """
     x = ratio(F.col(alpha), F.col(residual_sd) * F.col(residual_sd))
-    f = fits.select(*keys, alpha, residual_sd, x.alias("_x")).filter(F.col("_x").isNotNull()).withColumn("_one", F.lit(1))
-    total = f.groupBy("_one").agg(F.sum("_x").alias("_t"))
+    f = fits.select(*keys, alpha, residual_sd, x.alias("_x")).filter(F.col("_x").isNotNull())
+    total = f.agg(F.sum("_x").alias("_t"))
     weight = F.when(F.col("_t") == 0, F.raise_error(F.lit("weights undefined")).cast("double")).otherwise(F.col("_x") / F.col("_t"))
-    return f.join(total, "_one").select(*keys, alpha, residual_sd, weight.alias("weight"))
+    return with_row(f, total).select(*keys, alpha, residual_sd, weight.alias("weight"))
 
 
 def combined_sharpe_squared(market_sharpe: Column, active_ratio: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import cut_lineage
 from .evaluation import group_quantiles
-from .ranking import sorted_positions
+from .ranking import sorted_positions, with_row
 from .selection import top_per_key
 
 
@@ -31,9 +31,9 @@ def impute(df: DataFrame, cols: list[str], how: str = "median") -> DataFrame:
         fill = counts.groupBy("_c").agg(F.max_by("_v", F.struct("_n", -F.col("_v"))).alias("_fill"))
     else:
         raise ValueError(f"unknown strategy {how}")
-    row = fill.agg(*[F.max(F.when(F.col("_c") == c, F.col("_fill"))).alias(f"_f_{c}") for c in cols]).withColumn("_one", F.lit(1))
-    filled = df.withColumn("_one", F.lit(1)).join(row, "_one")
-    return filled.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_f_{c}")) for c in cols}).drop("_one", *[f"_f_{c}" for c in cols])
+    row = fill.agg(*[F.max(F.when(F.col("_c") == c, F.col("_fill"))).alias(f"_f_{c}") for c in cols])
+    filled = with_row(df, row)
+    return filled.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_f_{c}")) for c in cols}).drop(*[f"_f_{c}" for c in cols])
 
 
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -68,8 +68,7 @@ def document_frequency(docs: DataFrame, tokens: Column, min_df: int = 1, max_sha
     per = t.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     df = per.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
     if max_share < 1.0:
-        n = docs.agg(F.count("*").alias("_n")).withColumn("_one", F.lit(1))
-        df = df.withColumn("_one", F.lit(1)).join(n, "_one").filter(F.col("df") <= F.col("_n") * max_share).drop("_one", "_n")
+        df = with_row(df, docs.agg(F.count("*").alias("_n"))).filter(F.col("df") <= F.col("_n") * max_share).drop("_n")
     return df.filter(F.col("df") >= min_df)
 
 
@@ -78,8 +77,8 @@ def pca_project(df: DataFrame, key: list[str], column: str, k: int = 2) -> DataF
     v = df.select(*key, array_to_vector(F.col(column).cast("array<double>")).alias("_v"))
     model = PCA(k=k, inputCol="_v", outputCol="_p").fit(v)
     mean = v.select(F.posexplode(vector_to_array("_v")).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"))
-    centre = mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("_m")).withColumn("_one", F.lit(1))
-    centred = v.withColumn("_one", F.lit(1)).join(centre, "_one")
+    centre = mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("_m"))
+    centred = with_row(v, centre)
     centred = centred.select(*key, array_to_vector(F.zip_with(vector_to_array("_v"), "_m", lambda a, b: a - b)).alias("_v"))
     out = model.transform(centred).select(*key, vector_to_array("_p").alias("_p"))
     return out.select(*key, *[F.get("_p", F.lit(i)).alias(f"pc{i + 1}") for i in range(k)])

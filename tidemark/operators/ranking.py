@@ -18,6 +18,12 @@ from ..session import cut_lineage
 _LOW = (1 << 33) - 1
 
 
+def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Adds the columns of a one-row table as a scalar subquery."""
+    value = row.select(F.struct("*").alias("_row_")).scalar()
+    return df.withColumn("_row_", value).select("*", "_row_.*").drop("_row_")
+
+
 def _numbered(df: DataFrame, order: list) -> DataFrame:
     s = cut_lineage(df.orderBy(*order))
     s = s.withColumn("_id", F.monotonically_increasing_id())
@@ -39,7 +45,7 @@ def sorted_positions(df: DataFrame, groups: list[str], order: list, position: st
     offsets = _before(s.groupBy("_part").agg(F.count("*").alias("_c")), "_c", "__off")
     placed = s.join(offsets, "_part").withColumn("__at", F.col("__off") + F.col("_row")).drop("_part", "_row", "__off")
     extent = placed.groupBy(*groups).agg(F.min("__at").alias("__start"), F.count("*").alias(size))
-    joined = placed.join(extent, groups) if groups else placed.join(extent, F.lit(True))
+    joined = placed.join(extent, groups) if groups else with_row(placed, extent)
     return joined.withColumn(position, F.col("__at") - F.col("__start")).drop("__at", "__start")
 
 

@@ -102,15 +102,12 @@ def window_spec(as_of: DataFrame) -> DataFrame:
     return as_of.select("as_of", F.inline(F.array(*specs)))
 
 
-def members(df: DataFrame, column: str, grid: Grid, names: list[str]) -> DataFrame:
-    """Every row once per (as_of, window) that contains it.
+def window_array(day: Column, grid: Grid, names: list[str]) -> Column:
+    """Every (as_of, window) that contains a day, as an array of structs.
 
-    The row's day fixes the grid points it can belong to: candidates come from
-    arithmetic on the grid, the exact calendar rule is applied afterwards.  No
-    join and no exchange; the output is as partitioned as the input.
+    The day fixes the grid points it can belong to: candidates come from
+    arithmetic on the grid, the exact calendar rule is applied afterwards.
     """
-    day = F.to_date(column)
-
     def points_of(name: str) -> Column:
         back_from, back_to = WINDOW_MONTHS[name]
         nearest = F.date_add(day, 1) if back_to == 0 else F.date_add(day, 27 * back_to)
@@ -123,7 +120,27 @@ def members(df: DataFrame, column: str, grid: Grid, names: list[str]) -> DataFra
         found = F.coalesce(F.filter(candidates, inside), F.array().cast("array<date>"))
         return F.transform(found, lambda a: F.struct(a.alias("as_of"), F.lit(name).alias("ds")))
 
-    return df.select("*", F.inline(F.concat(*[points_of(n) for n in names])))
+    return F.concat(*[points_of(n) for n in names])
+
+
+def members(df: DataFrame, column: str, grid: Grid, names: list[str]) -> DataFrame:
+    """Every row once per (as_of, window) that contains it: no join and no
+    exchange; the output is as partitioned as the input."""
+    return df.select("*", F.inline(window_array(F.to_date(column), grid, names)))
+
+
+def sum_members(df: DataFrame, day: str, grid: Grid, names: list[str], by: list[str], value: str) -> DataFrame:
+    """Sum of a value per (as_of, window) and key.
+
+    Days that lie in exactly the same windows form a block, and rows are
+    summed per block before they fan out.  The tables of days and blocks hold
+    one row per calendar day at most.
+    """
+    days = df.select(F.col(day).alias("_d")).distinct().withColumn("_w", window_array(F.col("_d"), grid, names)).filter(F.size("_w") > 0)
+    blocks = days.groupBy("_w").agg(F.min("_d").alias("_b"), F.collect_list("_d").alias("_ds"))
+    of_day = blocks.select("_b", F.explode("_ds").alias(day))
+    per_block = df.join(of_day, day).groupBy("_b", *by).agg(F.sum(value).alias(value))
+    return per_block.join(blocks.select("_b", "_w"), "_b").select(*by, value, F.inline("_w")).groupBy("as_of", "ds", *by).agg(F.sum(value).alias(value))
 
 
 def edges(bars: DataFrame, grid: Grid, *, by: list[str], date_col: str = "date", inclusive: bool = False) -> DataFrame:

@@ -85,11 +85,6 @@ def _(spark, sf):
     return d.select("doc_id", F.substring(F.sha1(F.concat_ws("|", "source", "lang", "text")), 1, 16).alias("hash_id"))
 
 
-@query("extract_article_text")
-def _(spark, sf):
-    return table(spark, sf, "pages").select("page_id", markup.article_text(F.col("html")).alias("body"))
-
-
 def sql_strip(c: str) -> str:
     out = f"regexp_replace({c}, '<[^>]+>', ' ', 'g')"
     for e, v in [x for x in ENTITIES if x[0] != "&amp;"] + [("&amp;", "&")]:
@@ -97,6 +92,18 @@ def sql_strip(c: str) -> str:
     return f"trim(regexp_replace({out}, '[\\s ]+', ' ', 'g'))"
 
 
+def sql_article() -> str:
+    t = "html"
+    for tag in ("script", "style", "nav", "header", "footer", "aside"):
+        t = f"regexp_replace({t}, '<{tag}\\b[^>]*>.*?</{tag}>', '', 'gis')"
+    return f"""SELECT page_id, left(COALESCE(array_to_string(list_filter(list_transform(regexp_extract_all({t}, '<p(?:\\s[^>]*)?>(.*?)</p>', 1, 'is'), lambda p: {sql_strip('p')}), lambda p: length(p) > 40), chr(10)), ''), 50000) AS body FROM pages"""
+
+
+@query("extract_article_text", sql_article())
+def _(spark, sf):
+    return table(spark, sf, "pages").select("page_id", markup.article_text(F.col("html")).alias("body"))
+
+
 @query("strip_html", f"SELECT page_id, {sql_strip('html')} AS plain FROM pages")
 def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", markup.strip_html(F.col("html")).alias("plain"))
