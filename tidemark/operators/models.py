@@ -26,6 +26,7 @@ FOREST = dict(numTrees=200, maxDepth=6, minInstancesPerNode=20, seed=0)
 BOOSTED = dict(maxIter=200, stepSize=0.05, maxDepth=3, subsamplingRate=0.8, seed=0)
 TEXT = dict(max_features=20_000, min_df=2.0, max_df=0.85)
 SVD_COMPONENTS = 24
+GRAM_WIDTH = 2048  # widest vocabulary whose cross-products are held at once
 
 
 def routed_columns(panel: DataFrame) -> tuple[list[str], list[str]]:
@@ -91,9 +92,15 @@ class AdaptiveSVD:
         width = len(df.select(self.column).first()[0])
         k = max(1, min(self.k, width - 1))
         rows = df.select(self.column).rdd.map(lambda r: OldVectors.fromML(r[0]))
-        svd = RowMatrix(rows).computeSVD(k, computeU=False)
-        self.singular = [float(s) for s in svd.s.toArray()]
-        self.components = svd.V.toArray()
+        if width <= GRAM_WIDTH:
+            # one pass sums the width x width cross-products; the rest is small
+            gram = RowMatrix(rows, numCols=width).computeGramianMatrix().toArray()
+            values, vectors = np.linalg.eigh(gram)
+            best = np.argsort(values)[::-1][:k]
+            self.singular, self.components = [float(v) for v in np.sqrt(np.clip(values[best], 0, None))], vectors[:, best]
+        else:
+            svd = RowMatrix(rows, numCols=width).computeSVD(k, computeU=False)
+            self.singular, self.components = [float(v) for v in svd.s.toArray()], svd.V.toArray()
         return self
 
     def transform(self, df: DataFrame, out: str) -> DataFrame:

@@ -136,7 +136,9 @@ def sum_members(df: DataFrame, day: str, grid: Grid, names: list[str], by: list[
     summed per block before they fan out.  The tables of days and blocks hold
     one row per calendar day at most.
     """
-    days = df.select(F.col(day).alias("_d")).distinct().withColumn("_w", window_array(F.col("_d"), grid, names)).filter(F.size("_w") > 0)
+    first = grid.start - timedelta(days=31 * max(WINDOW_MONTHS[n][0] for n in names) + 1)
+    days = df.sparkSession.range((grid.end - first).days + 1).select(F.date_add(F.lit(first), F.col("id").cast("int")).alias("_d"))
+    days = days.withColumn("_w", window_array(F.col("_d"), grid, names)).filter(F.size("_w") > 0)
     blocks = days.groupBy("_w").agg(F.min("_d").alias("_b"), F.collect_list("_d").alias("_ds"))
     of_day = blocks.select("_b", F.explode("_ds").alias(day))
     per_block = df.join(of_day, day).groupBy("_b", *by).agg(F.sum(value).alias(value))

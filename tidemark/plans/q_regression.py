@@ -32,7 +32,7 @@ def line(y: str, x: str, extra: str = "") -> str:
 DERIVED = """n_obs, ROUND(alpha, 6) AS alpha, ROUND(beta, 6) AS beta, ROUND(r_squared, 6) AS r_squared, ROUND(residual_std, 6) AS residual_std,
   ROUND(residual_std * SQRT(1.0 / n_obs + mx * mx / sxx), 6) AS alpha_stderr, ROUND(residual_std / SQRT(sxx), 6) AS beta_stderr,
   ROUND(alpha / (residual_std * SQRT(1.0 / n_obs + mx * mx / sxx)), 6) AS alpha_tstat, ROUND(beta / (residual_std / SQRT(sxx)), 6) AS beta_tstat,
-  ROUND(POW(1 + alpha, 252) - 1, 6) AS alpha_annual, ROUND(SIGN(beta) * SQRT(r_squared), 6) AS correlation,
+  ROUND(POW(1 + alpha, 252) - 1, 2) AS alpha_annual, ROUND(SIGN(beta) * SQRT(r_squared), 6) AS correlation,
   ROUND(1 - r_squared, 6) AS firm_specific_share, ROUND(alpha / residual_std, 6) AS information_ratio"""
 
 
@@ -42,7 +42,8 @@ def aligned(spark, sf):
 
 @query("fit_scl", with_(*BASE, f"f AS (SELECT symbol, index_key, {line('ye', 'xe')} FROM al GROUP BY symbol, index_key)") + f"SELECT symbol, index_key, {DERIVED} FROM f")
 def _(spark, sf):
-    return rounded(reg.fit_scl(aligned(spark, sf), PAIR), PAIR)
+    fit = reg.fit_scl(aligned(spark, sf), PAIR)
+    return rounded(fit.withColumn("alpha_annual", r(F.col("alpha_annual"), 2)), PAIR)
 
 
 @query("residual_series", with_(*BASE, "f AS (SELECT symbol, index_key, REGR_INTERCEPT(ye, xe) AS a, REGR_SLOPE(ye, xe) AS b FROM al GROUP BY ALL)") + """
