@@ -192,8 +192,8 @@ def auc_null_se(pred: DataFrame, by: list[str], y: str = "y", p: str = "p") -> D
 def compare_models(pred: DataFrame, model: str = "model", y: str = "y", p: str = "p") -> DataFrame:
     """Every model against the floor and the constant base-rate guess."""
     m = classification_metrics(pred, [model], y, p)
-    ref = lambda name, tag: m.filter(F.col(model) == name).select(F.lit(1).alias("_one"), F.col("roc_auc").alias(f"_auc_{tag}"), F.col("log_loss").alias(f"_ll_{tag}"))
-    j = m.withColumn("_one", F.lit(1)).join(ref(FLOOR, "f"), "_one", "left").join(ref(MAJORITY, "m"), "_one", "left")
+    ref = lambda name, tag: m.filter(F.col(model) == name).select(F.col("roc_auc").alias(f"_auc_{tag}"), F.col("log_loss").alias(f"_ll_{tag}"))
+    j = with_row(with_row(m, ref(FLOOR, "f")), ref(MAJORITY, "m"))
     return j.select(model, "n", "roc_auc", "log_loss", "brier", "accuracy", (F.col("roc_auc") - F.col("_auc_f")).alias("d_auc"), (F.col("log_loss") - F.col("_ll_f")).alias("d_log_loss"),
                     ((F.col(model) != MAJORITY) & (F.col("log_loss") > 1.05 * F.col("_ll_m"))).alias("overconfident"))
 

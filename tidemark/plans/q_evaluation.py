@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as ev
+from ..operators.ranking import with_row
 from ..sources import views
 from ..sources.tables import table
 from . import panel as pn
@@ -117,5 +118,5 @@ def _(spark, sf):
     p = F.col("p")
     rows = F.array(F.struct(F.lit("logistic").alias("model"), p.alias("p")), F.struct(F.lit("mlp").alias("model"), F.when(F.col("y") == 1, 0.4 + p * 0.6).otherwise(p * 0.7).alias("p")),
                    F.struct(F.lit("sharp").alias("model"), F.when(p > 0.5, 0.999).otherwise(0.001).alias("p")), F.struct(F.lit("majority").alias("model"), F.col("_rate").alias("p")))
-    pred = s.withColumn("_one", F.lit(1)).join(rate.withColumn("_one", F.lit(1)), "_one").select("doc_id", "y", F.inline(rows))
+    pred = with_row(s, rate).select("doc_id", "y", F.inline(rows))
     return rounded(ev.compare_models(pred), ["model"])
