@@ -157,6 +157,19 @@ def test_similar_keys_misses_no_pair(spark):
     assert got == want
 
 
+def test_candidates_stay_near_the_true_pairs(spark):
+    from tidemark.sources import views
+    p = views.postings(spark, "/root/testdata/sf0.01")
+    keys = p.select(po.dedup_key(F.col("title"), F.col("company"), F.col("location")).alias("key"), po.dedup_key(F.col("title"), F.lit("")).alias("_t")).groupBy("key").agg(F.min("_t").alias("_t"))
+    k = keys.withColumn("_n", F.length("key")).filter("_n > 0")
+    names = k.select("_t").distinct()
+    near = po.similar_keys(names.select(F.col("_t").alias("key")))
+    titles = names.select(F.col("_t").alias("ta"), F.col("_t").alias("tb")).union(near.select("a", "b")).union(near.select("b", "a"))
+    met = po.candidates(po.rare_pieces(k, 0.2), titles, 0.2).count()
+    true = po.similar_keys(keys.withColumnRenamed("_t", "title_key")).count()
+    assert true <= met <= 5 * true
+
+
 def test_status_machine_folds_across_partitions(spark):
     rng = random.Random(5)
     steps = [rng.choice(["queued", "generating", "tailored", "rejected", "new", "archived"]) for _ in range(400)]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import fixed
 from ..functions.dates import is_fresh
@@ -263,16 +263,38 @@ def dedup_exact(df: DataFrame, url: str = "apply_url", order: Sequence[str] = ("
     return first_per_key(df, [url], list(order))
 
 
-def trigrams(key: Column) -> Column:
-    """Three-letter pieces of a key padded on both sides; a repeated piece is
-    numbered, so every position counts."""
-    padded = F.concat(F.lit("##"), key, F.lit("##"))
-    piece = lambda i: F.substring(padded, i, F.lit(3))
+def pieces(keys: DataFrame) -> DataFrame:
+    """Adds a row per three-letter piece ``g`` of a key padded on both sides; a
+    repeated piece is numbered, so every position counts."""
+    padded = F.concat(F.lit("##"), F.col("key"), F.lit("##"))
+    cut = F.transform(F.sequence(F.lit(1), F.length("key") + 2), lambda i: F.substring(padded, i, F.lit(3)))
+    rows = keys.select("*", F.posexplode(cut).alias("_at", "_g"))
+    nth = F.row_number().over(W.partitionBy("key", "_g").orderBy("_at"))
+    return rows.withColumn("g", F.concat("_g", nth.cast("string"))).drop("_at", "_g")
 
-    def numbered(i: Column) -> Column:
-        earlier = F.filter(F.sequence(F.lit(1), i), lambda j: piece(j) == piece(i))
-        return F.concat(piece(i), F.size(earlier).cast("string"))
-    return F.transform(F.sequence(F.lit(1), F.length(padded) - 2), numbered)
+
+def rare_pieces(keys: DataFrame, threshold: float) -> DataFrame:
+    """(key, _t, _n, g): for each key its rarest pieces, one more than the edits allowed can change.
+
+    One edit changes at most three padded pieces, so two keys within d edits
+    share all but 3d of their numbered pieces; when each key keeps only its
+    rarest 3d + 1 pieces, a pair within the distance still meets on one of them.
+    """
+    every = pieces(keys)
+    freq = every.groupBy("g").agg(F.count("*").alias("_f"))
+    # the longest partner of a key of length n has n / (1 - t) letters
+    allowed = F.floor(F.floor(F.col("_n") / (1 - threshold) + 1e-9) * threshold + 1e-9).cast("int")
+    ranked = every.join(freq, "g").groupBy("key", "_t", "_n").agg(F.array_sort(F.collect_list(F.struct("_f", "g"))).alias("_gs"))
+    return ranked.select("key", "_t", "_n", F.explode(F.slice("_gs", 1, 3 * allowed + 1)).alias("s")).select("key", "_t", "_n", F.col("s.g").alias("g"))
+
+
+def candidates(rare: DataFrame, titles: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, lim): keys that share a rare piece, have near titles and lengths within ``lim`` edits."""
+    a = rare.select(F.col("key").alias("a"), F.col("_n").alias("na"), F.col("_t").alias("ta"), "g").join(titles, "ta").drop("ta")
+    b = rare.select(F.col("key").alias("b"), F.col("_n").alias("nb"), F.col("_t").alias("tb"), "g")
+    lim = F.floor(F.greatest("na", "nb") * threshold + 1e-9).cast("int")
+    met = a.join(b, ["tb", "g"]).filter((F.col("a") < F.col("b")) & (F.abs(F.col("na") - F.col("nb")) <= lim))
+    return met.select("a", "b", lim.alias("lim")).distinct()
 
 
 def similar_keys(keys: DataFrame, threshold: float = 0.2) -> DataFrame:
@@ -280,42 +302,33 @@ def similar_keys(keys: DataFrame, threshold: float = 0.2) -> DataFrame:
     whose titles (when given) are within it too: a long company and place must
     not hide another discipline.
 
-    No pair within the distance is missed.  One edit changes at most three
-    padded pieces, so two keys within d edits share all but 3d of their
-    numbered pieces; when each key keeps only its rarest 3d + 1 pieces, a pair
-    within the distance still meets on one of them.  Frequent pieces are thus
-    never a join key, and lengths that differ too much never meet.
+    No pair within the distance is missed.  Titles, of which there are few,
+    are paired first; keys then meet only under two near titles and one of
+    their rarest pieces (``rare_pieces``), and lengths that differ too much
+    never meet.  The edit distance stops counting at its limit.
     """
-    title = F.col("title_key") if "title_key" in keys.columns else F.lit("")
-    k = keys.groupBy("key").agg(F.min(title).alias("t")).withColumn("_n", F.length("key")).filter(F.col("_n") > 0)
-    pieces = k.select("key", "_n", F.explode(trigrams(F.col("key"))).alias("g"))
-    freq = pieces.groupBy("g").agg(F.count("*").alias("_f"))
-    # the longest partner of a key of length n has n / (1 - t) letters
-    allowed = F.floor(F.floor(F.col("_n") / (1 - threshold) + 1e-9) * threshold + 1e-9).cast("int")
-    ranked = pieces.join(freq, "g").groupBy("key", "_n").agg(F.array_sort(F.collect_list(F.struct("_f", "g"))).alias("_gs"))
-    rare = ranked.select("key", "_n", F.explode(F.slice("_gs", 1, 3 * allowed + 1)).alias("s")).select("key", "_n", F.col("s.g").alias("g"))
-    a, b = rare.select(F.col("key").alias("a"), F.col("_n").alias("na"), "g"), rare.select(F.col("key").alias("b"), F.col("_n").alias("nb"), "g")
-    long = F.greatest("na", "nb")
-    limit = F.floor(long * threshold + 1e-9).cast("int")
-    near = a.join(b, "g").filter((F.col("a") < F.col("b")) & (F.abs(F.col("na") - F.col("nb")) <= limit)).select("a", "b", "na", "nb").distinct()
-    near = near.filter(F.levenshtein("a", "b") <= F.greatest("na", "nb") * threshold).select("a", "b")
-    if "title_key" not in keys.columns:
-        return near
-    names = lambda c, n: k.select(F.col("key").alias(c), F.col("t").alias(n))
-    titled = near.join(names("a", "ta"), "a").join(names("b", "tb"), "b")
-    return titled.filter(F.levenshtein("ta", "tb") <= F.greatest(F.length("ta"), F.length("tb")) * threshold).select("a", "b")
-
-
-def components(nodes: DataFrame, pairs: DataFrame, rank: str = "rank", rounds: int = 50) -> DataFrame:
+    titled = "title_key" in keys.columns
+    k = keys.groupBy("key").agg(F.min("title_key" if titled else F.lit("")).alias("_t")).withColumn("_n", F.length("key")).filter(F.col("_n") > 0)
+    if titled:
+        k = cut_lineage(k)
+        names = k.select("_t").distinct()
+        near = similar_keys(names.select(F.col("_t").alias("key")), threshold)
+        titles = names.select(F.col("_t").alias("ta"), F.col("_t").alias("tb")).unionByName(near.select(F.col("a").alias("ta"), F.col("b").alias("tb"))).unionByName(near.select(F.col("b").alias("ta"), F.col("a").alias("tb")))
+    else:
+        titles = keys.sparkSession.createDataFrame([("", "")], "ta string, tb string")
+    met = candidates(rare_pieces(k, threshold), titles, threshold)
+    return met.filter(F.expr("levenshtein(a, b, lim)") >= 0).select("a", "b")
+
+
+def components(nodes: DataFrame, pairs: DataFrame, rank: str = "rank") -> DataFrame:
     """(key, root): the best-ranked key of each connected group.
 
     Labels move along the pairs and along labels already found, so a chain is
-    halved each round; the loop ends when nothing changes and fails loudly
-    rather than return an unfinished labelling.
+    halved each round; the loop ends when nothing changes.
     """
     edge = cut_lineage(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     label = cut_lineage(nodes.select("key", F.col(rank).alias("label")))
-    for _ in range(rounds):
+    while True:
         seen = edge.join(label, edge["b"] == label["key"]).groupBy("a").agg(F.min("label").alias("_m"))
         step = label.join(seen, label["key"] == seen["a"], "left").select("key", "label", F.least("label", "_m").alias("_new"))
         # follow the label's own label
@@ -325,7 +338,6 @@ def components(nodes: DataFrame, pairs: DataFrame, rank: str = "rank", rounds: i
         label = nxt.select("key", F.col("_new").alias("label"))
         if not changed:
             return label
-    raise RuntimeError("duplicate groups did not settle")
 
 
 def dedup_fuzzy(df: DataFrame, threshold: float = 0.2, id_col: str = "id") -> DataFrame:
