@@ -228,21 +228,27 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """(id, ids): the token ids of every whole text, as little-endian unsigned 32-bit integers.
 
+    ``decoded`` adds the text that the ids decode to, in the same pass.
     Special tokens written in a text are themselves; no others are added.  A
     null or empty text has no ids; repeated rows give repeated results.
     ``path`` is the vocabulary file, installed on every executor.
     """
     src = c.only(df, id=id_col, text=text_col)
+    more = (("decoded", c.STRING),) if decoded else ()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = codec(path)
         for b in batches:
-            for at, got in codec(path).encode(b.column("text")):
-                packed = pa.array([x.astype("<u4").tobytes() for x in got], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(at, len(got)), packed], ["id", "ids"])
-    return src.mapInArrow(task, c.struct(("id", c.column_type(src, "id")), ("ids", c.BINARY)))
+            for at, got in tool.encode(b.column("text")):
+                packed = [x.astype("<u4").tobytes() for x in got]
+                cols = [b.column("id").slice(at, len(got)), pa.array(packed, pa.binary())]
+                if decoded:
+                    cols.append(pa.array([tool.decode(x) for x in packed], pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, ["id", "ids", *(n for n, _ in more)])
+    return src.mapInArrow(task, c.struct(("id", c.column_type(src, "id")), ("ids", c.BINARY), *more))
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
