@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.finance import ratio
-from .ranking import average_ranks, hash_positions, running_total, sorted_positions, with_row
+from .ranking import average_ranks, hash_order, hash_positions, running_total, sorted_positions, with_row
+from .selection import top_per_key
 from .windows import DEFAULT_HORIZON, label_days
 
 # Fixed values.
@@ -96,7 +97,7 @@ def stratified_split(df: DataFrame, klass: str, key: str, test_size: float, seed
 
 def undersample(df: DataFrame, klass: str, key: str, cap: int, seed: int = 0) -> DataFrame:
     """At most ``cap`` rows per class, chosen in seeded hash order."""
-    return hash_positions(df, [klass], key, seed).filter(F.col("pos") < cap).drop("pos", "n")
+    return top_per_key(df.withColumn("_h", hash_order(F.col(key), seed)), [klass], ["_h", key], cap).drop("_h")
 
 
 # --- regression -----------------------------------------------------------------

@@ -22,7 +22,7 @@ from .evaluation import regression_metrics
 
 # Model settings.
 RIDGE_ALPHA = 1.0
-FOREST = dict(numTrees=200, maxDepth=6, minInstancesPerNode=20, seed=0)
+FOREST = dict(numTrees=200, maxDepth=6, minInstancesPerNode=20, featureSubsetStrategy="all", seed=0)
 BOOSTED = dict(maxIter=200, stepSize=0.05, maxDepth=3, subsamplingRate=0.8, seed=0)
 TEXT = dict(max_features=20_000, min_df=2.0, max_df=0.85)
 SVD_COMPONENTS = 24

@@ -5,8 +5,7 @@ in a unique column, so the range partitions are even even when one key holds a
 third of the rows.  The sorted rows are written to the shared checkpoint
 folder first, because positions need every reader to see the same partitions.
 
-``hash_positions`` numbers rows in md5 order.  Hashes are even by nature, so
-fixed prefixes serve as buckets and no sort of the whole table is needed.
+``hash_positions`` numbers rows in md5 order in the same way.
 """
 
 from __future__ import annotations
@@ -83,22 +82,10 @@ def hash_order(key: Column, seed: int) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}")))
 
 
-def hash_positions(df: DataFrame, groups: list[str], key: str, seed: int, position: str = "pos", size: str = "n",
-                   digits: int = 3) -> DataFrame:
-    """0-based position in md5 order of a unique key, inside each group.
-
-    ``digits`` hex digits give 16**digits even buckets per group; counts per
-    bucket are the only thing accumulated in order.
-    """
-    h = df.withColumn("_h", hash_order(F.col(key), seed)).withColumn("_b", F.substring("_h", 1, digits))
-    counts = h.groupBy(*groups, "_b").agg(F.count("*").alias("_c"))
-    part = groups or [F.lit(0)]
-    w = W.partitionBy(*part).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(*groups, "_b", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"),
-                            F.sum("_c").over(W.partitionBy(*part)).alias(size))
-    inner = F.row_number().over(W.partitionBy(*groups, "_b").orderBy("_h", key)) - 1
-    return (h.withColumn("_in", inner).join(offsets, [*groups, "_b"])
-            .withColumn(position, F.col("_off") + F.col("_in")).drop("_h", "_b", "_in", "_off"))
+def hash_positions(df: DataFrame, groups: list[str], key: str, seed: int, position: str = "pos", size: str = "n") -> DataFrame:
+    """0-based position in md5 order of a unique key, inside each group."""
+    h = df.withColumn("_h", hash_order(F.col(key), seed))
+    return sorted_positions(h, groups, ["_h", key], position, size).drop("_h")
 
 
 def strided_sample(df: DataFrame, groups: list[str], order: list[str], limit: int) -> DataFrame:

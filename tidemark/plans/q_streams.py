@@ -42,7 +42,7 @@ def landed(spark, df, order: str, parts: int, name: str):
             part = part.filter(F.col(order) > F.lit(lo))
         if hi is not None:
             part = part.filter(F.col(order) <= F.lit(hi))
-        part.coalesce(1).write.mode("append").parquet(folder)
+        part.write.mode("append").parquet(folder)
     return folder
 
 

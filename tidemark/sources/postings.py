@@ -1,7 +1,7 @@
 """Eleven raw posting shapes to one schema.
 
-Each source has a fixed JSON schema, so parsing needs no inference pass; the
-branches read the same landed rows and are united by name.
+Each source has a fixed JSON schema, so parsing needs no inference pass; a row
+is parsed by the schema of its own source, all in one pass over the table.
 """
 
 from __future__ import annotations
@@ -63,7 +63,7 @@ def utc_iso(value: Column) -> Column:
 
 
 def _fields(source: str, company: Column) -> dict[str, Column]:
-    j = lambda f: F.col(f"j.{f}")
+    j = lambda f: F.col(f"_{source}.{f}")
     mentions = lambda c: c.rlike("(?i)" + REMOTE_TEXT)
     none, remote = F.lit(None).cast("string"), F.lit("remote")
     if source == "greenhouse":
@@ -135,16 +135,15 @@ def require_known(raw: DataFrame, source: str = "source") -> DataFrame:
 
 
 def normalise(raw: DataFrame, source: str = "source", body: str = "raw", company: str = "company", extra: list[str] = ()) -> DataFrame:
-    """Landed rows (source, company, JSON text) to the ten-column schema.
+    """Landed rows (source, company, JSON text) to the ten-column schema, in one scan.
 
-    An unknown source raises (its rows reach a branch that fails).  Every row
-    is parsed by its own source's schema only: the filter comes first.
+    Every row is parsed by its own source's schema only; an unknown source raises.
     """
-    strange = require_known(raw.filter(~F.col(source).isin(*SCHEMAS) | F.col(source).isNull()), source)
-    out = strange.select(*extra, *[(F.col(source) if c == "source" else F.lit(None).cast("string")).alias(c) for c in COLUMNS])
-    for name, schema in SCHEMAS.items():
-        rows = raw.filter(F.col(source) == name).withColumn("j", F.from_json(body, schema))
-        cols = _fields(name, F.col(company))
-        part = rows.select(*extra, *[(F.lit(name) if c == "source" else cols[c]).alias(c) for c in COLUMNS])
-        out = out.unionByName(part)
-    return out
+    known = require_known(raw, source)
+    parsed = known.select(*extra, source, F.col(company).alias("_company"), *[F.when(F.col(source) == name, F.from_json(body, schema)).alias(f"_{name}") for name, schema in SCHEMAS.items()])
+    row = F.lit(None)
+    for name in SCHEMAS:
+        cols = _fields(name, F.col("_company"))
+        fields = F.struct(*[(F.lit(name) if c == "source" else cols[c].cast("string")).alias(c) for c in COLUMNS])
+        row = F.when(F.col(source) == name, fields).otherwise(row)
+    return parsed.select(*extra, row.alias("_row")).select(*extra, *[F.col(f"_row.{c}").alias(c) for c in COLUMNS])

@@ -14,17 +14,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Even out a small table before heavy work on its text.
+    """Deals a table out when its scan has fewer splits than there are cores.
 
-    A table smaller than one split per core may sit in a single row group and
-    would then be worked on by one core; it is cheap to deal out.  A larger
-    table already has enough splits and is left alone.
+    Only where the rows lie changes; a table of at least one split per core is read as it is.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    per_split = 128 * 1024 * 1024
-    return df.repartition(cores) if size < cores * per_split else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def text_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
