@@ -17,6 +17,7 @@ from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.fixed import STOP_WORDS
 from ..session import cut_lineage
 from .evaluation import regression_metrics
 
@@ -26,7 +27,6 @@ FOREST = dict(numTrees=200, maxDepth=6, minInstancesPerNode=20, featureSubsetStr
 BOOSTED = dict(maxIter=200, stepSize=0.05, maxDepth=3, subsamplingRate=0.8, seed=0)
 TEXT = dict(max_features=20_000, min_df=2.0, max_df=0.85)
 SVD_COMPONENTS = 24
-GRAM_WIDTH = 2048  # widest vocabulary whose cross-products are held at once
 
 
 def routed_columns(panel: DataFrame) -> tuple[list[str], list[str]]:
@@ -58,8 +58,8 @@ class TextBranch:
     def _terms(self, df: DataFrame) -> DataFrame:
         c = self.column
         df = plain(df.withColumn(f"{c}__t", F.coalesce(F.col(c), F.lit(""))), f"{c}__t")
-        df = RegexTokenizer(inputCol=f"{c}__t", outputCol=f"{c}__w", pattern=r"\w\w+", gaps=False).transform(df)
-        df = StopWordsRemover(inputCol=f"{c}__w", outputCol=f"{c}__s").transform(df)
+        df = RegexTokenizer(inputCol=f"{c}__t", outputCol=f"{c}__w", pattern=r"(?U)\w\w+", gaps=False).transform(df)
+        df = StopWordsRemover(inputCol=f"{c}__w", outputCol=f"{c}__s", stopWords=STOP_WORDS).transform(df)
         if not self.ngrams:
             return df.withColumn(f"{c}__g", F.col(f"{c}__s"))
         df = NGram(n=2, inputCol=f"{c}__s", outputCol=f"{c}__b").transform(df)
@@ -81,6 +81,26 @@ class TextBranch:
         return x.drop(*[f"{c}__{s}" for s in ("t", "w", "s", "b", "g", "tf", "x")])
 
 
+def tfidf_rows(df: DataFrame, key: str, text: str, max_features: int = TEXT["max_features"], min_df: float = TEXT["min_df"], max_df: float = TEXT["max_df"]) -> DataFrame:
+    """(key, term, tfidf): the text branch as sparse rows, unit length per key.
+
+    Word 1-2-grams without stop words; terms of at least ``min_df`` and at most
+    a share ``max_df`` of the texts, the ``max_features`` most frequent (ties
+    by term).  Only that vocabulary is broadcast.
+    """
+    words = F.regexp_extract_all(F.col("_t"), F.lit(r"(?U)\w\w+"), F.lit(0))
+    d = plain(df.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t")), "_t")
+    d = d.select(key, F.filter(words, lambda w: ~w.isin(STOP_WORDS)).alias("_w"))
+    pairs = F.zip_with(F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0))), F.slice("_w", 2, F.greatest(F.size("_w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    tf = cut_lineage(d.select(key, F.explode(F.concat("_w", pairs)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")))
+    n = df.count()
+    counts = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).filter(F.col("df").between(min_df, max_df * n))
+    vocab = counts.orderBy(F.desc("cf"), "term").limit(max_features).select("term", (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    x = tf.join(F.broadcast(vocab), "term").withColumn("v", F.col("tf") * F.col("idf"))
+    norm = x.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("_l"))
+    return x.join(norm, key).select(key, "term", (F.col("v") / F.col("_l")).alias("tfidf"))
+
+
 class AdaptiveSVD:
     """Truncated SVD to at most ``k`` components, fewer when the vocabulary or
     the rows are few."""
@@ -92,15 +112,8 @@ class AdaptiveSVD:
         width = len(df.select(self.column).first()[0])
         k = max(1, min(self.k, width - 1))
         rows = df.select(self.column).rdd.map(lambda r: OldVectors.fromML(r[0]))
-        if width <= GRAM_WIDTH:
-            # one pass sums the width x width cross-products; the rest is small
-            gram = RowMatrix(rows, numCols=width).computeGramianMatrix().toArray()
-            values, vectors = np.linalg.eigh(gram)
-            best = np.argsort(values)[::-1][:k]
-            self.singular, self.components = [float(v) for v in np.sqrt(np.clip(values[best], 0, None))], vectors[:, best]
-        else:
-            svd = RowMatrix(rows, numCols=width).computeSVD(k, computeU=False)
-            self.singular, self.components = [float(v) for v in svd.s.toArray()], svd.V.toArray()
+        svd = RowMatrix(rows, numCols=width).computeSVD(k, computeU=False)
+        self.singular, self.components = [float(v) for v in svd.s.toArray()], svd.V.toArray()
         return self
 
     def transform(self, df: DataFrame, out: str) -> DataFrame:
@@ -116,18 +129,22 @@ class AdaptiveSVD:
 
 
 def ridge(n: int, alpha: float = RIDGE_ALPHA) -> LinearRegression:
-    """Penalty alpha on the summed loss equals alpha / n on the mean loss."""
+    """Penalty alpha on the summed loss equals alpha / n on the mean loss of n train rows."""
     return LinearRegression(featuresCol="features", labelCol="target", elasticNetParam=0.0, regParam=alpha / max(n, 1), standardization=False)
 
 
-def baseline_models(n: int, *, trees: int | None = None, rounds: int | None = None) -> dict[str, object]:
+def baseline_models(*, trees: int | None = None, rounds: int | None = None) -> dict[str, object]:
+    """Candidates by name; a function of the number of train rows where the setting depends on it."""
     forest = {**FOREST, **({"numTrees": trees} if trees else {})}
     boosted = {**BOOSTED, **({"maxIter": rounds} if rounds else {})}
-    return {"ridge": ridge(n), "random_forest": RandomForestRegressor(featuresCol="features", labelCol="target", **forest),
+    return {"ridge": ridge, "random_forest": RandomForestRegressor(featuresCol="features", labelCol="target", **forest),
             "gradient_boosting": GBTRegressor(featuresCol="features", labelCol="target", **boosted)}
 
 
 def fit_pipeline(train: DataFrame, cols: list[str], estimator) -> PipelineModel:
+    """``estimator`` may be a function of the number of train rows."""
+    if callable(estimator):
+        estimator = estimator(train.count())
     return Pipeline(stages=[*numeric_stages(cols, "features"), estimator]).fit(train)
 
 

@@ -6,6 +6,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from ..functions.fixed import STOP_WORDS
 from ..operators import documents as doc
 from ..operators import evaluation as ev
 from ..operators import models as md
@@ -60,12 +61,19 @@ def _(spark, sf):
     return rounded(filled.groupBy("feature").agg(F.max("median").alias("median"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std")), ["feature"])
 
 
-@query("tfidf_text")
+STOPS = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
+ACCENTS = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+TFIDF = f"""WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(translate(lower(text), '{ACCENTS[0]}', '{ACCENTS[1]}'), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: NOT list_contains({STOPS}, x)) AS w FROM documents),
+g AS (SELECT doc_id, UNNEST(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w),
+tf AS (SELECT doc_id, term, COUNT(*) AS tf FROM g GROUP BY ALL), n AS (SELECT COUNT(*) AS n FROM documents),
+v AS (SELECT term, LN((n + 1) / (COUNT(*) + 1)) + 1 AS idf FROM tf, n GROUP BY term, n HAVING COUNT(*) BETWEEN 2 AND 0.85 * n ORDER BY SUM(tf) DESC, term LIMIT 20000),
+x AS (SELECT doc_id, term, tf * idf AS v FROM tf JOIN v USING (term))
+SELECT doc_id, term, ROUND(v / SQRT(SUM(v * v) OVER (PARTITION BY doc_id)), 6) AS tfidf FROM x"""
+
+
+@query("tfidf_text", TFIDF)
 def _(spark, sf):
-    d = text_table(spark, sf, "documents").select("doc_id", F.col("text").alias("text_body"))
-    b = md.TextBranch("text_body", max_features=5000)
-    x = b.fit(d).transform(d, "tfidf").select("doc_id", vector_to_array("tfidf").alias("v"))
-    return x.select("doc_id", F.size(F.filter("v", lambda v: v > 0)).alias("n_terms"), F.round(F.aggregate("v", F.lit(0.0), lambda s, v: s + v * v), 6).alias("squared_length"))
+    return md.tfidf_rows(text_table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text").withColumn("tfidf", F.round("tfidf", 6))
 
 
 @query("adaptive_svd")
@@ -80,26 +88,24 @@ def _(spark, sf):
 @query("models_baseline")
 def _(spark, sf):
     folds = folds_of(compact_panel(spark, sf), 3, ev.purge_gap())
-    n = folds.filter((F.col("fold") == 2) & (F.col("role") == "train")).count()
-    return md.grid_search(folds, 3, NUMERIC, md.baseline_models(n, trees=40, rounds=20))
+    return md.grid_search(folds, 3, NUMERIC, md.baseline_models(rounds=20))
 
 
 @query("grid_search")
 def _(spark, sf):
     folds = folds_of(compact_panel(spark, sf, MONTHLY), 2, ev.purge_gap(28))
     from pyspark.ml.regression import RandomForestRegressor
-    n = folds.filter((F.col("fold") == 1) & (F.col("role") == "train")).count()
-    cands = {f"ridge_{a}": md.ridge(n, a) for a in (0.1, 1.0, 10.0, 100.0)}
-    cands.update({f"forest_{d}": RandomForestRegressor(featuresCol="features", labelCol="target", numTrees=20, maxDepth=d, minInstancesPerNode=10, seed=0) for d in (4, 6)})
+    cands = {f"ridge_{a}": lambda n, a=a: md.ridge(n, a) for a in (0.1, 1.0, 10.0, 100.0)}
+    cands.update({f"forest_{d}": RandomForestRegressor(featuresCol="features", labelCol="target", **{**md.FOREST, "maxDepth": d, "minInstancesPerNode": 10}) for d in (4, 6)})
     return md.grid_search(folds, 2, NUMERIC, cands)
 
 
 @query("importance_by_group")
 def _(spark, sf):
     panel = cut_lineage(compact_panel(spark, sf))
-    model = md.fit_pipeline(panel, NUMERIC, md.baseline_models(1, trees=40)["random_forest"])
-    groups, _top = md.importances(model.stages[-1], NUMERIC, spark)
-    return groups
+    model = md.fit_pipeline(panel, NUMERIC, md.baseline_models()["random_forest"])
+    groups, top = md.importances(model.stages[-1], NUMERIC, spark)
+    return groups.select(F.lit("group").alias("kind"), F.col("grp").alias("name"), "importance").unionByName(top.select(F.lit("feature").alias("kind"), F.col("feature").alias("name"), "importance"))
 
 
 @query("ablation")
@@ -107,7 +113,6 @@ def _(spark, sf):
     panel = compact_panel(spark, sf, MONTHLY).join(
         doc.window_corpus(views.docs(spark, sf), MONTHLY, ["news_recent"]).select(*KEYS, F.col("corpus").alias("text_recent")), KEYS, "left")
     folds = folds_of(panel, 2, ev.purge_gap(28))
-    n = folds.filter((F.col("fold") == 1) & (F.col("role") == "train")).count()
 
     def fitter(parts):
         def fit(train):
@@ -124,7 +129,7 @@ def _(spark, sf):
                     df = branch.transform(df, "textual")
                 cols = (["numeric"] if numeric else []) + (["textual"] if branch else [])
                 return VectorAssembler(inputCols=cols, outputCol="features").transform(df)
-            model = md.ridge(n).fit(features(train))
+            model = md.ridge(train.count()).fit(features(train))
             return lambda df: model.transform(features(df))
         return fit
     out = None
@@ -169,7 +174,7 @@ def _(spark, sf):
 def _(spark, sf):
     d = labelled_docs(spark, sf).select("doc_id", "y", "text", "split")
     train = d.filter(F.col("split") == "train")
-    b = md.TextBranch("text", max_features=5000, ngrams=False).fit(train)
+    b = md.TextBranch("text", ngrams=False).fit(train)
     model = md.naive_bayes().fit(b.transform(train, "features"))
     p = model.transform(b.transform(d.filter(F.col("split") == "test"), "features")).select("y", F.col("prediction").cast("int").alias("pred"))
     return ev.class_report(p, "y", "pred")
