@@ -49,17 +49,18 @@ def filter_rows(df: DataFrame, text_col: str, keep: Callable[[list[str | None]],
 
 
 def label_sample(labelled: DataFrame, limit: int, by: str | None = None) -> DataFrame:
-    """At most ``limit`` rows (per value of ``by``, 50,000 in all) in the order of a hash of the id.
+    """At most ``limit`` rows in the order of a hash of the id; with ``by`` about as many of each of its values, 50,000 in all.
 
     Used only to fit classifiers on (id, label) rows; the choice does not
     depend on partitioning, and every row is in the sample while the table is
-    smaller than the limit.
+    smaller than the limit.  Values of ``by`` are weighed through a table of at
+    most 10,000 counts, so a value that holds most rows is never gathered.
     """
-    from pyspark.sql import Window
     mixed = labelled.withColumn("_h", F.xxhash64(F.lit(7), "id"))
     if by:
-        ranked = mixed.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy("_h", "id")))
-        mixed, limit = ranked.filter(F.col("_r") <= limit).drop("_r"), 50_000
+        counts = mixed.groupBy(by).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), by).limit(10_000)
+        share = (F.col("_h").cast("double") + float(1 << 63)) / float(1 << 64)
+        mixed, limit = mixed.join(F.broadcast(counts), by).filter(share * F.col("_n") <= limit).drop("_n"), 50_000
     return mixed.orderBy("_h", "id").limit(limit).drop("_h")
 
 

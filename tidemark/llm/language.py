@@ -158,7 +158,7 @@ class Model:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         per_language: int = 2_000, width: int = WIDTH, seed: int = 11) -> Model:
-    """Prototypes from at most ``per_language`` labelled texts of each language (the rows first by a hash of the id).
+    """Prototypes from about ``per_language`` labelled texts of each language (the rows first by a hash of the id), 50,000 in all.
 
     Rows without a language or id are not learned from.  The driver gets
     ``width`` numbers per language.
