@@ -213,8 +213,14 @@ def cross_products(names: list[str], y: str) -> dict[str, Column]:
     return {f"_q{i}_{j}": terms[i] * terms[j] for i in range(len(terms)) for j in range(i, len(terms))}
 
 
-def solve_factors(sums: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
-    """One joint fit per row of summed cross-products, solved in Arrow batches."""
+def centred(rows: DataFrame, by: list[str], names: list[str], y: str) -> DataFrame:
+    """Factors and ``y`` less their group means, which stay as ``_m_`` columns: products keep their digits."""
+    means = rows.groupBy(*by).agg(*[F.avg(c).alias(f"_m_{c}") for c in (*names, y)])
+    return rows.join(means, by).withColumns({c: F.col(c) - F.col(f"_m_{c}") for c in (*names, y)})
+
+
+def solve_factors(sums: DataFrame, keys: list[str], names: list[str], y: str) -> DataFrame:
+    """One joint fit per row of summed products of centred columns, solved in Arrow batches; the intercept is moved back by the means."""
     k = len(names)
     kinds = {f.name: f.dataType.simpleString() for f in sums.schema.fields}
     outs = ["n_obs", "alpha", "alpha_stderr", "r_squared", "adj_r_squared", "residual_std"]
@@ -237,7 +243,11 @@ def solve_factors(sums: DataFrame, keys: list[str], names: list[str]) -> DataFra
             with np.errstate(all="ignore"):
                 r2 = 1 - res / tot
                 var = res / dof
-                err = np.sqrt(np.clip(var[:, None] * np.einsum("mii->mi", inv), 0, None))
+                mean = np.column_stack([np.ones(m), *[-pdf[f"_m_{c}"].to_numpy(float) for c in names]])
+                coef[:, 0] = np.einsum("mi,mi->m", coef, mean) + pdf[f"_m_{y}"].to_numpy(float)
+                spread = np.einsum("mii->mi", inv).copy()
+                spread[:, 0] = np.einsum("mi,mij,mj->m", mean, inv, mean)
+                err = np.sqrt(np.clip(var[:, None] * spread, 0, None))
                 adj = 1 - (1 - r2) * (n - 1) / dof
             out = pdf[keys].copy()
             for c, v in zip(outs, [n, coef[:, 0], err[:, 0], r2, adj, np.sqrt(var),
@@ -250,23 +260,23 @@ def solve_factors(sums: DataFrame, keys: list[str], names: list[str]) -> DataFra
 
 def fit_multifactor(rows: DataFrame, by: list[str], names: list[str], y: str = "ye") -> DataFrame:
     """Joint least squares on k factors per group: Spark sums, numpy solves."""
-    clean = rows.dropna(subset=[y, *names])
-    # centring on group means keeps the products well scaled
-    sums = clean.groupBy(*by).agg(*[F.sum(c).alias(q) for q, c in cross_products(names, y).items()])
-    return solve_factors(sums, by, names)
+    clean = centred(rows.dropna(subset=[y, *names]), by, names, y)
+    sums = clean.groupBy(*by, *[f"_m_{c}" for c in (*names, y)]).agg(*[F.sum(c).alias(q) for q, c in cross_products(names, y).items()])
+    return solve_factors(sums, by, names, y)
 
 
 def multifactor_features(rows: DataFrame, grid: Grid, by: str, names: list[str], y: str = "ye", months: int = INDEX_MONTHS) -> DataFrame:
     """The joint fit over the index window at each as-of date."""
     keys = [by]
-    clean = rows.dropna(subset=[y, *names])
+    means = [f"_m_{c}" for c in (*names, y)]
+    clean = centred(rows.dropna(subset=[y, *names]), keys, names, y)
     qs = cross_products(names, y)
     s = running_sums(clean, keys, qs)
     at = edges(s, grid, by=keys).withColumn("_start", F.add_months("as_of", -months))
     cut = s.select(by, "x_from", F.struct(*qs).alias("_cut"))
     at = asof_join(at.filter(F.col("date") >= F.col("_start")), cut, by=keys, left_time="_start", right_time="x_from", values=["_cut"], strict=True)
-    sums = at.select(by, "as_of", *[(F.col(q) - F.coalesce(F.col(f"_cut.{q}"), F.lit(0.0))).alias(q) for q in qs])
-    return solve_factors(sums, [by, "as_of"], names)
+    sums = at.select(by, "as_of", *means, *[(F.col(q) - F.coalesce(F.col(f"_cut.{q}"), F.lit(0.0))).alias(q) for q in qs])
+    return solve_factors(sums, [by, "as_of"], names, y)
 
 
 def long_betas(fit: DataFrame, keys: list[str], names: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import brief as br
 from ..operators import documents as doc
+from ..session import cut_lineage
 from ..sources import views
 from ..sources.tables import table
 from .cte import DOCS, with_
@@ -27,7 +28,7 @@ PARTS = (DOCS, SCORES, GRID28, WIN, NOVELTY, BRIEF)
 
 
 def brief(spark, sf):
-    return br.lexicon_brief(scores(spark, sf), doc.vocab_novelty(views.docs(spark, sf), MONTHLY), MONTHLY)
+    return br.lexicon_brief(cut_lineage(scores(spark, sf)), doc.vocab_novelty(views.docs(spark, sf), MONTHLY), MONTHLY)
 
 
 @query("lexicon_brief", with_(*PARTS) + f"SELECT symbol, as_of, {', '.join(f'ROUND({f}::DOUBLE, 6) AS {f}' for f in br.FIELDS)}, n_documents FROM bf")

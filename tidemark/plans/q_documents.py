@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, tokens as tok
 from ..operators import documents as doc
+from ..session import cut_lineage
 from ..sources import views
 from ..sources.tables import table, text_table
 from .cte import DOCS, GRID, POSTINGS, with_
@@ -37,6 +38,11 @@ def scores(spark, sf):
     return doc.doc_scores(views.docs(spark, sf), LEX)
 
 
+def scored_once(spark, sf):
+    """Written before it is summed over several windows, so each text is scored once."""
+    return cut_lineage(scores(spark, sf))
+
+
 @query("doc_columns", with_(DOCS) + """SELECT doc_id, md5(trim(title || chr(10) || chr(10) || text)) AS combined_md5, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS word_count FROM docs""")
 def _(spark, sf):
     return doc.doc_columns(views.docs(spark, sf)).select("doc_id", F.md5("combined").alias("combined_md5"), "word_count")
@@ -80,7 +86,7 @@ STAT_COLS = ["docs_per_day", "sentiment_mean", "sentiment_std", "positive_share"
 
 @query("text_stats", with_(DOCS, SCORES, GRID, WIN, STATS) + f"SELECT symbol, as_of, ds, n_docs, {', '.join(f'ROUND({c}, 6) AS {c}' for c in STAT_COLS)} FROM stt")
 def _(spark, sf):
-    return rounded(doc.text_stats(scores(spark, sf), WEEKLY, ["symbol"], doc.NEWS), ["symbol", "as_of", "ds"])
+    return rounded(doc.text_stats(scored_once(spark, sf), WEEKLY, ["symbol"], doc.NEWS), ["symbol", "as_of", "ds"])
 
 
 SHIFT = """SELECT symbol, as_of, ROUND(r.sentiment_mean - b.sentiment_mean, 6) AS shift_sentiment_delta, ROUND(r.sentiment_net - b.sentiment_net, 6) AS shift_sentiment_net_delta,
@@ -91,7 +97,7 @@ FROM stt b JOIN stt r USING (symbol, as_of) WHERE b.ds = 'news_baseline' AND r.d
 
 @query("sentiment_shift", with_(DOCS, SCORES, GRID, WIN, STATS) + SHIFT)
 def _(spark, sf):
-    s = doc.sentiment_shift(doc.text_stats(scores(spark, sf), WEEKLY, ["symbol"], doc.NEWS))
+    s = doc.sentiment_shift(doc.text_stats(scored_once(spark, sf), WEEKLY, ["symbol"], doc.NEWS))
     z = F.when(F.abs("shift_sentiment_zscore") < 1e6, F.round("shift_sentiment_zscore", 5))
     return rounded(s.drop("shift_sentiment_zscore"), ["symbol", "as_of"]).join(s.select("symbol", "as_of", z.alias("shift_sentiment_zscore")), ["symbol", "as_of"])
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import finance as fin
 from ..operators import regression as reg
 from ..operators import returns as ret
+from ..session import cut_lineage
 from ..sources import views
 from .cte import GRID, INDICES, PRICES, RISK_FREE, with_
 from .q_returns import BY, rounded
@@ -36,8 +37,9 @@ DERIVED = """n_obs, ROUND(alpha, 6) AS alpha, ROUND(beta, 6) AS beta, ROUND(r_sq
   ROUND(1 - r_squared, 6) AS firm_specific_share, ROUND(alpha / residual_std, 6) AS information_ratio"""
 
 
-def aligned(spark, sf):
-    return reg.aligned_returns(views.prices(spark, sf), views.indices(spark, sf), views.risk_free(spark, sf))
+def aligned(spark, sf, daily=None):
+    """Written once: the fits read it several times."""
+    return cut_lineage(reg.aligned_returns(*(daily or (f(spark, sf) for f in (views.prices, views.indices, views.risk_free)))))
 
 
 @query("fit_scl", with_(*BASE, f"f AS (SELECT symbol, index_key, {line('ye', 'xe')} FROM al GROUP BY symbol, index_key)") + f"SELECT symbol, index_key, {DERIVED} FROM f")
@@ -98,7 +100,7 @@ def factor_rows(spark, sf):
     prev = views.market(spark, sf).select("date", F.lag("date").over(ret.history([F.lit(0)])).alias("x_from"))
     s = views.prices(spark, sf).select("symbol", "date", ret.log_return(BY).alias("y"))
     j = s.join(f, "date").join(prev, "date")
-    return j.select("symbol", "date", (F.col("y") - F.col("rf_daily")).alias("ye"), *FACTORS, "x_from")
+    return cut_lineage(j.select("symbol", "date", (F.col("y") - F.col("rf_daily")).alias("ye"), *FACTORS, "x_from"))
 
 
 # normal equations on centred products, solved by cofactors
@@ -206,7 +208,7 @@ ya AS (SELECT symbol, as_of, realised FROM yr JOIN grid ON date < as_of AND (nxt
 SELECT symbol, index_key, as_of, ROUND(COALESCE(rf, 0.04) + beta * mrp, 5) AS fair_return, ROUND(mrp, 5) AS market_risk_premium,
   ROUND(realised - (COALESCE(rf, 0.04) + beta * mrp), 5) AS alpha_realised, 0.0 AS mrp_is_default FROM wf JOIN pm USING (index_key, as_of) JOIN ya USING (symbol, as_of)""")
 def _(spark, sf):
-    px, ix, rf = views.prices(spark, sf), views.indices(spark, sf), views.risk_free(spark, sf)
-    fits = reg.windowed_fits(reg.aligned_returns(px, ix, rf), WEEKLY, PAIR)
+    px, ix, rf = (cut_lineage(f(spark, sf)) for f in (views.prices, views.indices, views.risk_free))
+    fits = reg.windowed_fits(aligned(spark, sf, (px, ix, rf)), WEEKLY, PAIR)
     prem = reg.premium_at(ix, WEEKLY, reg.rate_at(WEEKLY, rf))
     return rounded(reg.capm_features(fits, px, prem, WEEKLY), [*PAIR, "as_of"], 5)

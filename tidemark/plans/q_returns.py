@@ -6,6 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from ..functions import finance as fin
 from ..operators import returns as ret
+from ..session import cut_lineage
 from ..sources import views
 from ..sources.tables import table
 from .cte import GRID, INDICES, PRICES, RETURNS, RISK_FREE, with_
@@ -193,7 +194,7 @@ FROM px LEFT JOIN full_dd USING (symbol, as_of) LEFT JOIN rs USING (symbol, as_o
 
 @query("price_features", with_(PRICES, RISK_FREE, GRID, feature_sql("prices", "symbol", 60, True, True)) + FEATURES_OUT)
 def _(spark, sf):
-    f = ret.price_features(views.prices(spark, sf), WEEKLY, risk_free=views.risk_free(spark, sf))
+    f = ret.price_features(cut_lineage(views.prices(spark, sf)), WEEKLY, risk_free=views.risk_free(spark, sf))
     return rounded(f.drop("date", "adj_close"), ["symbol", "as_of"])
 
 
