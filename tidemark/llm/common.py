@@ -38,6 +38,12 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t if t is not None else "" for t in batch.column(name).to_pylist()]
 
 
+def map_rows(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``mapInArrow`` to the same columns, whatever their names: the task sees them by position."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(task, plain.schema).toDF(*df.columns)
+
+
 def filter_rows(df: DataFrame, text_col: str, keep: Callable[[list[str | None]], list[bool]]) -> DataFrame:
     """The rows whose text ``keep`` accepts, all columns unchanged."""
     at = df.columns.index(text_col)
@@ -45,7 +51,7 @@ def filter_rows(df: DataFrame, text_col: str, keep: Callable[[list[str | None]],
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(keep(batch.column(at).to_pylist()), pa.bool_()))
-    return df.mapInArrow(task, df.schema)
+    return map_rows(df, task)
 
 
 def label_sample(labelled: DataFrame, limit: int, by: str | None = None) -> DataFrame:

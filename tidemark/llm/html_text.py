@@ -3,7 +3,8 @@
 A page becomes a sequence of words and tags.  Words score +1 in the open and
 negatively inside furniture (menus, forms, adverts, comments of readers); tags
 score negatively, with weights learned from pages whose markup labels the
-article.  One linear scan (the running sum restarted below zero) finds the
+article.  Furniture that is marked as such is left out wherever it stands.
+One linear scan (the running sum restarted below zero) finds the
 contiguous region of greatest score; its blocks, without furniture, are the text.
 """
 
@@ -37,7 +38,8 @@ MARKS = re.compile(r"""(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|promo|
 share|sharing|social|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|comments?|commentlist|replies|reply|respond|disqus|footer|contentinfo|complementary|pagination|pager|toolbar|skip|copyright|legal)(?:$|[\s_-])""".replace("\n", ""), re.I)
 HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar|site-head)(?:$|[\s_-])", re.I)
 
-WORD, INSIDE = 1.0, -1.0
+#: A word in the open, a word of marked furniture and a tag of it: these are left out anyway and only part regions.
+WORD, INSIDE, INSIDE_TAG = 1.0, -0.1, -0.25
 #: Weights without training; ``fit`` learns them from labelled pages.
 DEFAULT = {"": -1.5, "p": -0.5, "b": -0.25, "i": -0.25, "em": -0.25, "strong": -0.25, "br": -0.25, "span": -0.25, "a": -2.0, "li": -1.5, "ul": -2.0, "div": -2.0, "nav": -8.0, "footer": -8.0, "aside": -8.0, "form": -8.0, "article": -0.25, "main": -0.25, "h1": -0.5, "h2": -0.5, "h3": -0.5}
 
@@ -106,7 +108,7 @@ def extract(page: str, weights: Mapping[str, float] = DEFAULT) -> str:
     seen = list(events(page))
     other = weights.get("", -1.5)
     # white space and references do not matter for the score; a word is a run of non-space
-    scores = [(len(v.split()) * (INSIDE if bad else WORD)) if k == "text" else weights.get(v, other) for k, v, bad, _, _ in seen]
+    scores = [len(v.split()) * (INSIDE if bad else WORD) if k == "text" else INSIDE_TAG if bad else weights.get(v, other) for k, v, bad, _, _ in seen]
     a, b = region(scores)
     blocks: list[str] = []
     now: list[str] = []
@@ -116,10 +118,10 @@ def extract(page: str, weights: Mapping[str, float] = DEFAULT) -> str:
         if text:
             blocks.append(text)
         now.clear()
-    # the region grows to whole blocks, and inside a labelled article to its last short ones
-    while b < len(seen) and b > a and seen[b - 1][3] and seen[b][3] and not seen[b][2]:
+    # the region grows to whole blocks, and inside a labelled article to its ends
+    while b < len(seen) and b > a and seen[b - 1][3] and seen[b][3]:
         b += 1
-    while a > 0 and b > a and seen[a][3] and seen[a - 1][3] and not seen[a - 1][2]:
+    while a > 0 and b > a and seen[a][3] and seen[a - 1][3]:
         a -= 1
     while a > 0 and not (seen[a - 1][0] == "tag" and seen[a - 1][4]):
         a -= 1

@@ -172,5 +172,8 @@ def count_table(docs: DataFrame, text_col: str = "text", order: int = ORDER) ->
     """(n, gram, total): how often each n-gram occurs in the corpus, by its words."""
     words = F.filter(F.split(F.lower(F.coalesce(c.col(text_col), F.lit(""))), r"(?U)[\s\x1c-\x1f]+"), lambda w: F.length(w) > 0)
     bound = docs.select(words.alias("w")).filter(F.size("w") > 0)
-    grams = [F.transform(F.filter(F.sequence(F.lit(1), F.size("w")), lambda i, n=n: i <= F.size("w") - n + 1), lambda i, n=n: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("w", i, n), " ").alias("gram"))) for n in range(1, order + 1)]
-    return bound.select(F.explode(F.concat(*grams)).alias("g")).groupBy("g.n", "g.gram").agg(F.count("*").alias("total"))
+
+    def grams(n: int) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: i <= F.size("w") - n + 1)
+        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("w", i, n), " ").alias("gram")))
+    return bound.select(F.explode(F.concat(*[grams(n) for n in range(1, order + 1)])).alias("g")).groupBy("g.n", "g.gram").agg(F.count("*").alias("total"))

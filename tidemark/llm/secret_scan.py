@@ -151,4 +151,4 @@ def redact(df: DataFrame, text_col: str = "text", length_col: str | None = "n_ch
                 sizes = [n if x == y else len(y) for x, y, n in zip(old, new, b.column(length).to_pylist())]
                 cols[length] = pa.array(sizes, b.schema.field(length).type)
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
-    return df.mapInArrow(task, df.schema)
+    return c.map_rows(df, task)

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.llm import common as c
+from tidemark.llm.sketch import sketch
 
 # --- fixed values: closed-class words of the grammar (en, de, fr, es) ---
 TARGET = frozenset("you your yours yourself youre u he she they them him her du dich dir dein deine euch ihr sie er tu te toi ton ta vous votre il elle ils elles tú ti usted ustedes vosotros él ella ellos ellas".split())
@@ -35,9 +36,12 @@ CLAUSE_END = re.compile(r"[.!?;:\n|…]")
 QUOTE = re.compile(r"[\"“”„«»]")
 LONGEST_CLAUSE = 2_000
 ROLES = ("plain", "aimed", "negated", "reported", "threat", "threat_aimed")
-#: What the roles weigh before any label is seen, and how firmly; the bias comes first.
-PRIOR = np.array([-3.0, 2.5, 3.0, 1.0, 1.0, 1.5, 4.0])
-FIRMNESS = np.array([0.02, 0.05, 0.05, 0.05, 0.05, 0.5, 0.5])
+#: Bias, insults in any role, how that changes if aimed, negated or reported, threats, aimed threats:
+#: what they weigh before any label is seen, and how firmly.
+PRIOR = np.array([-3.0, 2.5, 0.5, -1.5, -1.5, 1.5, 4.0])
+FIRMNESS = np.array([0.02, 0.05, 0.5, 0.5, 0.5, 0.5, 0.5])
+#: Doubled log-likelihood gain at which a word marks toxic texts beyond chance among a million words.
+CERTAIN = 28.0
 NEGATED_FOR = 3
 
 
@@ -131,14 +135,17 @@ class Grammar:
         return out
 
     def features(self, text: str | None) -> list[float]:
-        """log(1 + sum of weights) by role."""
+        """log(1 + weight of the insults), the parts of it that are aimed, negated and reported, log(1 + threats) by target."""
         total = dict.fromkeys(ROLES, 0.0)
         low = (text or "").lower()
         if low:
             for a, b in self.clauses(low):
                 for role, weight in self.clause(low[a:b]):
                     total[role] += weight
-        return [math.log1p(x) for x in total.values()]
+        insults = sum(total[r] for r in ROLES[:4])
+        x = math.log1p(insults)
+        parts = [x * total[r] / insults if insults else 0.0 for r in ROLES[1:4]]
+        return [x, *parts, math.log1p(total["threat"]), math.log1p(total["threat_aimed"])]
 
 
 @dataclass
@@ -157,15 +164,17 @@ PREFIX = (4, 5, 6)
 def spoken(text: Column) -> Column:
     """Distinct lower-case words of a text, and their beginnings marked with a star."""
     words = F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))
-    starts = [F.transform(F.filter(words, lambda w, k=k: F.length(w) >= k), lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit("*"))) for k in PREFIX]
-    return F.array_distinct(F.concat(F.filter(words, lambda w: F.length(w) > 2), *starts))
+
+    def starts(k: int) -> Column:
+        return F.transform(F.filter(words, lambda w: F.length(w) >= k), lambda w: F.concat(F.substring(w, 1, k), F.lit("*")))
+    return F.array_distinct(F.concat(F.filter(words, lambda w: F.length(w) > 2), *map(starts, PREFIX)))
 
 
 def learn_lexicon(rows: DataFrame, toxic: int, clean: int, least: int, purity: float) -> Lexicon:
-    """Words and beginnings that mark toxic texts, picked greedily by the toxic texts they newly explain.
+    """Words and beginnings that mark toxic texts beyond chance; then, greedily, those that explain toxic texts still unexplained.
 
-    Greedy cover keeps the other words of much-copied toxic texts out: once a
-    text is explained by an insult, its remaining words earn nothing.
+    Greedy cover finds rare insults without taking in the other words of toxic
+    texts: once a text is explained, its remaining words earn nothing.
     """
     said = rows.select("h", "toxic", F.explode(spoken(F.col("text"))).alias("f"))
     counts = said.groupBy("f").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("n"))
@@ -174,6 +183,22 @@ def learn_lexicon(rows: DataFrame, toxic: int, clean: int, least: int, purity: f
     pairs = said.filter("toxic = 1").join(good, "f").groupBy("f").agg(F.first("w").alias("w"), F.first("n").alias("n"), F.collect_set("h").alias("hs")).collect()
     left = [(r["f"], r["w"], r["n"], set(r["hs"])) for r in pairs]
     found = Lexicon()
+    base = toxic / (toxic + clean)
+
+    def gain_in_likelihood(t: int, n: int) -> float:
+        return 2 * sum(k * math.log(k / (t + n) / p) for k, p in ((t, base), (n, 1 - base)) if k)
+    sure = sorted((r for r in left if gain_in_likelihood(len(r[3]), r[2]) >= CERTAIN), key=lambda r: (r[0].endswith("*"), -len(r[0]), r[0]))
+    explained = set().union(*(r[3] for r in sure))
+    under: dict[str, set] = {}  # what longer beginnings and whole words under a beginning explain
+    for f, w, _, hs in sure:
+        name, part = f.rstrip("*"), f.endswith("*")
+        if part and len(hs - under.get(name, set())) < least:
+            continue  # a beginning must add to them
+        (found.starts if part else found.words)[name] = float(w)
+        for k in PREFIX:
+            if k < len(name) or k == len(name) and not part:
+                under.setdefault(name[:k], set()).update(hs)
+    left = [(f, w, n, hs - explained) for f, w, n, hs in left if len(hs - explained) >= least]
     while left:
         gain = lambda r: (len(r[3]) * r[1] / (1 + r[2]), not r[0].endswith("*"), len(r[0]), r[0])
         f, w, n, hs = max(left, key=gain)
@@ -188,13 +213,20 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = 24_000, least: int = 3,
         id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Lexicon and role weights from at most ``limit`` labelled documents (first by a hash of the id).
 
-    Equal texts count once.  Without toxic or without clean labels the prior weights stand.
+    Equal texts count once, and so do near copies, as far as their smallest
+    shingle hashes agree.  Without toxic or without clean labels the prior weights stand.
     """
     known = c.only(labels, id=id_col, toxic=label_col).filter(F.col("id").isNotNull() & F.col("toxic").isin(0, 1))
     chosen = c.label_sample(known.groupBy("id").agg(F.max("toxic").cast("int").alias("toxic")), limit)
     src = c.only(docs, id=id_col, text=text_col)
     rows = src.join(F.broadcast(chosen), "id").select(F.xxhash64("text").alias("h"), "text", "toxic")
-    rows = c.written(rows.groupBy("h").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")))
+    rows = rows.groupBy("h").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    rows = c.written(rows.withColumn("s", sketch(F.col("text"), 4)))
+    spread = rows.select("h", "s", "toxic")
+    for k in range(1, 5):  # copies that share the k-th smallest hash leave one
+        by = F.coalesce(F.get("s", F.lit(k - 1)), F.col("h"))
+        spread = spread.groupBy(by.alias("_k"), "toxic").agg(F.min(F.struct("h", "s")).alias("m")).select("m.h", "m.s", "toxic")
+    rows = c.written(rows.drop("s", "toxic").join(spread.select("h", "toxic"), "h"))
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     lexicon = learn_lexicon(rows, n.get(1, 0), n.get(0, 0), least, purity) if n.get(1) and n.get(0) else Lexicon()
 
