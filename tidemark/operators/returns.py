@@ -152,7 +152,7 @@ def price_features(bars: DataFrame, grid: Grid, *, by: str = "symbol", risk_free
     base = with_returns(bars.filter(F.col("adj_close").isNotNull()), keys)
     r = F.col("lr")
     has_volume = "volume" in bars.columns
-    terms = {"_s1": r, "_s2": r * r, "_s3": r * r * r, "_s4": r * r * r * r, "_p": F.col("adj_close"),
+    terms = {"_s1": r, "_s2": r * r, "_p": F.col("adj_close"),
              "_a": F.col("sr"), "_g": F.log1p(F.col("sr"))}
     if has_volume:
         terms["_v"] = F.col("volume")
@@ -170,13 +170,10 @@ def price_features(bars: DataFrame, grid: Grid, *, by: str = "symbol", risk_free
         out[f"_mean_{lb}"] = s1 / F.nullif(n, F.lit(0))
         out[f"vol_{lb}d"] = F.when(n >= max(5, lb // 4), F.sqrt(var) * (TRADING_DAYS ** 0.5))
     n = F.nullif(F.least(n_ret, F.lit(252)), F.lit(0))
-    m = trailing("_s1", 252) / n
-    m2 = trailing("_s2", 252) / n - m * m
-    m3 = trailing("_s3", 252) / n - 3 * m * (trailing("_s2", 252) / n) + 2 * m * m * m
-    m4 = (trailing("_s4", 252) / n - 4 * m * (trailing("_s3", 252) / n)
-          + 6 * m * m * (trailing("_s2", 252) / n) - 3 * m * m * m * m)
-    out["skew_252d"] = F.when(n > 2, ratio(m3, F.pow(m2, F.lit(1.5))))
-    out["kurtosis_252d"] = F.when(n > 3, ratio(m4, m2 * m2) - 3)
+    # third and fourth moments over the frame itself: differences of running sums lose their digits
+    year = w.rowsBetween(-251, 0)
+    out["skew_252d"] = F.when(n > 2, F.nanvl(F.skewness("lr").over(year), F.lit(None)))
+    out["kurtosis_252d"] = F.when(n > 3, F.nanvl(F.kurtosis("lr").over(year), F.lit(None)))
     out["arith_geo_gap"] = trailing("_a", 252) / n - F.expm1(trailing("_g", 252) / n)
     for lb in SMA_LOOKBACKS:
         out[f"sma_dist_{lb}d"] = F.when(F.col("rn") > lb, F.col("adj_close") / (trailing("_p", lb) / lb) - 1)
