@@ -6,20 +6,18 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes
-from pyspark.ml.feature import (IDF, CountVectorizer, ElementwiseProduct, Imputer, NGram, Normalizer, RegexTokenizer, StandardScaler, StopWordsRemover,
-                                VectorAssembler)
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fixed import STOP_WORDS
 from ..session import cut_lineage
-from .evaluation import regression_metrics
+from .evaluation import group_quantiles, regression_metrics
 
 # Model settings.
 RIDGE_ALPHA = 1.0
@@ -36,11 +34,34 @@ def routed_columns(panel: DataFrame) -> tuple[list[str], list[str]]:
     return numeric, [c for c in panel.columns if c.startswith("text_")]
 
 
-def numeric_stages(cols: list[str], out: str = "numeric") -> list:
-    """Median imputation and standard scaling, fitted on the rows given to fit."""
-    filled = [f"{c}__filled" for c in cols]
-    return [Imputer(strategy="median", inputCols=cols, outputCols=filled), VectorAssembler(inputCols=filled, outputCol=f"{out}_raw"),
-            StandardScaler(withMean=True, withStd=True, inputCol=f"{out}_raw", outputCol=out)]
+def numeric_profile(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(feature, median, mean, std): exact median; mean and population deviation after the median is filled in."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "feature", "v")
+    med = group_quantiles(long, ["feature"], "v", {"median": 0.5}).select("feature", "median")
+    filled = long.join(med, "feature").withColumn("v", F.coalesce("v", "median"))
+    return filled.groupBy("feature").agg(F.max("median").alias("median"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+
+
+class NumericBranch:
+    """Median imputation and standard scaling, fitted on the rows given to fit.
+
+    A feature without a value is 0 everywhere, one without spread is only centred.
+    """
+
+    def __init__(self, cols: list[str]):
+        self.cols = cols
+
+    def fit(self, df: DataFrame) -> "NumericBranch":
+        rows = {r["feature"]: r for r in numeric_profile(df, self.cols).collect()}  # one row per feature
+        self.profile = [rows.get(c) for c in self.cols]
+        return self
+
+    def transform(self, df: DataFrame, out: str) -> DataFrame:
+        def scaled(c: str, p) -> Column:
+            if p is None or p["median"] is None:
+                return F.lit(0.0)
+            return (F.coalesce(F.col(c).cast("double"), F.lit(p["median"])) - F.lit(p["mean"])) / F.lit(p["std"] or 1.0)
+        return df.withColumn(out, array_to_vector(F.array(*[scaled(c, p) for c, p in zip(self.cols, self.profile)])))
 
 
 def plain(df: DataFrame, column: str) -> DataFrame:
@@ -141,11 +162,9 @@ def baseline_models(*, trees: int | None = None, rounds: int | None = None) -> d
             "gradient_boosting": GBTRegressor(featuresCol="features", labelCol="target", **boosted)}
 
 
-def fit_pipeline(train: DataFrame, cols: list[str], estimator) -> PipelineModel:
+def fit_model(train: DataFrame, estimator):
     """``estimator`` may be a function of the number of train rows."""
-    if callable(estimator):
-        estimator = estimator(train.count())
-    return Pipeline(stages=[*numeric_stages(cols, "features"), estimator]).fit(train)
+    return (estimator(train.count()) if callable(estimator) else estimator).fit(train)
 
 
 def walk_forward_predictions(folds: DataFrame, n_splits: int, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
@@ -160,10 +179,20 @@ def walk_forward_predictions(folds: DataFrame, n_splits: int, fit: Callable[[Dat
 
 
 def grid_search(folds: DataFrame, n_splits: int, cols: list[str], candidates: dict[str, object]) -> DataFrame:
-    """Pooled scores of every candidate on the same folds, best first by R2."""
+    """Pooled scores of every candidate on the same folds, best first by R2.  A fold is prepared once for all candidates."""
+    keys = ["fold", "symbol", "as_of", "target"]
+    ready = []
+    for k in range(n_splits):
+        rows = folds.filter(F.col("fold") == k)
+        branch = NumericBranch(cols).fit(rows.filter(F.col("role") == "train"))
+        ready.append(cut_lineage(branch.transform(rows, "features").select(*keys, "role", "features")))
     scores = None
     for name, estimator in candidates.items():
-        pred = walk_forward_predictions(folds, n_splits, lambda train, e=estimator: fit_pipeline(train, cols, e).transform)
+        pred = None
+        for rows in ready:
+            model = fit_model(rows.filter(F.col("role") == "train"), estimator)
+            p = model.transform(rows.filter(F.col("role") == "valid")).select("fold", "symbol", "as_of", F.col("target").alias("y"), F.col("prediction").alias("p"))
+            pred = p if pred is None else pred.unionByName(p)
         m = regression_metrics(pred).filter(F.col("fold").isNull()).select(F.lit(name).alias("candidate"), "n", "r2", "rmse", "mae")
         scores = m if scores is None else scores.unionByName(m)
     return scores.orderBy(F.desc("r2"))

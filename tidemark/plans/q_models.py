@@ -55,10 +55,7 @@ def _(spark, sf):
     f = ret.with_returns(views.prices(spark, sf), BY).withColumn("eq_vol_21d", F.when(F.count("lr").over(w) >= 5, F.stddev_samp("lr").over(w) * (252 ** 0.5)))
     at = edges(f, MONTHLY, by=BY).filter(F.col("as_of") < F.lit("2000-09-01").cast("date"))
     at = at.select("eq_vol_21d", F.when(F.dayofmonth("as_of") % 3 != 0, F.log("adj_close")).alias("eq_level"))
-    long = at.unpivot([], ["eq_vol_21d", "eq_level"], "feature", "v")
-    med = ev.group_quantiles(long, ["feature"], "v", {"median": 0.5}).select("feature", "median")
-    filled = long.join(med, "feature").withColumn("v", F.coalesce("v", "median"))
-    return rounded(filled.groupBy("feature").agg(F.max("median").alias("median"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std")), ["feature"])
+    return rounded(md.numeric_profile(at, ["eq_vol_21d", "eq_level"]), ["feature"])
 
 
 STOPS = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
@@ -103,8 +100,8 @@ def _(spark, sf):
 @query("importance_by_group")
 def _(spark, sf):
     panel = cut_lineage(compact_panel(spark, sf))
-    model = md.fit_pipeline(panel, NUMERIC, md.baseline_models()["random_forest"])
-    groups, top = md.importances(model.stages[-1], NUMERIC, spark)
+    ready = md.NumericBranch(NUMERIC).fit(panel).transform(panel, "features")
+    groups, top = md.importances(md.fit_model(ready, md.baseline_models()["random_forest"]), NUMERIC, spark)
     return groups.select(F.lit("group").alias("kind"), F.col("grp").alias("name"), "importance").unionByName(top.select(F.lit("feature").alias("kind"), F.col("feature").alias("name"), "importance"))
 
 
@@ -117,14 +114,11 @@ def _(spark, sf):
     def fitter(parts):
         def fit(train):
             branch = md.TextBranch("text_recent", max_features=200, ngrams=False).fit(train) if "text" in parts else None
-            numeric = None
-            if "numeric" in parts:
-                from pyspark.ml import Pipeline
-                numeric = Pipeline(stages=md.numeric_stages(NUMERIC, "numeric")).fit(train)
+            numeric = md.NumericBranch(NUMERIC).fit(train) if "numeric" in parts else None
 
             def features(df):
                 if numeric:
-                    df = numeric.transform(df)
+                    df = numeric.transform(df, "numeric")
                 if branch:
                     df = branch.transform(df, "textual")
                 cols = (["numeric"] if numeric else []) + (["textual"] if branch else [])
