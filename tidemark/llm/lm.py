@@ -2,9 +2,10 @@
 
 Count tables hold how often each n-gram occurs in the corpus, partitioned by a
 hash of the n-gram.  Documents are dealt into blocks; a block sends each of
-its distinct n-grams once to the partition that counts it and gets the corpus
-count back, so frequent n-grams cross the network once per block, not once per
-occurrence.  Scores are then summed per document:
+its distinct n-grams once to the partition that counts it, and gets the corpus
+count back where other blocks have the n-gram too.  Frequent n-grams cross the
+network once per block, n-grams of one block only one way.  An n-gram is known
+by its partition and 48 bits of its hash.  Scores are then summed per document:
 
     S(w | h) = c(h w) / c(h)  if h w occurs in another document, else alpha S(w | shorter h)
 
@@ -29,15 +30,16 @@ ORDER = 2
 ALPHA = 0.4
 BLOCK = 2_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
+LOW = np.uint64((1 << 48) - 1)
 
 
 class Hasher:
     """Token and n-gram hashes of texts; word hashes come from a cache of bounded size."""
 
-    LIMIT = 300_000
+    LIMIT = 150_000
 
-    def __init__(self, order: int):
-        self.order = order
+    def __init__(self, order: int, parts: int):
+        self.order, self.parts = order, np.uint64(parts)
         self.seen: dict[str, int] = {}
 
     def tokens(self, text: str | None) -> np.ndarray:
@@ -52,18 +54,18 @@ class Hasher:
         return np.array(out, np.uint64)
 
     def grams(self, text: str | None) -> list[np.ndarray]:
-        """Hashes of the n-grams that end at each token, from one word to ``order``; shorter at the start."""
+        """The n-grams that end at each token, from one word to ``order`` (shorter at the start): partition above 48 bits of hash."""
         t = self.tokens(text)
         out = [t]
         for n in range(2, self.order + 1):
             prev = out[-1]
             out.append((prev[:-1] * MIX ^ (prev[:-1] >> np.uint64(29))) + t[n - 1:] * np.uint64(2 * n + 1))
-        return out
+        return [(h >> np.uint64(48)) % self.parts << np.uint64(48) | h & LOW for h in out]
 
 
-def distinct(texts: list[str | None], hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-gram hashes of a block and their counts."""
-    every = [g for t in texts for g in hasher.grams(t)]
+def distinct(grams: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of a block and their counts."""
+    every = [g for gs in grams for g in gs]
     return np.unique(np.concatenate(every) if every else np.zeros(0, np.uint64), return_counts=True)
 
 
@@ -102,30 +104,32 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
     src = c.only(docs, id=id_col, text=text_col)
     n_docs = src.select("id").count()
     blocks = max(1, math.ceil(n_docs / block), 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_docs / 8_000))
+    parts = min(60_000, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_docs / 4_000)))
     dealt = src.withColumn("block", F.pmod(F.xxhash64(F.lit(2), "id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(order)
+        hasher = Hasher(order, parts)
         texts: dict[int, list] = {}
         for b in batches:
             for k, t in zip(b.column("block").to_pylist(), b.column("text").to_pylist()):
                 texts.setdefault(k, []).append(t)
         for k, ts in texts.items():
-            keys, counts = distinct(ts, hasher)
-            part = (keys % np.uint64(parts)).astype(np.int32)
-            by = np.argsort(part, kind="stable")
-            keys, counts, part = keys[by].view(np.int64), counts[by].astype(np.int32), part[by]
+            keys, counts = distinct([hasher.grams(t) for t in ts])  # sorted, so by partition
+            part = (keys >> np.uint64(48)).astype(np.int32)
+            low, high, counts = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), (keys >> np.uint64(32)).astype(np.uint16).view(np.int16), counts.astype(np.int32)
             cut = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]).astype(np.int32)
             if len(part):
                 yield pa.RecordBatch.from_arrays([
                     pa.array(part[cut[:-1]]), pa.array(np.full(len(cut) - 1, k, np.int32)),
-                    pa.ListArray.from_arrays(pa.array(cut), pa.array(keys)), pa.ListArray.from_arrays(pa.array(cut), pa.array(counts))], ["part", "block", "keys", "counts"])
+                    *[pa.ListArray.from_arrays(pa.array(cut), pa.array(x)) for x in (low, high, counts)]], ["part", "block", "low", "high", "counts"])
     longs, ints = T.ArrayType(c.LONG), T.ArrayType(c.INT)
-    asked = dealt.mapInArrow(ask, c.struct(("part", c.INT), ("block", c.INT), ("keys", longs), ("counts", ints)))
+    asked = dealt.mapInArrow(ask, c.struct(("part", c.INT), ("block", c.INT), ("low", ints), ("high", T.ArrayType(T.ShortType())), ("counts", ints)))
     # the n-grams of all blocks meet the count table in its own partition: one exchange, one sort
-    exploded = asked.repartition(parts, "part").select("part", "block", "counts", F.posexplode("keys").alias("at", "gram")).select("part", "block", "gram", F.get("counts", F.col("at")).alias("n"))
-    joined = exploded.withColumn("total", F.sum("n").over(Window.partitionBy("part", "gram"))).select("block", "gram", "total")
+    each = asked.repartition(parts, "part").select("part", "block", "high", "counts", F.posexplode("low").alias("at", "low"))
+    word = F.shiftleft(F.get("high", F.col("at")).cast("bigint"), 32).bitwiseOR(F.col("low").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
+    exploded = each.select("part", "block", word.alias("gram"), F.get("counts", F.col("at")).alias("n"))
+    joined = exploded.withColumn("total", F.sum("n").over(Window.partitionBy("part", "gram"))).filter("total > n")
+    joined = joined.select("block", F.shiftleft(F.col("part").cast("bigint"), 48).bitwiseOR(F.col("gram").bitwiseAND(F.lit((1 << 48) - 1))).alias("gram"), "total")
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Packs the answers of a partition by block."""
@@ -143,7 +147,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
             if b.num_rows:
                 held.append(tuple(b.column(k).to_numpy(zero_copy_only=False) for k in range(3)))
                 size += b.num_rows
-            if size > 2_000_000:
+            if size > 500_000:
                 yield send()
                 size = 0
         if held:
@@ -151,12 +155,11 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
     told = joined.mapInArrow(tell, c.struct(("block", c.INT), ("grams", longs), ("totals", longs)))
 
     def score(_key, mine: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        hasher = Hasher(order)
-        keys = np.concatenate([np.zeros(0, np.int64), *answers["grams"]]).view(np.uint64)
-        counts = np.concatenate([np.zeros(0, np.int64), *answers["totals"]])
-        by = np.argsort(keys)
-        keys, counts = keys[by], counts[by]
+        hasher = Hasher(order, parts)
         grams = [hasher.grams(t) for t in mine["text"]]
+        keys, counts = distinct(grams)
+        shared = np.concatenate([np.zeros(0, np.int64), *answers["grams"]]).view(np.uint64)
+        counts[np.searchsorted(keys, shared)] = np.concatenate([np.zeros(0, np.int64), *answers["totals"]])
         return pd.DataFrame({"id": mine["id"], "n_tokens": [len(g[0]) for g in grams], "log_score": [text_score(g, keys, counts, corpus, alpha) for g in grams]})
     corpus = int(src.agg(F.sum(n_words(F.col("text")))).first()[0] or 0)
     schema = c.struct(("id", c.column_type(src, "id")), ("n_tokens", c.LONG), ("log_score", c.DOUBLE))
