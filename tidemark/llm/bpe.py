@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -223,9 +222,8 @@ class Codec:
         return b"".join(map(self.v.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-@lru_cache(1)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    return c.held(("bpe", path), lambda: Codec(path))
 
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:

@@ -44,6 +44,17 @@ def map_rows(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return plain.mapInArrow(task, plain.schema).toDF(*df.columns)
 
 
+_held: dict = {}
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """One large object per Python worker: workers are reused by later stages, which then free it."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def filter_rows(df: DataFrame, text_col: str, keep: Callable[[list[str | None]], list[bool]]) -> DataFrame:
     """The rows whose text ``keep`` accepts, all columns unchanged."""
     at = df.columns.index(text_col)

@@ -21,6 +21,7 @@ from tidemark.llm import common as c
 WIDTH = 1024
 SCALE = 1 << 20
 SLICE = 4_000_000
+GROUP = 1_000
 
 
 @lru_cache(1)
@@ -132,9 +133,8 @@ class Encoder:
         return out
 
 
-@lru_cache(2)
 def encoder(width: int, seed: int) -> Encoder:
-    return Encoder(width, seed)
+    return c.held(("language", width, seed), lambda: Encoder(width, seed))
 
 
 class Model:
@@ -146,6 +146,15 @@ class Model:
         self.prototypes = sums / np.where(norm > 0, norm, 1)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        langs: list[str] = []
+        scores: list[float] = []
+        for k in range(0, len(texts), GROUP):
+            lang, score = self.group(texts[k:k + GROUP])
+            langs += lang
+            scores += score
+        return langs, scores
+
+    def group(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if not self.names:
             return ["und"] * len(texts), [0.0] * len(texts)
         v = encoder(self.width, self.seed).bundles(texts)
@@ -170,13 +179,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for b in batches:
-            v = encoder(width, seed).bundles(b.column("text").to_pylist())
-            norm = np.linalg.norm(v, axis=1, keepdims=True)
-            unit = np.rint(v / np.where(norm > 0, norm, 1) * SCALE).astype(np.int64)  # whole numbers: sums do not depend on order
-            lang = np.array(b.column("lang").to_pylist(), object)
-            for name in set(lang):
-                total[name] = total.get(name, 0) + unit[lang == name].sum(axis=0)
+            for k in range(0, b.num_rows, GROUP):
+                add(total, b.slice(k, GROUP))
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([x.tolist() for x in total.values()], pa.list_(pa.int64()))], ["lang", "v"])
+
+    def add(total: dict[str, np.ndarray], b: pa.RecordBatch) -> None:
+        v = encoder(width, seed).bundles(b.column("text").to_pylist())
+        norm = np.linalg.norm(v, axis=1, keepdims=True)
+        unit = np.rint(v / np.where(norm > 0, norm, 1) * SCALE).astype(np.int64)  # whole numbers: sums do not depend on order
+        lang = np.array(b.column("lang").to_pylist(), object)
+        for name in set(lang):
+            total[name] = total.get(name, 0) + unit[lang == name].sum(axis=0)
     parts = train.mapInArrow(task, c.struct(("lang", c.STRING), ("v", T.ArrayType(c.LONG))))
     rows = parts.select("lang", F.posexplode("v").alias("k", "x")).groupBy("lang", "k").agg(F.sum("x").alias("x")).collect()
     names = sorted({r["lang"] for r in rows})

@@ -16,7 +16,7 @@ BITS = 22
 SLOTS = 1 << BITS
 FULL = 1_500_000
 #: Bytes of one step; a longer text is one step by itself.
-STEP = 4_000_000
+STEP = 1_000_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
