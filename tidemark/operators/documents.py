@@ -205,14 +205,16 @@ def corpus_terms(corpus: DataFrame, text: str = "text") -> tuple[DataFrame, Data
 def claim_support(claim_rows: DataFrame, corpus: DataFrame, keys: list[str], threshold: float = 0.55) -> DataFrame:
     """Share of each claim's tokens and bigrams found in a corpus.
 
-    Tokens and bigrams of a claim are exploded once and looked up in the
-    distinct terms of the corpus; the lookup never multiplies rows.  Spark
-    broadcasts the terms only when their measured size allows it and splits
-    hot terms otherwise.  A claim's rows leave one task as one sum per claim.
+    Tokens and bigrams of a claim become 64-bit hashes where they are cut, and
+    are looked up in the distinct hashes of the corpus; the lookup never
+    multiplies rows.  Spark broadcasts the terms only when their measured size
+    allows it and splits hot terms otherwise.  A claim's rows leave one task
+    as one sum per claim.
     """
     tokens, pairs, _ = corpus_terms(corpus)
-    known = tokens.withColumn("kind", F.lit(1)).unionByName(pairs.withColumn("kind", F.lit(2)))
-    tagged = lambda c, kind: F.transform(c, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term")))
+    hashed = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.xxhash64("term").alias("term"), "hit")
+    known = hashed(tokens, 1).unionByName(hashed(pairs, 2)).distinct()
+    tagged = lambda c, kind: F.transform(c, lambda t: F.struct(F.lit(kind).alias("kind"), F.xxhash64(t).alias("term")))
     c = claim_rows.select(*keys, claim_tokens(F.col("claim")).alias("_t"))
     terms = c.select(*keys, F.inline(F.concat(tagged(F.col("_t"), 1), tagged(bigrams(F.col("_t")), 2))))
     found = terms.join(known, ["kind", "term"], "left")
