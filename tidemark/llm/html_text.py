@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.llm import common as c
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+ATTRIBUTE = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 # --- fixed values: element names of HTML ---
 RAW = frozenset("script style noscript template textarea iframe object svg math canvas audio video".split())
@@ -33,7 +33,7 @@ FURNITURE = frozenset("head nav aside form footer menu dialog button select opti
 CLOSED_BY = {"p": BLOCK, "li": frozenset(["li"]), "dd": frozenset(["dd", "dt"]), "dt": frozenset(["dd", "dt"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 # --- end of fixed values ---
 
-#: Words in class, id, role and label attributes that mark furniture.
+#: Words in class, id and role attributes that mark furniture.
 MARKS = re.compile(r"""(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|promo|promoted|promotion|sponsor|sponsored|banner|nav|navbar|navigation|menu|menubar|breadcrumbs?|sidebar|side|aside|widget|related|recommended|
 share|sharing|social|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|comments?|commentlist|replies|reply|respond|disqus|footer|contentinfo|complementary|pagination|pager|toolbar|skip|copyright|legal)(?:$|[\s_-])""".replace("\n", ""), re.I)
 HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar|site-head)(?:$|[\s_-])", re.I)
@@ -44,9 +44,10 @@ WORD, INSIDE, INSIDE_TAG = 1.0, -0.1, -0.25
 DEFAULT = {"": -1.5, "p": -0.5, "b": -0.25, "i": -0.25, "em": -0.25, "strong": -0.25, "br": -0.25, "span": -0.25, "a": -2.0, "li": -1.5, "ul": -2.0, "div": -2.0, "nav": -8.0, "footer": -8.0, "aside": -8.0, "form": -8.0, "article": -0.25, "main": -0.25, "h1": -0.5, "h2": -0.5, "h3": -0.5}
 
 
-def events(page: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
+def events(page: str, marked: bool = True) -> Iterator[tuple[str, str, bool, bool, bool]]:
     """(kind, value, inside furniture, inside an article, block) in page order; kind is text or tag.
 
+    ``marked``: whether attributes mark furniture too, not only element names.
     Elements left open end with the parent or, for paragraphs and items, with
     the next one; a closing tag without an opening one is ignored.
     """
@@ -81,7 +82,7 @@ def events(page: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
             stack.pop()
         bad, art = stack[-1][1:] if stack else (False, False)
         if not bad:
-            marks = " ".join(x or y or z for x, y, z in ATTRIBUTE.findall(m[3])) if m[3] else ""
+            marks = " ".join(x or y or z for x, y, z in ATTRIBUTE.findall(m[3])) if m[3] and marked else ""
             bad = name in FURNITURE or bool(marks and name not in ("html", "body", "article", "main") and MARKS.search(marks))
             if not bad and not art:
                 bad = name == "header" or bool(marks and name != "article" and HEADER.search(marks))
@@ -104,8 +105,15 @@ def region(scores: list[float]) -> tuple[int, int]:
 
 
 def extract(page: str, weights: Mapping[str, float] = DEFAULT) -> str:
-    """The main text of one page: blocks joined by a line break."""
-    seen = list(events(page))
+    """The main text of one page: blocks joined by a line break.
+
+    Where attributes mark everything as furniture, as wrappers named after
+    their sidebar do, only element names count.
+    """
+    return text_of(list(events(page)), weights) or text_of(list(events(page, False)), weights)
+
+
+def text_of(seen: list[tuple[str, str, bool, bool, bool]], weights: Mapping[str, float]) -> str:
     other = weights.get("", -1.5)
     # white space and references do not matter for the score; a word is a run of non-space
     scores = [len(v.split()) * (INSIDE if bad else WORD) if k == "text" else INSIDE_TAG if bad else weights.get(v, other) for k, v, bad, _, _ in seen]
