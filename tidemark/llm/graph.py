@@ -7,17 +7,23 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.session import cut_lineage
 
 
+def dealt(least: DataFrame) -> DataFrame:
+    """Takes a node table out of the partitioning of its aggregate: only a join of two
+    exchanges is one whose large partitions, the edges of a hub, Spark can split."""
+    return least.repartition(int(least.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def large_star(e: DataFrame) -> DataFrame:
     """Each node's larger neighbours move to its smallest one."""
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return both.filter("b > a").join(dealt(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def small_star(e: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours move to the smallest one."""
     least = e.groupBy("a").agg(F.min("b").alias("m"))
-    moved = e.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = e.join(dealt(least), "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
