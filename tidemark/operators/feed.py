@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import cut_lineage
 from .ranking import sorted_positions
-from .selection import top_per_key
 
 # Fixed values.
 ACTIVE_STATUSES = ("new", "queued", "generating", "tailored")

@@ -8,7 +8,6 @@ Arrow batches.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.finance import (DEFAULT_MRP, TRADING_DAYS, daily_rate, market_risk_premium, ratio, sml_return)

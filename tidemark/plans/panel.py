@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..operators import brief as br
 from ..operators import documents as doc
@@ -10,7 +10,7 @@ from ..operators import regression as reg
 from ..operators import returns as ret
 from ..operators import technical as tech
 from ..session import cut_lineage
-from ..operators.windows import DEFAULT_HORIZON, MACRO_MONTHS, Grid, asof_calendar, edges, members
+from ..operators.windows import DEFAULT_HORIZON, MACRO_MONTHS, Grid, edges, members
 
 KEYS = ["symbol", "as_of"]
 SCL = ("alpha", "alpha_annual", "alpha_tstat", "beta", "beta_tstat", "r_squared", "correlation", "residual_std", "information_ratio", "firm_specific_share",

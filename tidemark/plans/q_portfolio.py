@@ -6,7 +6,6 @@ from pyspark.sql import Window as W, functions as F
 
 from ..operators import portfolio as pf
 from ..operators import regression as reg
-from ..sources import views
 from .cte import PRICES, RETURNS, with_
 from .q_regression import BASE, aligned
 from .q_returns import BY, returns, rounded

@@ -10,7 +10,7 @@ from ..operators.joins import dedup_key, normalize_url
 from ..sources import views
 from ..sources.tables import table, text_table
 from .cte import APP_LOG, POSTINGS, with_
-from .q_documents import PROFILE, SKILLS, sql_list
+from .q_documents import PROFILE, SKILLS
 from .q_joins import applied_log
 from .registry import query
 

@@ -13,7 +13,6 @@ from ..streaming import jobs
 from .cte import APP_LOG, POSTINGS, STATUS_EVENTS, with_
 from .q_joins import applied_log
 from .q_postings import APPLIED, KEY, NEAR, PREFS, RULES, TITLE, now
-from .q_returns import rounded
 from .q_sources import scratch
 from .registry import query
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import returns as ret
 from ..operators import technical as tech
 from ..operators.feed import weighted_mix
 from ..sources import views
