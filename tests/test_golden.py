@@ -291,3 +291,31 @@ def test_empty_window_is_null_not_zero(spark):
     s = doc.text_stats(doc.doc_scores(d, tok.Lexicon()), win.Grid.of("2024-01-05", "2024-01-15", 10), ["symbol"], ["news_recent"])
     got = {r["as_of"].day: (r["n_docs"], r["sentiment_mean"]) for r in s.collect()}
     assert got == {5: (0.0, None), 15: (1.0, 1.0)}
+
+
+def test_factor_fit_keeps_its_digits(spark):
+    rng = np.random.default_rng(7)
+    n = 50_000
+    x = rng.standard_normal((n, 2)) * 0.01 + [1000.0, -500.0]
+    y = 3.0 + x @ [0.7, -0.2] + rng.standard_normal(n) * 0.01
+    df = spark.createDataFrame([("k", float(a), float(b), float(c)) for (a, b), c in zip(x, y)], "g string, a double, b double, ye double")
+    got = reg.fit_multifactor(df, ["g"], ["a", "b"]).first()
+    centred = x - x.mean(axis=0)
+    beta = np.linalg.lstsq(centred, y - y.mean(), rcond=None)[0]
+    assert got["beta_a"] == pytest.approx(beta[0], rel=1e-9) and got["beta_b"] == pytest.approx(beta[1], rel=1e-9)
+    assert got["alpha"] == pytest.approx(y.mean() - beta @ x.mean(axis=0), rel=1e-9)
+
+
+def scans(df, table):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sum("FileScan" in line and f"/{table}.parquet" in line for line in plan.splitlines())
+
+
+def test_sources_are_read_once(spark, sf):
+    from tidemark.plans import registry
+    registry.load_all()
+    assert scans(registry.QUERIES["norm_postings"](spark, sf), "part") == 1
+    for name in ("event_features", "capm_features", "relative_features"):
+        assert scans(registry.QUERIES[name](spark, sf), "lineitem") <= 2
+    for name in ("sentiment_shift", "text_stats"):
+        assert scans(registry.QUERIES[name](spark, sf), "documents") <= 1
