@@ -212,6 +212,11 @@ def test_sketch_estimates_and_merging(spark):
 
 # --- language model -------------------------------------------------------------------
 
+def test_short_numbers_round_trip():
+    x = np.array([1, 127, 128, 16383, 16384, 2**31, 2**40 + 5, 3])
+    assert (lm.lengthen(lm.shorten(x)) == x).all() and len(lm.shorten(x[:2])) == 2
+
+
 def test_lm_against_brute_force(spark):
     texts = [prose(i, 30) for i in range(12)] + ["", None, "zebra", prose(3, 30), "fox"]
     toks = [(t or "").lower().split() for t in texts]

@@ -3,9 +3,9 @@
 Count tables hold how often each n-gram occurs in the corpus, partitioned by a
 hash of the n-gram.  Documents are dealt into blocks; a block sends each of
 its distinct n-grams once to the partition that counts it, and gets the corpus
-count back where other blocks have the n-gram too.  Frequent n-grams cross the
-network once per block, n-grams of one block only one way.  An n-gram is known
-by its partition and 48 bits of its hash.  Scores are then summed per document:
+counts back in the same order, a byte each where they are small.  Frequent
+n-grams thus cross the network once per block.  An n-gram is known by its
+partition and 48 bits of its hash.  Scores are then summed per document:
 
     S(w | h) = c(h w) / c(h)  if h w occurs in another document, else alpha S(w | shorter h)
 
@@ -69,6 +69,27 @@ def distinct(grams: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate(every) if every else np.zeros(0, np.uint64), return_counts=True)
 
 
+def shorten(numbers: np.ndarray) -> bytes:
+    """Counts in base 128, lowest digits first; a byte below 128 ends a number."""
+    sizes = np.ones(len(numbers), np.int64)
+    for k in range(1, 9):
+        sizes += numbers >= 1 << 7 * k
+    starts = np.cumsum(sizes) - sizes
+    out = np.zeros(int(sizes.sum()), np.uint8)
+    for k in range(int(sizes.max(initial=0))):
+        here = sizes > k
+        out[starts[here] + k] = (numbers[here] >> 7 * k & 127) | np.where(sizes[here] > k + 1, 128, 0)
+    return out.tobytes()
+
+
+def lengthen(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    ends = np.flatnonzero(raw < 128)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    place = np.arange(len(raw)) - np.repeat(starts, ends - starts + 1)
+    return np.add.reduceat((raw & 127).astype(np.int64) << 7 * place, starts)
+
+
 def text_score(grams: list[np.ndarray], keys: np.ndarray, counts: np.ndarray, total: int, alpha: float) -> float:
     """Sum of log S over the tokens of one text."""
     n = len(grams[0])
@@ -122,44 +143,34 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
                 yield pa.RecordBatch.from_arrays([
                     pa.array(part[cut[:-1]]), pa.array(np.full(len(cut) - 1, k, np.int32)),
                     *[pa.ListArray.from_arrays(pa.array(cut), pa.array(x)) for x in (low, high, counts)]], ["part", "block", "low", "high", "counts"])
-    longs, ints = T.ArrayType(c.LONG), T.ArrayType(c.INT)
+    ints = T.ArrayType(c.INT)
     asked = dealt.mapInArrow(ask, c.struct(("part", c.INT), ("block", c.INT), ("low", ints), ("high", T.ArrayType(T.ShortType())), ("counts", ints)))
     # the n-grams of all blocks meet the count table in its own partition: one exchange, one sort
     each = asked.repartition(parts, "part").select("part", "block", "high", "counts", F.posexplode("low").alias("at", "low"))
     word = F.shiftleft(F.get("high", F.col("at")).cast("bigint"), 32).bitwiseOR(F.col("low").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
-    exploded = each.select("part", "block", word.alias("gram"), F.get("counts", F.col("at")).alias("n"))
-    joined = exploded.withColumn("total", F.sum("n").over(Window.partitionBy("part", "gram"))).filter("total > n")
-    joined = joined.select("block", F.shiftleft(F.col("part").cast("bigint"), 48).bitwiseOR(F.col("gram").bitwiseAND(F.lit((1 << 48) - 1))).alias("gram"), "total")
+    exploded = each.select("part", "block", "at", word.alias("gram"), F.get("counts", F.col("at")).alias("n"))
+    joined = exploded.withColumn("total", F.sum("n").over(Window.partitionBy("part", "gram"))).select("block", "part", "at", "total")
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Packs the answers of a partition by block."""
-        held: list[tuple[np.ndarray, ...]] = []
-        size = 0
-
-        def send() -> pa.RecordBatch:
-            block, gram, total = (np.concatenate(x) for x in zip(*held))
-            by = np.argsort(block, kind="stable")
-            block = block[by]
-            cut = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]]).astype(np.int32)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(block[cut[:-1]]), pa.ListArray.from_arrays(pa.array(cut), pa.array(gram[by])), pa.ListArray.from_arrays(pa.array(cut), pa.array(total[by]))], ["block", "grams", "totals"])
-        for b in batches:
-            if b.num_rows:
-                held.append(tuple(b.column(k).to_numpy(zero_copy_only=False) for k in range(3)))
-                size += b.num_rows
-            if size > 500_000:
-                yield send()
-                size = 0
+        """The counts of each block's n-grams in the order it asked for them."""
+        held = [tuple(b.column(k).to_numpy(zero_copy_only=False) for k in range(4)) for b in batches if b.num_rows]
         if held:
-            yield send()
-    told = joined.mapInArrow(tell, c.struct(("block", c.INT), ("grams", longs), ("totals", longs)))
+            block, part, at, total = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            by = np.lexsort((at, part, block))
+            block, part, total = block[by], part[by], total[by]
+            cut = [0, *(np.flatnonzero((np.diff(block) != 0) | (np.diff(part) != 0)) + 1).tolist(), len(block)]
+            for k in range(0, len(cut) - 1, 64):
+                some = list(zip(cut[k:k + 64], cut[k + 1:k + 65]))
+                yield pa.RecordBatch.from_arrays([pa.array([block[x] for x, _ in some], pa.int32()), pa.array([part[x] for x, _ in some], pa.int32()), pa.array([shorten(total[x:y]) for x, y in some], pa.binary())], ["block", "part", "totals"])
+    told = joined.mapInArrow(tell, c.struct(("block", c.INT), ("part", c.INT), ("totals", c.BINARY)))
 
     def score(_key, mine: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         hasher = Hasher(order, parts)
         grams = [hasher.grams(t) for t in mine["text"]]
         keys, counts = distinct(grams)
-        shared = np.concatenate([np.zeros(0, np.int64), *answers["grams"]]).view(np.uint64)
-        counts[np.searchsorted(keys, shared)] = np.concatenate([np.zeros(0, np.int64), *answers["totals"]])
+        if len(keys):
+            counts = lengthen(b"".join(answers.sort_values("part")["totals"]))
         return pd.DataFrame({"id": mine["id"], "n_tokens": [len(g[0]) for g in grams], "log_score": [text_score(g, keys, counts, corpus, alpha) for g in grams]})
     corpus = int(src.agg(F.sum(n_words(F.col("text")))).first()[0] or 0)
     schema = c.struct(("id", c.column_type(src, "id")), ("n_tokens", c.LONG), ("log_score", c.DOUBLE))
