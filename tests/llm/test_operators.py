@@ -420,6 +420,7 @@ def test_html_leaves_furniture_out():
     assert html_text.extract(plain) == want
     assert [html_text.extract(x) for x in ("", "<p>", "<script>a b c", "<nav>a b</nav>", "<!-- x")] == [""] * 5
     assert html_text.extract("plain words only") == "plain words only"
+    assert html_text.extract("<p>one <a href=\"x>two</a> three") == "one two three"
     assert html_text.extract("<div class='with sidebar'><nav>a b</nav><p>all of the text</div>") == "all of the text"
     assert html_text.extract("<p>open <b>tags <i>everywhere<p>second one") == "open tags everywhere\nsecond one"
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm import common as c
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)[^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 # --- fixed values: element names of HTML ---
@@ -62,10 +62,11 @@ def events(page: str, marked: bool = True) -> Iterator[tuple[str, str, bool, boo
         if not m:
             return
         at = m.end()
-        name = (m[2] or "").lower()
+        name = (m[2] or m[5] or "").lower()  # the second form: a tag with a quote left open
+        attributes = m[3] or ""
         if not name:
             continue
-        if m[1]:
+        if m[1] or m[4]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     del stack[k:]
@@ -82,13 +83,13 @@ def events(page: str, marked: bool = True) -> Iterator[tuple[str, str, bool, boo
             stack.pop()
         bad, art = stack[-1][1:] if stack else (False, False)
         if not bad:
-            marks = " ".join(x or y or z for x, y, z in ATTRIBUTE.findall(m[3])) if m[3] and marked else ""
+            marks = " ".join(x or y or z for x, y, z in ATTRIBUTE.findall(attributes)) if attributes and marked else ""
             bad = name in FURNITURE or bool(marks and name not in ("html", "body", "article", "main") and MARKS.search(marks))
             if not bad and not art:
                 bad = name == "header" or bool(marks and name != "article" and HEADER.search(marks))
         art = art or name in ("article", "main")
         yield "tag", name, bad, art, name in BLOCK
-        if name not in VOID and not m[3].endswith("/"):
+        if name not in VOID and not attributes.endswith("/"):
             stack.append((name, bad, art))
 
 
@@ -96,7 +97,7 @@ def region(scores: list[float]) -> tuple[int, int]:
     """[start, end) of the greatest sum; the earliest, longest on ties; (0, 0) if none is positive."""
     best, span, total, start = 0.0, (0, 0), 0.0, 0
     for i, x in enumerate(scores):
-        if total <= 0:
+        if total < 0:
             total, start = 0.0, i
         total += x
         if total > best or total == best > 0 and start == span[0]:
