@@ -54,7 +54,17 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.scores(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_tokens", "log_score")
+    return lm.scores(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_tokens", F.round("log_score", 6).alias("log_score"))
+
+
+ORACLES["op4_lm_scores"] = """WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS ws FROM documents),
+tok AS (SELECT doc_id, i, w, LAG(w) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM (SELECT doc_id, UNNEST(ws) AS w, generate_subscripts(ws, 1) AS i FROM t)),
+size AS (SELECT *, SUM(n) OVER () - n AS rest FROM (SELECT doc_id, COUNT(*) AS n FROM tok GROUP BY doc_id)),
+one AS (SELECT doc_id, w, SUM(COUNT(*)) OVER (PARTITION BY w) - COUNT(*) AS k FROM tok GROUP BY doc_id, w),
+two AS (SELECT doc_id, p, w, SUM(COUNT(*)) OVER (PARTITION BY p, w) - COUNT(*) AS k FROM tok WHERE p IS NOT NULL GROUP BY doc_id, p, w),
+s AS (SELECT tok.doc_id, CASE WHEN two.k > 0 AND c.k > 0 THEN LN(two.k / c.k) ELSE CASE WHEN tok.p IS NULL THEN 0 ELSE LN(0.4) END + LN(GREATEST(one.k, 0.5) / GREATEST(rest, 1)) END AS s
+  FROM tok JOIN size USING (doc_id) JOIN one ON one.doc_id = tok.doc_id AND one.w = tok.w LEFT JOIN one c ON c.doc_id = tok.doc_id AND c.w = tok.p LEFT JOIN two ON two.doc_id = tok.doc_id AND two.p = tok.p AND two.w = tok.w)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_tokens, ROUND(COALESCE(x.s, 0), 6) AS log_score FROM t LEFT JOIN (SELECT doc_id, SUM(s) AS s FROM s GROUP BY doc_id) x USING (doc_id)"""
 
 
 @query
@@ -62,6 +72,14 @@ def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.links(table(spark, sf_dir, "embeddings"))
 
 
+#: Every pair of a label; feasible for the small tables of the correctness check.
+ORACLES["op5_embeddings"] = """WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+r(a, b) AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+c AS (SELECT vec_id, COALESCE(LEAST(vec_id, MIN(r.b)), vec_id) AS component_id FROM e LEFT JOIN r ON r.a = vec_id GROUP BY vec_id)
+SELECT vec_id, COALESCE(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN (SELECT a, COUNT(*) AS n FROM p GROUP BY a) ON a = vec_id"""
+
+
 @query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
