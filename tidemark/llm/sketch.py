@@ -69,20 +69,23 @@ def merge_parts(parts: DataFrame, by: list[str], sketch_col: str = "sketch", k:
     return low.groupBy(*by).agg(F.sort_array(F.collect_list("_h")).alias(sketch_col))
 
 
-def dealt(rows: DataFrame, key: str) -> tuple[DataFrame, int]:
-    """Adds ``_part``: the range of the whole-number ``key`` a row lies in (0 for null), and the number of ranges.
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Adds ``_part``: the range of the whole-number ``key`` a row lies in (0 for null).
 
     The bounds are approximate quantiles, a few per shuffle partition; each row finds its range by bisection.
     """
     n = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(rows.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 20 * n)).first()[0] or []))
 
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col(key) >= F.lit(cuts[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
-    return rows.withColumn("_part", tree(0, len(cuts))), len(cuts) + 1
+    bounds = F.array(*map(F.lit, cuts)).cast("array<bigint>")
+
+    def narrow(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        above = F.col(key) >= F.get(bounds, mid)
+        return F.when(s["lo"] >= s["hi"], s).when(above, F.struct((mid + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), mid.alias("hi")))
+    whole = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
+    part = F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length() + 1)), whole, narrow, lambda s: s["lo"])
+    return rows.withColumn("_part", F.when(F.col(key).isNull(), F.lit(0)).otherwise(part))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -93,7 +96,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     range, a number set by the session, and is the only thing broadcast.
     """
     spark = docs.sparkSession
-    rows, _ = dealt(docs, "id")
+    rows = dealt(docs, "id")
     rows = rows.withColumn("_tie", F.xxhash64("text"))
     heads = rows.groupBy("_part").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "_tie")).alias("m")).orderBy("_part").collect()
     before = [heads[i - 1]["_part"] for i in range(len(heads))]
