@@ -194,7 +194,7 @@ class Codec:
             out: list[np.ndarray] = [np.zeros(0, np.uint32)] * (b - a)
             if len(part):
                 start, end = covering(part, ends)
-                ids, to = self.table.expand(self.table.numbers(part, start, end))
+                ids, to, _ = self.table.runs(part, start, end)
                 bound = np.concatenate([[0], to])[np.searchsorted(start, ends)]
                 out = [ids[x:y] for x, y in zip(bound[:-1], bound[1:])]
                 for k in self.odd(part, ends):

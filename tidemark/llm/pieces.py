@@ -2,7 +2,8 @@
 
 All work per byte and per piece is numpy: a piece is looked up by a 64-bit
 hash, taken as the difference of two prefix sums.  Only pieces not seen before
-reach the encoder.  The table is emptied when it is full, so memory is bounded.
+reach the encoder.  The table is emptied when it is full, and the pieces of a
+long text are looked up range by range, so memory is bounded whatever a text holds.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ import pyarrow as pa
 BITS = 22
 SLOTS = 1 << BITS
 FULL = 1_500_000
-#: Bytes of one step; a longer text is one step by itself.
+#: Bytes of one step; a longer text is one step by itself.  Less than FULL, so
+#: the pieces of a range of so many bytes always fit an empty table.
 STEP = 1_000_000
 
 _SPACE = np.zeros(256, bool)
@@ -158,6 +160,7 @@ class Table:
         self.used += total
 
     def numbers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Number of each piece; holds until the next call.  At most ``FULL`` pieces."""
         h = self.hashes(data, start, end)
         got = self.find(h)
         new = np.flatnonzero(got < 0)
@@ -167,8 +170,6 @@ class Table:
                 self.clear()
                 new = np.arange(len(h))
                 fresh, index = np.unique(h, return_index=True)
-            if self.n + len(fresh) > SLOTS // 2:
-                raise ValueError("one step holds more distinct pieces than the table")
             at = new[index]
             raw = data.tobytes()
             words = [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())]
@@ -176,6 +177,25 @@ class Table:
             got = self.find(h)
         return got
 
+    def runs(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Token ids of the pieces in a row, where each piece ends among them, and the pieces' flags.
+
+        Pieces are taken in ranges of at most ``STEP`` bytes, or one longer
+        piece; the table may be emptied between two ranges.
+        """
+        ids, ends, flags = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        at, used = 0, 0
+        while at < len(start):
+            low = int(start[at])
+            to = max(at + 1, int(np.searchsorted(end, low + STEP, "right")))
+            number = self.numbers(data[low:int(end[to - 1])], start[at:to] - low, end[at:to] - low)
+            got, stop = self.expand(number)
+            ids.append(got)
+            ends.append(stop + used)
+            flags.append(self.flags[number])
+            at, used = to, used + len(got)
+        return np.concatenate(ids), np.concatenate(ends), np.concatenate(flags)
+
     def expand(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of the pieces in a row, and where each piece ends among them."""
         count = self.count[number]
