@@ -20,11 +20,11 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
-#: Character class, its pattern, and the bits per character a window must reach.
+#: Character class, the runs of it that hold a window, and the bits per character a window must reach.
 CLASSES = (
-    ("hex", re.compile(r"[0-9a-f]+|[0-9A-F]+"), 3.0),
-    ("upper", re.compile(r"[0-9A-Z]+"), 3.5),
-    ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 3.75),
+    ("hex", re.compile(r"[0-9a-fA-F]{20,}"), 3.0),
+    ("upper", re.compile(r"[0-9A-Z]{20,}"), 3.5),
+    ("base64", re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 3.75),
 )
 #: High-entropy strings that are no secrets: UUIDs, numbers with separators, paths of words, dotted hosts.
 ALLOWED = (
@@ -34,6 +34,12 @@ ALLOWED = (
     r"(?:[/_=+-]*[A-Za-z]+\d{0,4})(?:[/_=+-]+(?:[A-Za-z]+\d{0,4}|\d{1,8}))*[/_=+-]*",
 )
 URL = re.compile(r"[a-z][a-z0-9+.-]*://\S*$|www\.\S*$", re.I)
+#: Where a URL's own text ends and what follows is another word.
+URL_END = re.compile(r"[\s\"'<>]|$")
+#: Words of a URL whose path holds a credential; other path segments are names of things.
+HOOK = re.compile(r"(?:^|[./_-])(?:(?:web)?hooks?|tokens?|secrets?|auth|bot\d+:)", re.I)
+#: Characters before a candidate that are looked at.
+BEFORE = 2_000
 #: Digests are published on purpose.
 DIGEST = re.compile(r"(?:sha-?\d+|md5|digest|checksum|integrity|commit)\W{0,3}$", re.I)
 
@@ -76,6 +82,45 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
+def in_path(url: str, rest: str) -> bool:
+    """Whether a place of a URL, after ``url`` and before ``rest``, is a path segment that names a thing.
+
+    Names and passwords before the host, parameters, fragments and the paths of
+    hooks are none.
+    """
+    after = re.split(r"://|^www\.", url, maxsplit=1, flags=re.I)[-1]
+    if "?" in after or "#" in after or "&" in after or HOOK.search(after):
+        return False
+    here = rest[:URL_END.search(rest).start()]
+    return "/" in after or "@" not in re.split(r"[/?#]", here, maxsplit=1)[0]
+
+
+def joined(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def hot_runs(s: str) -> list[tuple[int, int]]:
+    """Hot windows of the maximal runs of each class, by the limit of the class; those that overlap as one."""
+    return joined([(m.start() + a, m.start() + b) for _, pattern, bits in CLASSES for m in pattern.finditer(s) for a, b in hot_windows(m[0], bits)])
+
+
+def url_parts(s: str, allow: re.Pattern) -> list[tuple[int, str]]:
+    """Stretches of a candidate in a URL between segments that are allowed."""
+    out, begin = [], 0
+    for m in re.finditer(r"[^/]+", s):
+        if allow.fullmatch(m[0]):
+            out.append((begin, s[begin:m.start()]))
+            begin = m.end()
+    return [(at, part) for at, part in [*out, (begin, s[begin:])] if len(part) >= WINDOW]
+
+
 def spans(text: str, allow: re.Pattern) -> list[tuple[str, int, int]]:
     """All spans of a text by start, then kind; entropy spans that touch a base span are part of it."""
     base = base_spans(text)
@@ -84,11 +129,15 @@ def spans(text: str, allow: re.Pattern) -> list[tuple[str, int, int]]:
         s = m[0]
         if s.isalpha() or allow.fullmatch(s):
             continue
-        before = text[max(0, m.start() - 200):m.start()]
-        if URL.search(before) or DIGEST.search(before[-16:]):
+        before = text[max(0, m.start() - BEFORE):m.start()]
+        if DIGEST.search(before[-16:]):
             continue
-        limit = next(bits for _, pattern, bits in CLASSES if pattern.fullmatch(s))
-        for a, b in hot_windows(s, limit):
+        parts = [(0, s)]
+        if url := URL.search(before):
+            if in_path(url[0], text[m.end():m.end() + BEFORE]):
+                continue
+            parts = url_parts(s, allow)
+        for a, b in [(at + a, at + b) for at, part in parts for a, b in hot_runs(part)]:
             a, b = m.start() + a, m.start() + b
             mixed = any(ch.isdigit() for ch in text[a:b]) and any(ch.isalpha() for ch in text[a:b])
             if mixed and not any(x < b and a < y for _, x, y in base):
