@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.llm import common as c
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)[^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
+FORM = re.compile(r"<(?:form|fieldset)\b", re.I)
 ATTRIBUTE = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 # --- fixed values: element names of HTML ---
@@ -30,6 +31,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul""".split())
 FURNITURE = frozenset("head nav aside form footer menu dialog button select option fieldset label input search".split())
+#: Wrappers of controls; some pages stand in one as a whole.
+FORMS = frozenset("form fieldset".split())
 CLOSED_BY = {"p": BLOCK, "li": frozenset(["li"]), "dd": frozenset(["dd", "dt"]), "dt": frozenset(["dd", "dt"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 # --- end of fixed values ---
 
@@ -44,19 +47,21 @@ WORD, INSIDE, INSIDE_TAG = 1.0, -0.1, -0.25
 DEFAULT = {"": -1.5, "p": -0.5, "b": -0.25, "i": -0.25, "em": -0.25, "strong": -0.25, "br": -0.25, "span": -0.25, "a": -2.0, "li": -1.5, "ul": -2.0, "div": -2.0, "nav": -8.0, "footer": -8.0, "aside": -8.0, "form": -8.0, "article": -0.25, "main": -0.25, "h1": -0.5, "h2": -0.5, "h3": -0.5}
 
 
-def events(page: str, marked: bool = True) -> Iterator[tuple[str, str, bool, bool, bool]]:
+def events(page: str, marked: bool = True, forms: bool = True) -> Iterator[tuple[str, str, bool, bool, bool]]:
     """(kind, value, inside furniture, inside an article, block) in page order; kind is text or tag.
 
     ``marked``: whether attributes mark furniture too, not only element names.
+    ``forms``: whether a form is furniture, not only the controls in it.  An
+    article inside a form is none, unless other furniture holds it.
     Elements left open end with the parent or, for paragraphs and items, with
     the next one; a closing tag without an opening one is ignored.
     """
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, furniture, in an article, furniture through a form alone
     at, n = 0, len(page)
     while at < n:
         m = TAG.search(page, at)
         stop = m.start() if m else n
-        bad, art = stack[-1][1:] if stack else (False, False)
+        bad, art, form = stack[-1][1:] if stack else (False, False, False)
         if stop > at:
             yield "text", page[at:stop], bad, art, False
         if not m:
@@ -81,16 +86,20 @@ def events(page: str, marked: bool = True) -> Iterator[tuple[str, str, bool, boo
             continue
         while stack and name in CLOSED_BY.get(stack[-1][0], ()):
             stack.pop()
-        bad, art = stack[-1][1:] if stack else (False, False)
-        if not bad:
+        bad, art, form = stack[-1][1:] if stack else (False, False, False)
+        if form and name in ("article", "main"):
+            bad = form = False
+        if not bad or form:
             marks = " ".join(x or y or z for x, y, z in ATTRIBUTE.findall(attributes)) if attributes and marked else ""
-            bad = name in FURNITURE or bool(marks and name not in ("html", "body", "article", "main") and MARKS.search(marks))
-            if not bad and not art:
-                bad = name == "header" or bool(marks and name != "article" and HEADER.search(marks))
+            own = name in FURNITURE and name not in FORMS or bool(marks and name not in ("html", "body", "article", "main") and MARKS.search(marks))
+            if not own and not art:
+                own = name == "header" or bool(marks and name != "article" and HEADER.search(marks))
+            form = not own and (form or forms and name in FORMS)
+            bad = own or form
         art = art or name in ("article", "main")
         yield "tag", name, bad, art, name in BLOCK
         if name not in VOID and not attributes.endswith("/"):
-            stack.append((name, bad, art))
+            stack.append((name, bad, art, form))
 
 
 def region(scores: list[float]) -> tuple[int, int]:
@@ -109,9 +118,13 @@ def extract(page: str, weights: Mapping[str, float] = DEFAULT) -> str:
     """The main text of one page: blocks joined by a line break.
 
     Where attributes mark everything as furniture, as wrappers named after
-    their sidebar do, only element names count.
+    their sidebar do, only element names count.  Where a form holds all there
+    is, only its controls are furniture.
     """
-    return text_of(list(events(page)), weights) or text_of(list(events(page, False)), weights)
+    text = text_of(list(events(page)), weights) or text_of(list(events(page, False)), weights)
+    if not text and FORM.search(page):
+        text = text_of(list(events(page, True, False)), weights) or text_of(list(events(page, False, False)), weights)
+    return text
 
 
 def text_of(seen: list[tuple[str, str, bool, bool, bool]], weights: Mapping[str, float]) -> str:
