@@ -32,6 +32,9 @@ THREAT = frozenset("kill killing murder stab shoot strangle behead lynch töten
 # --- end of fixed values ---
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+APOSTROPHE = re.compile(r"['’]")
+#: A character that may stand inside a word, as the grammar or ``spoken`` cut them.
+INNER = re.compile(r"(?:[^\W\d_]|['’])+")
 CLAUSE_END = re.compile(r"[.!?;:\n|…]")
 QUOTE = re.compile(r"[\"“”„«»]")
 LONGEST_CLAUSE = 2_000
@@ -67,6 +70,15 @@ class Lexical:
         self.lexicon = lexicon
 
     def __call__(self, word: str) -> tuple[str, float]:
+        """A word with an apostrophe is one step: a negation as a whole, else the strongest of its parts, which are the words of ``spoken``."""
+        parts = APOSTROPHE.split(word)
+        if len(parts) == 1:
+            return self.plain(word)
+        if "'".join(parts) in NEGATION:
+            return "negation", 0.0
+        return max(map(self.plain, parts), key=lambda x: (x[1], x[0] != "other"))
+
+    def plain(self, word: str) -> tuple[str, float]:
         if w := self.lexicon.weight(word):
             return "insult", w
         if word in THREAT:
@@ -116,11 +128,15 @@ class Grammar:
             if begin < done or begin and text[begin - 1].isalpha():
                 continue
             low = max(done, begin - LONGEST_CLAUSE)
+            if low > done and INNER.match(text, low - 1, low) and (m := INNER.match(text, low, begin)):
+                low = m.end()  # not inside a word
             a = low
             for m in CLAUSE_END.finditer(text, low, begin):
                 a = m.end()
             m = CLAUSE_END.search(text, end, min(len(text), end + LONGEST_CLAUSE))
             done = m.end() if m else min(len(text), end + LONGEST_CLAUSE)
+            if not m and INNER.match(text, done - 1, done) and (m := INNER.match(text, done)):
+                done = m.end()
             yield a, done
 
     def clause(self, text: str) -> list[tuple[str, float]]:
