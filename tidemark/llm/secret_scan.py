@@ -27,11 +27,12 @@ CLASSES = (
     ("base64", re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 3.75),
 )
 #: High-entropy strings that are no secrets: UUIDs, numbers with separators, paths of words, dotted hosts.
+#: Neighbouring parts share no character and give nothing back, so a match takes one pass.
 ALLOWED = (
     r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}",
-    r"[0-9+/_=-]+",
-    r"[A-Za-z]+(?:[/_=+-]+[A-Za-z]*)*\d{0,4}",
-    r"(?:[/_=+-]*[A-Za-z]+\d{0,4})(?:[/_=+-]+(?:[A-Za-z]+\d{0,4}|\d{1,8}))*[/_=+-]*",
+    r"[0-9+/_=-]++",
+    r"[A-Za-z]++(?:[/_=+-]++[A-Za-z]*+)*+\d{0,4}+",
+    r"[/_=+-]*+[A-Za-z]++\d{0,4}+(?:[/_=+-]++(?:[A-Za-z]++\d{0,4}+|\d{1,8}+))*+[/_=+-]*+",
 )
 URL = re.compile(r"[a-z][a-z0-9+.-]*://\S*$|www\.\S*$", re.I)
 #: Where a URL's own text ends and what follows is another word.
@@ -56,14 +57,14 @@ def hot_windows(s: str, limit: float, width: int = WINDOW) -> list[tuple[int, in
     count: dict[str, int] = {}
     total, top, found = 0.0, math.log2(width), []
     for i, ch in enumerate(s):
-        n = count.get(ch, 0)
-        total += term[n + 1] - term[n]
-        count[ch] = n + 1
-        if i >= width:
+        if i >= width:  # first out, then in: a count never exceeds the window
             old = s[i - width]
             n = count[old]
             total += term[n - 1] - term[n]
             count[old] = n - 1
+        n = count.get(ch, 0)
+        total += term[n + 1] - term[n]
+        count[ch] = n + 1
         if i >= width - 1 and top - total / width >= limit - 1e-9:
             start = i - width + 1
             if found and start <= found[-1][1]:
@@ -164,7 +165,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow: S
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in c.small(batches):
             got = [[{"kind": k, "start": s, "end": e} for k, s, e in spans(t, pattern)] for t in c.texts(b)]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(got, arrow)], ["id", "spans"])
     return src.mapInArrow(task, c.struct(("id", c.column_type(src, "id")), ("spans", SPANS)))
@@ -191,7 +192,7 @@ def redact(df: DataFrame, text_col: str = "text", length_col: str | None = "n_ch
         return "".join(out) + text[done:]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in c.small(batches, at):
             old = b.column(at).to_pylist()
             new = [mask(t) for t in old]
             cols = list(b.columns)
