@@ -1,8 +1,8 @@
 """Cuts whole Arrow batches of texts into pieces and encodes each distinct piece once.
 
 All work per byte and per piece is numpy: a piece is looked up by a 64-bit
-hash, taken as the difference of two prefix sums.  Only pieces not seen before
-reach the encoder.  The table is emptied when it is full, and the pieces of a
+hash, taken as the difference of two prefix sums, and its bytes are compared
+with those of the piece found there.  Only pieces not seen before reach the encoder.  The table is emptied when it is full, and the pieces of a
 long text are looked up range by range, so memory is bounded whatever a text holds.
 """
 
@@ -13,12 +13,12 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 
-BITS = 22
+BITS = 20
 SLOTS = 1 << BITS
-FULL = 1_500_000
+FULL = 600_000
 #: Bytes of one step; a longer text is one step by itself.  Less than FULL, so
 #: the pieces of a range of so many bytes always fit an empty table.
-STEP = 1_000_000
+STEP = 500_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -101,6 +101,11 @@ class Table:
         self.flags = np.zeros(1024, bool)
         self.flat = np.zeros(4096, np.uint32)
         self.used = 0
+        self.head = np.zeros(1024, np.int64)
+        self.size = np.zeros(1024, np.int64)
+        self.bytes = np.zeros(4096, np.uint8)
+        self.stored = 0
+        self.twins: dict[bytes, int] = {}
 
     def powers(self, n: int) -> None:
         if n >= len(self.power):
@@ -141,23 +146,45 @@ class Table:
             todo = todo[self.at[slot[todo]] != number[todo]]
             slot[todo] = (slot[todo] + 1) & (SLOTS - 1)
 
-    def learn(self, words: list[bytes], h: np.ndarray) -> None:
+    def differing(self, number: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which pieces are not the ones of their numbers: another piece has the same hash."""
+        size = end - start
+        wrong = self.size[number] != size
+        at = np.flatnonzero(~wrong)
+        if not len(at):
+            return np.flatnonzero(wrong)
+        size = size[at]
+        stop = np.cumsum(size)
+        step = np.arange(int(stop[-1])) - np.repeat(stop - size, size)
+        mine = data[np.repeat(start[at], size) + step]
+        unlike = (LOWER[mine] if self.lower else mine) != self.bytes[np.repeat(self.head[number[at]], size) + step]
+        wrong[at[np.unique(np.searchsorted(stop, np.flatnonzero(unlike), "right"))]] = True
+        return np.flatnonzero(wrong)
+
+    def learn(self, words: list[bytes]) -> None:
+        """Numbers the words from ``n`` on."""
         got = self.encode(words)
         lengths = np.fromiter(map(len, got), np.int64, len(got))
         total = int(lengths.sum())
         while self.used + total > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         while self.n + len(got) > len(self.first):
-            self.first, self.count, self.flags = (np.resize(x, 2 * len(x)) for x in (self.first, self.count, self.flags))
+            self.first, self.count, self.flags, self.head, self.size = (np.resize(x, 2 * len(x)) for x in (self.first, self.count, self.flags, self.head, self.size))
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        while self.stored + len(raw) > len(self.bytes):
+            self.bytes = np.resize(self.bytes, 2 * len(self.bytes))
         self.flat[self.used:self.used + total] = np.fromiter((t for ids in got for t in ids), np.uint32, total)
         mine = slice(self.n, self.n + len(got))
         self.first[mine] = self.used + np.cumsum(lengths) - lengths
         self.count[mine] = lengths
+        self.size[mine] = np.fromiter(map(len, words), np.int64, len(words))
+        self.head[mine] = self.stored + np.cumsum(self.size[mine]) - self.size[mine]
+        self.bytes[self.stored:self.stored + len(raw)] = raw
         if self.flag:
             self.flags[mine] = [self.flag(w) for w in words]
-        self.insert(h, np.arange(self.n, self.n + len(got), dtype=np.int32))
         self.n += len(got)
         self.used += total
+        self.stored += len(raw)
 
     def numbers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Number of each piece; holds until the next call.  At most ``FULL`` pieces."""
@@ -170,13 +197,26 @@ class Table:
                 self.clear()
                 new = np.arange(len(h))
                 fresh, index = np.unique(h, return_index=True)
-            at = new[index]
-            raw = data.tobytes()
-            words = [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())]
-            self.learn([w.lower() for w in words] if self.lower else words, fresh)
+            words = self.words(data, start, end, new[index])
+            first = self.n
+            self.learn(words)
+            self.insert(fresh, np.arange(first, self.n, dtype=np.int32))
             got = self.find(h)
+        unlike = self.differing(got, data, start, end)
+        if len(unlike):  # the table holds one piece per hash, ``twins`` the others
+            words = self.words(data, start, end, unlike)
+            more = [w for w in dict.fromkeys(words) if w not in self.twins]
+            self.twins.update(zip(more, range(self.n, self.n + len(more))))
+            if more:
+                self.learn(more)
+            got[unlike] = [self.twins[w] for w in words]
         return got
 
+    def words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray) -> list[bytes]:
+        raw = data.tobytes()
+        words = [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())]
+        return [w.lower() for w in words] if self.lower else words
+
     def runs(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Token ids of the pieces in a row, where each piece ends among them, and the pieces' flags.
 
