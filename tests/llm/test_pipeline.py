@@ -25,10 +25,9 @@ def test_pipeline_on_the_small_table(spark, sf):
     grammar = toxicity.Grammar(model.lexicon)
     for i, r in seen["language"].items():
         assert (i in seen["toxicity"]) == (model.score(grammar, [r["text"]])[0] < 0.5)
-    from test_operators import brute_components, brute_fp
+    from test_resemblance import brute_groups
     ids = sorted(seen["toxicity"])
-    fps = [brute_fp(seen["toxicity"][i]["text"]) for i in ids]
-    root = brute_components(fps, lambda a, b: (a ^ b).bit_count() <= 2)
+    root = brute_groups([seen["toxicity"][i]["text"] for i in ids])
     assert set(seen["simhash"]) == {ids[k] for k in set(root)}
     assert set(seen["secrets"]) == set(seen["simhash"])
     for i, r in seen["secrets"].items():

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -33,6 +34,18 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(batches: Iterator[pa.RecordBatch], name: str | int = "text", size: int = 4_000_000, rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``size`` bytes of a text column, or one longer row: only a slice becomes Python objects."""
+    for b in batches:
+        column = b.column(name).cast(pa.large_string())
+        ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, min(at + rows, int(np.searchsorted(ends, ends[at] + size, "right")) - 1))
+            yield b.slice(at, to - at)
+            at = to
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """A text column of an Arrow batch, null as the empty text."""
     return [t if t is not None else "" for t in batch.column(name).to_pylist()]
@@ -60,7 +73,7 @@ def filter_rows(df: DataFrame, text_col: str, keep: Callable[[list[str | None]],
     at = df.columns.index(text_col)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, at):
             yield batch.filter(pa.array(keep(batch.column(at).to_pylist()), pa.bool_()))
     return map_rows(df, task)
 

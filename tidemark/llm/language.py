@@ -20,7 +20,9 @@ from tidemark.llm import common as c
 
 WIDTH = 1024
 SCALE = 1 << 20
-SLICE = 4_000_000
+#: Characters of one step, and n-grams of one product.
+SLICE = 500_000
+BLOCK = 2048
 GROUP = 1_000
 
 
@@ -33,101 +35,133 @@ def letter_table() -> np.ndarray:
 class Encoder:
     """Bundles of texts.  Letter and n-gram vectors follow from the seed alone, so all tasks agree."""
 
-    DENSE = 192  # letters up to which n-grams are numbered through a table
+    DENSE = 192     # letters up to which n-grams are numbered through a table
+    LETTERS = 4096  # letters at which all are forgotten
+    GRAMS = 16_384  # n-gram vectors held at once
 
     def __init__(self, width: int = WIDTH, seed: int = 11):
         self.width, self.seed = width, seed
-        self.symbol = np.where(letter_table(), -1, 0).astype(np.int32)  # 0: any run of other characters
-        self.letters = [self.draw(0x20)]
-        self.reset()
+        self.forget()
 
     def draw(self, code_point: int) -> np.ndarray:
         bits = np.random.Generator(np.random.Philox(key=[self.seed, code_point])).integers(0, 2, self.width)
         return (bits * 2 - 1).astype(np.int8)
 
-    def reset(self) -> None:
+    def forget(self) -> None:
+        self.symbol = np.where(letter_table(), -1, 0).astype(np.int32)  # 0: any run of other characters
+        self.letters = [self.draw(0x20)]
         self.slot = np.full(self.DENSE ** 3, -1, np.int32)
-        self.rows: dict[int, int] = {}
-        self.grams = np.zeros((256, self.width), np.float32)
+        self.reset()
 
-    def number(self, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
-        """Row of each n-gram's vector; new n-grams are bound on first sight."""
-        dense = len(self.letters) <= self.DENSE
-        code = (a.astype(np.int64) * self.DENSE + b) * self.DENSE + d if dense else (a.astype(np.int64) << 42) | (b.astype(np.int64) << 21) | d
+    def reset(self) -> None:
+        self.slot.fill(-1)
+        self.rows: dict[int, int] = {}
+        self.grams = np.zeros((1024, self.width), np.int8)
+
+    def bind(self, fresh: list[tuple[int, int, int]]) -> None:
+        """Vectors of n-grams not held yet; there is room for them."""
+        while len(self.rows) + len(fresh) > len(self.grams):
+            self.grams = np.resize(self.grams, (2 * len(self.grams), self.width))
+        for i, j, k in fresh:
+            r = self.rows[i << 42 | j << 21 | k] = len(self.rows)
+            self.grams[r] = np.roll(self.letters[i], 2) * np.roll(self.letters[j], 1) * self.letters[k]
+
+    def numbers(self, codes: np.ndarray, dense: bool) -> np.ndarray:
+        """Rows of distinct n-grams, at most ``GRAMS``; holds until the next call."""
         if dense:
-            row = self.slot[code]
-            if not (row < 0).any():
-                return row
-            fresh, inverse = np.unique(code[row < 0]), None
+            split = lambda x: (x // self.DENSE ** 2, x // self.DENSE % self.DENSE, x % self.DENSE)
         else:
-            fresh, inverse = np.unique(code, return_inverse=True)
-        at = np.empty(len(fresh), np.int32)
-        for k, x in enumerate(fresh.tolist()):
-            if dense:
-                i, j, l = x // self.DENSE ** 2, x // self.DENSE % self.DENSE, x % self.DENSE
-            else:
-                i, j, l = x >> 42, (x >> 21) & 0x1FFFFF, x & 0x1FFFFF
-            key = (i << 42) | (j << 21) | l
-            r = self.rows.get(key)
-            if r is None:
-                r = self.rows[key] = len(self.rows)
-                if r >= len(self.grams):
-                    self.grams = np.concatenate([self.grams, np.zeros_like(self.grams)])
-                self.grams[r] = np.roll(self.letters[i], 2) * np.roll(self.letters[j], 1) * self.letters[l]
-            at[k] = r
-        if dense:
-            self.slot[fresh] = at
-            return self.slot[code]
-        return at[inverse]
-
-    def bundle(self, texts: list[str]) -> np.ndarray:
-        """(texts x width) sums; a text without letters is all zero."""
-        if len(self.rows) > 40_000:
+            split = lambda x: (x >> 42, x >> 21 & 0x1FFFFF, x & 0x1FFFFF)
+        for again in (False, True):
+            grams = [split(x) for x in codes[self.slot[codes] < 0].tolist()] if dense else [split(x) for x in codes.tolist()]
+            fresh = [g for g in grams if g[0] << 42 | g[1] << 21 | g[2] not in self.rows]
+            if again or len(self.rows) + len(fresh) <= self.GRAMS:
+                break
             self.reset()
+        self.bind(fresh)
+        at = [self.rows[i << 42 | j << 21 | k] for i, j, k in grams]
+        if not dense:
+            return np.array(at, np.int64)
+        self.slot[codes[self.slot[codes] < 0]] = at
+        return self.slot[codes]
+
+    def symbols(self, texts: list[str]) -> np.ndarray:
         codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "replace"), np.uint32)
-        ends = np.cumsum([len(t) + 1 for t in texts])
         sym = self.symbol[codes]
-        if (sym < 0).any():
-            for cp in np.unique(codes[sym < 0]).tolist():
-                self.symbol[cp] = len(self.letters)
-                self.letters.append(self.draw(cp))
-            sym = self.symbol[codes]
+        new = np.unique(codes[sym < 0]).tolist()
+        if len(new) and len(self.letters) + len(new) > self.LETTERS:
+            self.forget()
+            new = np.unique(codes[self.symbol[codes] < 0]).tolist()
+        for cp in new:
+            self.symbol[cp] = len(self.letters)
+            self.letters.append(self.draw(cp))
+        return self.symbol[codes] if new else sym
+
+    def bundle(self, texts: list[str], inner: list[tuple[int, int]] | None = None) -> np.ndarray:
+        """(texts x width) sums; a text without letters is all zero.
+
+        Of a slice of a longer text only the letters in its ``inner`` range
+        give n-grams; what lies around them are their neighbours.
+        """
+        out = np.zeros((len(texts), self.width), np.float32)
+        sym = self.symbols(texts)
+        first = np.cumsum([0] + [len(t) + 1 for t in texts])[:-1]
+        from_, to = (np.array(x) for x in zip(*(inner or [(0, len(t)) for t in texts])))
         keep = np.empty(len(sym), bool)
         keep[:1] = sym[:1] > 0
         keep[1:] = (sym[1:] > 0) | (sym[:-1] > 0)
         where = np.flatnonzero(keep)
         s = np.concatenate([[0], sym[keep], [0]]).astype(np.int32)
-        doc = np.searchsorted(ends, where, "right")
-        a, b, d = s[:-2], s[1:-1], s[2:]
+        doc = np.searchsorted(first, where, "right") - 1
         # n-grams are centred on a kept letter, so every word gives one per letter
-        centre = b > 0
-        row = self.number(a[centre], b[centre], d[centre])
-        n = len(self.rows)
-        counts = np.bincount(doc[centre].astype(np.int64) * n + row, minlength=len(texts) * n) if n else np.zeros(0)
-        return counts.reshape(len(texts), n).astype(np.float32) @ self.grams[:n]
+        centre = (s[1:-1] > 0) & (where >= (first + from_)[doc]) & (where < (first + to)[doc])
+        a, b, d, doc = s[:-2][centre].astype(np.int64), s[1:-1][centre], s[2:][centre], doc[centre]
+        if not len(doc):
+            return out
+        dense = len(self.letters) <= self.DENSE
+        if dense:
+            code = (a * self.DENSE + b) * self.DENSE + d
+            seen = np.zeros(self.DENSE ** 3, bool)
+            seen[code] = True
+            distinct = np.flatnonzero(seen)
+            place = np.zeros(self.DENSE ** 3, np.int32)
+            place[distinct] = np.arange(len(distinct))
+            at = place[code]
+        else:
+            distinct, at = np.unique(a << 42 | b.astype(np.int64) << 21 | d, return_inverse=True)
+        for k in range(0, len(distinct), BLOCK):
+            here = (at >= k) & (at < k + BLOCK) if len(distinct) > BLOCK else slice(None)
+            row = self.numbers(distinct[k:k + BLOCK], dense)
+            n = len(row)
+            counts = np.bincount(doc[here] * n + (at[here] - k), minlength=len(texts) * n).reshape(len(texts), n)
+            out += counts.astype(np.float32) @ self.grams[row].astype(np.float32)
+        return out
 
     def bundles(self, texts: list[str | None]) -> np.ndarray:
-        """Groups of texts of bounded size; a very long text in slices that are added up."""
+        """Groups of texts of bounded size; a very long text in slices with a letter of context, which are added up."""
         out = np.zeros((len(texts), self.width), np.float64)
         group: list[int] = []
         parts: list[str] = []
+        inner: list[tuple[int, int]] = []
         size = 0
 
         def flush() -> None:
             nonlocal size
             if parts:
-                np.add.at(out, group, self.bundle(parts))
-            group.clear()
-            parts.clear()
+                np.add.at(out, group, self.bundle(parts, inner))
+            for x in (group, parts, inner):
+                x.clear()
             size = 0
         for i, t in enumerate(texts):
             t = (t or "").lower()
             for k in range(0, len(t), SLICE):
-                part = t[k:k + SLICE]
+                low = max(0, k - 1)
+                part = t[low:k + SLICE + 1]
                 group.append(i)
                 parts.append(part)
+                inner.append((k - low, min(len(t), k + SLICE) - low))
                 size += len(part)
-                if size > 1_000_000 or len(parts) >= 256:
+                if size > SLICE or len(parts) >= 128:
                     flush()
         flush()
         return out
@@ -169,8 +203,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         per_language: int = 2_000, width: int = WIDTH, seed: int = 11) -> Model:
     """Prototypes from about ``per_language`` labelled texts of each language (the rows first by a hash of the id), 50,000 in all.
 
-    Rows without a language or id are not learned from.  The driver gets
-    ``width`` numbers per language.
+    Rows without a language or id are not learned from; null texts and texts
+    without letters add nothing.  The driver gets ``width`` numbers per language.
     """
     src = c.only(docs, id=id_col, text=text_col, lang=lang_col)
     chosen = c.label_sample(src.filter(F.col("lang").isNotNull() & F.col("id").isNotNull()).select("id", "lang"), per_language, "lang")
@@ -178,9 +212,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for b in batches:
-            for k in range(0, b.num_rows, GROUP):
-                add(total, b.slice(k, GROUP))
+        for b in c.small(batches):
+            add(total, b)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([x.tolist() for x in total.values()], pa.list_(pa.int64()))], ["lang", "v"])
 
     def add(total: dict[str, np.ndarray], b: pa.RecordBatch) -> None:
@@ -209,7 +242,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     src = c.only(docs, id=id_col, text=text_col)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in c.small(batches):
             lang, score = model.predict(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["id", "lang_pred", "score"])
     return src.mapInArrow(task, c.struct(("id", c.column_type(src, "id")), ("lang_pred", c.STRING), ("score", c.DOUBLE)))
