@@ -165,7 +165,11 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of near copies, all columns unchanged."""
+    """One row of each group of near copies, all columns unchanged.
+
+    ``df`` has to give the same rows in the same partitions at each reading:
+    write the result of a shuffle first (``common.written``).
+    """
     row = "_row"
     while row in df.columns:
         row += "_"
