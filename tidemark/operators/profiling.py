@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .evaluation import group_quantiles
 from .ranking import with_row
-from .selection import top_per_key
 
 
 def null_counts(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -81,37 +78,3 @@ def pca_project(df: DataFrame, key: list[str], column: str, k: int = 2) -> DataF
     centred = centred.select(*key, array_to_vector(F.zip_with(vector_to_array("_v"), "_m", lambda a, b: a - b)).alias("_v"))
     out = model.transform(centred).select(*key, vector_to_array("_p").alias("_p"))
     return out.select(*key, *[F.get("_p", F.lit(i)).alias(f"pc{i + 1}") for i in range(k)])
-
-
-def knn_regress(queries: DataFrame, points: DataFrame, key: str, vector: str, target: str, k: int, block: int = 4096, reach: int = 65_536) -> DataFrame:
-    """Mean target of the k nearest other points, exact.
-
-    Queries and points are dealt into blocks of about ``block`` and ``reach``
-    rows by a hash of the key; each pair of blocks is one task, which returns
-    only its k best per query.
-    """
-    src = queries.select(F.col(key).alias("_q"), F.col(vector).cast("array<double>").alias("_x"))
-    pts = points.select(F.col(key).alias("_p"), F.col(vector).cast("array<double>").alias("_v"), F.col(target).cast("double").alias("_t"))
-    nq, np_ = (-(-max(1, d.count()) // size) for d, size in ((src, block), (pts, reach)))
-    home = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    a = src.withColumn("_i", home("_q", nq)).withColumn("_j", every(np_))
-    b = pts.withColumn("_j", home("_p", np_)).withColumn("_i", every(nq))
-    near = a.groupBy("_i", "_j").cogroup(b.groupBy("_i", "_j")).applyInPandas(_local_best(k), "_q bigint, _p bigint, _t double, _d double")
-    best = top_per_key(near, ["_q"], ["_d", "_p"], k)
-    return best.groupBy(F.col("_q").alias(key)).agg(F.avg("_t").alias("prediction"), F.max("_d").alias("radius"))
-
-
-def _local_best(k: int):
-    def scan(qs: pd.DataFrame, ps: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(qs) and len(ps):
-            p, t, v = ps["_p"].to_numpy(), ps["_t"].to_numpy(float), np.stack(ps["_v"].to_numpy())
-            for q, x in zip(qs["_q"], qs["_x"]):
-                d = ((v - x) ** 2).sum(axis=1)
-                d[p == q] = np.inf
-                take = np.lexsort((p, d))[:k]
-                take = take[np.isfinite(d[take])]
-                out.append(pd.DataFrame({"_q": q, "_p": p[take], "_t": t[take], "_d": d[take]}))
-        return pd.concat(out) if out else pd.DataFrame({"_q": [], "_p": [], "_t": [], "_d": []})
-    return scan

@@ -9,7 +9,7 @@ from ..operators import lifecycle as lc
 from ..operators import postings as po
 from ..sources import views
 from ..sources.tables import table
-from ..streaming import jobs
+from ..streaming import discovery, jobs
 from .cte import APP_LOG, POSTINGS, STATUS_EVENTS, with_
 from .q_joins import applied_log
 from .q_postings import APPLIED, KEY, NEAR, PREFS, RULES, TITLE, now
@@ -30,9 +30,8 @@ def _(spark, sf):
     return lc.health_state(lc.health_delta(outcomes(table(spark, sf, "events")), "user_id", "ok", ["ts", "event_id"]), None, "user_id")
 
 
-def landed(spark, df, order: str, parts: int, name: str):
-    """The table as files that land one after another, in order of a column."""
-    folder = scratch(spark, name)
+def landings(spark, df, order: str, parts: int, folder: str):
+    """Writes a table's parts into a folder one after another, in order of a column; yields after each."""
     cuts = df.select(F.expr(f"percentile_approx({order}, array({', '.join(str((i + 1) / parts) for i in range(parts - 1))}))")).first()[0]
     edges = [None, *cuts, None]
     for lo, hi in zip(edges, edges[1:]):
@@ -42,6 +41,14 @@ def landed(spark, df, order: str, parts: int, name: str):
         if hi is not None:
             part = part.filter(F.col(order) <= F.lit(hi))
         part.write.mode("append").parquet(folder)
+        yield folder
+
+
+def landed(spark, df, order: str, parts: int, name: str):
+    """The table as files that have landed in order of a column."""
+    folder = scratch(spark, name)
+    for _ in landings(spark, df, order, parts, folder):
+        pass
     return folder
 
 
@@ -98,9 +105,10 @@ def _(spark, sf):
 @query("stream_ingest", INGEST_SQL)
 def _(spark, sf):
     p = views.postings(spark, sf)
-    folder, store = landed(spark, p, "id", 2, "ingest-in"), scratch(spark, "ingest-store")
-    jobs.ingest_stream(jobs.file_stream(spark, folder, p.schema), applied_log(spark, sf), PREFS, now(), store, scratch(spark, "ingest-ckpt"))
-    return jobs.canonical(spark.read.parquet(store)).select("id", F.array_join("sources", ",").alias("sources"))
+    store, checkpoint = scratch(spark, "ingest-store"), scratch(spark, "ingest-ckpt")
+    for folder in landings(spark, p, "first_seen_at", 2, scratch(spark, "ingest-in")):
+        jobs.ingest_stream(jobs.file_stream(spark, folder, p.schema), applied_log(spark, sf), PREFS, now(), store, checkpoint)
+    return discovery.canonical(spark, store).select("id", F.array_join("sources", ",").alias("sources"))
 
 
 @query("stream_daily", """WITH w AS (SELECT MAX(ts) - INTERVAL 10 MINUTE AS wm FROM events), d AS (SELECT CAST(ts AS DATE) AS day, COUNT(*) AS n FROM events GROUP BY 1),

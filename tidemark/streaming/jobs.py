@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..operators import lifecycle as lc
 from ..operators import postings as po
 from ..operators.joins import applied_flag
+from . import discovery
 
 
 def file_stream(spark: SparkSession, folder: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -64,22 +65,12 @@ def append_to(stream: DataFrame, folder: str, checkpoint: str) -> None:
 
 
 def ingest_stream(stream: DataFrame, applied: DataFrame, prefs: po.Preferences, now: Column, store: str, checkpoint: str) -> None:
-    """Continuous discovery: gate, drop applied, append what is kept.
+    """Continuous discovery: gate, drop applied, file what is kept under its duplicates.
 
-    A batch writes only its own folder, so a retry replaces it.  Duplicates
-    are settled by ``canonical`` over the distinct keys of the store.
+    A batch reads the index entries of its own keys and writes only its own
+    folders, so a retry replaces them.  ``discovery.canonical`` gives the result.
     """
     def each(batch: DataFrame, n: int) -> None:
         g = applied_flag(po.gated(batch, prefs, now), applied, "id")
-        kept = g.filter(F.col("reason").isNull() & ~F.col("applied"))
-        kept.select("id", "source", "title", "company", "location", "apply_url", "first_seen_at", "match_score", "location_bucket").write.mode("overwrite").parquet(f"{store}/batch={n}")
+        discovery.add_batch(batch.sparkSession, g.filter(F.col("reason").isNull() & ~F.col("applied")), store, n)
     run_available(stream, checkpoint, each)
-
-
-def canonical(store: DataFrame) -> DataFrame:
-    """Kept postings of a store: one row per duplicate group with its sources."""
-    first = store.groupBy("apply_url").agg(F.min(F.struct("first_seen_at", "id")).alias("_f"))
-    rows = store.join(first, "apply_url").withColumn("_u", F.col("_f.id")).drop("_f")
-    roots = po.dedup_fuzzy(rows.filter(F.col("id") == F.col("_u"))).select(F.col("id").alias("_u"), "duplicate_of")
-    members = rows.join(roots, "_u").drop("_u")
-    return members.filter(F.col("id") == F.col("duplicate_of")).join(po.merge_sources(members, "duplicate_of"), "duplicate_of")
