@@ -55,9 +55,10 @@ def landed(spark, df, order: str, parts: int, name: str):
 @query("stream_source_health", HEALTH)
 def _(spark, sf):
     e = outcomes(table(spark, sf, "events"))
-    folder, state = landed(spark, e, "event_id", 3, "health-in"), scratch(spark, "health-state")
-    jobs.source_health(jobs.file_stream(spark, folder, e.schema), "user_id", "ok", ["ts", "event_id"], state, scratch(spark, "health-ckpt"))
-    return jobs.latest(spark, state)
+    state, checkpoint = scratch(spark, "health-state"), scratch(spark, "health-ckpt")
+    for folder in landings(spark, e, "event_id", 3, scratch(spark, "health-in")):
+        jobs.source_health(jobs.file_stream(spark, folder, e.schema), "user_id", "ok", ["ts", "event_id"], state, checkpoint)
+    return jobs.health_store(spark, state, "user_id", e.schema["user_id"].dataType.simpleString()).newest("health")
 
 
 MOVES = "tr AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, to in TRANSITIONS.items() for b in to) + ") v(a, b))"

@@ -17,7 +17,7 @@ overwrites its own rows and changes nothing else; no posting's text is read agai
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -49,28 +49,41 @@ class Store:
     folder: str
     batch: int
     parts: int = 32
+    tables: dict[str, str] = field(default_factory=lambda: TABLES)
+    looked_up_by: dict[str, str] = field(default_factory=lambda: LOOKED_UP_BY)
 
     def part(self, c: Column) -> Column:
         return F.pmod(F.xxhash64(c), F.lit(self.parts)).cast("int")
 
     def write(self, name: str, df: DataFrame) -> None:
-        by = LOOKED_UP_BY.get(name)
+        by = self.looked_up_by.get(name)
         out = (df.withColumn("part", self.part(F.col(by))).repartition("part").write.partitionBy("part") if by else df.write)
         out.mode("overwrite").parquet(f"{self.folder}/{name}/batch={self.batch}")
 
     def read(self, name: str) -> DataFrame:
-        by = LOOKED_UP_BY.get(name)
-        schema = TABLES[name] + ", batch int" + (", part int" if by else "")
+        by = self.looked_up_by.get(name)
+        schema = self.tables[name] + ", batch int" + (", part int" if by else "")
         if not self.batch:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}").filter(F.col("batch") < self.batch)
 
     def lookup(self, name: str, wanted: DataFrame) -> DataFrame:
         """Rows of the keys of ``wanted``: only the partitions they fall into are listed and read."""
-        by = LOOKED_UP_BY[name]
+        by = self.looked_up_by[name]
+        return self.touched(name, wanted).drop("part", "batch")
+
+    def touched(self, name: str, wanted: DataFrame) -> DataFrame:
+        by = self.looked_up_by[name]
         keys = wanted.select(by).distinct()
-        touched = [r[0] for r in keys.select(self.part(F.col(by))).distinct().collect()]  # at most ``parts`` numbers
-        return self.read(name).filter(F.col("part").isin(touched)).drop("part", "batch").join(keys, by, "left_semi")
+        parts = [r[0] for r in keys.select(self.part(F.col(by))).distinct().collect()]  # at most ``parts`` numbers
+        return self.read(name).filter(F.col("part").isin(parts)).join(keys, by, "left_semi")
+
+    def newest(self, name: str, wanted: DataFrame | None = None) -> DataFrame:
+        """Of a table whose rows replace earlier ones, the last row of each key, or of the keys of ``wanted``."""
+        by = self.looked_up_by[name]
+        rows = self.read(name) if wanted is None else self.touched(name, wanted)
+        values = [c for c in rows.columns if c not in (by, "batch", "part")]
+        return rows.groupBy(by).agg(F.max_by(F.struct(*values), "batch").alias("_v")).select(by, "_v.*")
 
     def resolve(self, labels: DataFrame) -> DataFrame:
         """(label, root): the root that each label belongs to now; a step per batch that moved it."""

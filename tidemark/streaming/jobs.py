@@ -1,8 +1,9 @@
 """Incremental forms of the ingest, health and dashboard jobs.
 
-State that adds up is kept as a versioned table: micro-batch ``n`` reads
-version ``n - 1`` and overwrites version ``n``, so a retried batch gives the
-same result and a lost executor costs one task.
+State is kept in keyed tables (``discovery.Store``): micro-batch ``n`` reads the
+rows of its own keys from the batches before it and overwrites folder ``n`` with
+the rows it changed, so a retried batch gives the same result and a lost
+executor costs one task.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..operators import lifecycle as lc
 from ..operators import postings as po
 from ..operators.joins import applied_flag
+from ..session import cut_lineage
 from . import discovery
 
 
@@ -29,26 +31,24 @@ def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame,
     q.awaitTermination()
 
 
-def versioned(state: str, merge: Callable[[DataFrame, DataFrame | None], DataFrame]) -> Callable[[DataFrame, int], None]:
-    def each(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        previous = spark.read.parquet(f"{state}/v={n - 1}") if n > 0 else None
-        merge(batch, previous).write.mode("overwrite").parquet(f"{state}/v={n}")
-    return each
+def health_store(spark: SparkSession, folder: str, source: str, kind: str, batch: int = (1 << 31) - 1) -> discovery.Store:
+    return discovery.Store(spark, folder, batch, tables={"health": f"{source} {kind}, retry_count bigint, status string"}, looked_up_by={"health": source})
 
 
-def latest(spark: SparkSession, state: str) -> DataFrame:
-    """The newest version of a state table."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(state)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    n = max(int(f.getPath().getName()[2:]) for f in fs.listStatus(path) if f.getPath().getName().startswith("v="))
-    return spark.read.parquet(f"{state}/v={n}")
+def source_health(stream: DataFrame, source: str, ok: str, order: list[str], state: str, checkpoint: str) -> None:
+    """Consecutive failures per source.
 
+    A batch is summed per source before it meets the state, so a busy source
+    costs one row; it reads the state of its own sources and writes only
+    theirs.  ``health_store(...).newest("health")`` is the state after all batches.
+    """
+    kind = stream.schema[source].dataType.simpleString()
 
-def source_health(stream: DataFrame, source: str, ok: str, order: list[str], state: str, checkpoint: str) -> None:
-    """Consecutive failures per source; each batch is summed before it meets
-    the state, so a busy source costs one row."""
-    run_available(stream, checkpoint, versioned(state, lambda batch, prev: lc.health_state(lc.health_delta(batch, source, ok, order), prev, source)))
+    def each(batch: DataFrame, n: int) -> None:
+        store = health_store(batch.sparkSession, state, source, kind, n)
+        delta = cut_lineage(lc.health_delta(batch, source, ok, order))
+        store.write("health", lc.health_state(delta, store.newest("health", delta), source).select(source, F.col("retry_count").cast("bigint"), "status"))
+    run_available(stream, checkpoint, each)
 
 
 def windowed_counts(stream: DataFrame, ts: str, delay: str = "10 minutes") -> tuple[DataFrame, DataFrame]:
