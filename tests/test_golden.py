@@ -185,6 +185,23 @@ def test_status_machine_folds_across_partitions(spark):
     assert got == want
 
 
+def test_status_machine_folds_over_levels_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(lc, "BLOCK", 4)
+    rng = random.Random(6)
+    known = [*lc.STATES, "no such status", None]
+    rows = [(i, rng.choice(["hot", "hot", "hot", None, *"abc"]), rng.choice(known), "clash") for i in range(700)]
+    want, state = {}, {}
+    for i, k, s, _ in rows:
+        now = state.get(k, "new")
+        ok = (now, s) in lc.LEGAL
+        want[i], state[k] = (k, s, now, ok), s if ok else now
+    df = spark.createDataFrame(rows, "event_id int, id string, to_status string, _table string").repartition(3)
+    got = lc.status_machine(df, "id", ["event_id"])
+    assert got.columns == ["id", "event_id", "to_status", "from_status", "legal"]
+    assert {r["event_id"]: (r["id"], r["to_status"], r["from_status"], r["legal"]) for r in got.collect()} == want
+    assert lc.status_machine(df.filter("event_id < 0"), "id", ["event_id"]).count() == 0
+
+
 def test_health_third_failure_is_permanent(spark):
     df = spark.createDataFrame([("a", i, o) for i, o in enumerate([True, False, False, False])] + [("b", 9, False), ("c", 10, True)], "s string, n int, ok boolean")
     got = {r["s"]: (r["retry_count"], r["status"]) for r in lc.health_state(lc.health_delta(df, "s", "ok", ["n"]), None, "s").collect()}

@@ -7,11 +7,11 @@ pieces and never in one task.
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fixed import TRANSITIONS
-from .ranking import _numbered, with_previous
+from ..session import cut_lineage
+from .ranking import _before, _numbered, with_previous
 
 STATES = tuple(TRANSITIONS)
 INDEX = {s: i for i, s in enumerate(STATES)}
@@ -47,57 +47,92 @@ def run_machine(state: int, to: str) -> int:
     return INDEX[to] if (STATES[state], to) in LEGAL else state
 
 
+# --- a run of events as one number: three bits of leaving state per entering state
+
+ONES = sum(1 << 3 * s for s in range(len(STATES)))
+SAME = sum(s << 3 * s for s in range(len(STATES)))
+#: Adjacent rows of one block, and blocks in one block of the level above.
+BLOCK = 256
+
+
+def by_status(to: str, values: dict[str, int], other: int) -> Column:
+    pairs = ", ".join(f"'{s}', {v}L" for s, v in values.items())
+    return F.coalesce(F.try_element_at(F.expr(f"map({pairs})"), F.col(to)), F.lit(other).cast("long"))
+
+
+def leaving(table: str, state: str | int) -> str:
+    """State in which a table leaves what enters it in ``state``, as SQL."""
+    return f"(shiftright({table}, CAST(3 * {state} AS INT)) & 7L)"
+
+
+def composed(first: str, then: str) -> str:
+    """The table of two runs, one after the other, as SQL."""
+    return "(" + " + ".join(f"shiftleft({leaving(then, f'(shiftright({first}, {3 * s}) & 7L)')}, {3 * s})" for s in range(len(STATES))) + ")"
+
+
+def prefixes(df: DataFrame, rows: int) -> DataFrame:
+    """(_at, _table) with positions 0, 1, ...: the table of all rows up to each one."""
+    block = F.floor(F.col("_at") / BLOCK).alias("_over")
+    lists = df.groupBy(block).agg(F.sort_array(F.collect_list(F.struct("_at", "_table"))).alias("_list"))
+    table = composed("run.t", "row._table")
+    out = f"""aggregate(_list, named_struct('t', {SAME}L, 'out', CAST(array() AS array<bigint>)),
+                        (run, row) -> named_struct('t', {table}, 'out', concat(run.out, array({table})))).out"""
+    f = lists.select("_over", F.inline(F.arrays_zip(F.col("_list._at").alias("_at"), F.expr(out).alias("_table"))))
+    if rows <= BLOCK:
+        return f.select("_at", "_table")
+    f = cut_lineage(f)
+    ends = f.groupBy(F.col("_over").alias("_at")).agg(F.max_by("_table", "_at").alias("_table"))
+    entered = prefixes(ends, -(-rows // BLOCK)).select((F.col("_at") + 1).alias("_over"), F.col("_table").alias("_enter"))
+    return f.join(entered, "_over", "left").select("_at", F.coalesce(F.expr(composed("_enter", "_table")), "_table").alias("_table"))
+
+
 def status_machine(events: DataFrame, key: str, order: list[str], to: str = "to_status", start: str = "new") -> DataFrame:
     """Every event with the state before it and whether it was legal.
 
-    Later legality depends on earlier acceptance, so this is a fold.  Rows are
-    sorted once over the whole cluster; each sorted partition is a table that
-    maps any entering state to a leaving state.  Only the id that crosses a
-    partition border needs the tables of the partitions before it: one row per
-    partition.
+    Later legality depends on earlier acceptance, so this is a fold.  An event
+    is a table that maps any entering state to a leaving one, packed into a
+    long, and tables compose, so the fold is a prefix scan: rows are sorted
+    once over the whole cluster, cut into blocks of ``BLOCK`` adjacent rows and
+    folded there; blocks are folded in the same way, level by level.  An id
+    with most of the rows is spread over blocks like any other.  A status that
+    is null or unknown is illegal and changes nothing; an empty table gives an
+    empty one.  ``order`` must end in a unique column.
     """
-    kind = events.schema[key].dataType.simpleString()
     cols = [key, *[c for c in order if c != key], to]
+    first = INDEX[start]
+    moves = {s: sum(run_machine(x, s) << 3 * x for x in range(len(STATES))) for s in STATES}
+    masks = {s: sum(1 << x for x in range(len(STATES)) if (STATES[x], s) in LEGAL) for s in STATES}
     s = _numbered(events.select(*cols), [key, *order])
-
-    def fold(batches):
-        run, part, whole, table = None, None, True, list(range(len(STATES)))
-        for pdf in batches:
-            for k, t, p in zip(pdf[key], pdf[to], pdf["_part"]):
-                part = p
-                if run is not None and k != run:
-                    whole, table = False, list(range(len(STATES)))
-                run = k
-                table = [run_machine(x, t) for x in table]
-        if run is not None:
-            yield pd.DataFrame({"part": [part], "last_key": [run], "whole": [whole], "table": [table]})
-
-    edges = s.mapInPandas(fold, f"part bigint, last_key {kind}, whole boolean, table array<int>")
-    entering, state, last = {}, {}, None
-    for row in sorted(edges.collect(), key=lambda r: r["part"]):  # one row per sort partition
-        if last is not None:
-            entering[row["part"]] = (last, state[last])
-        base = state[last] if (row["whole"] and last == row["last_key"]) else INDEX[start]
-        state = {row["last_key"]: row["table"][base]}
-        last = row["last_key"]
-
-    def apply(batches):
-        run, now = None, INDEX[start]
-        for pdf in batches:
-            before, legal = [], []
-            for k, t, p in zip(pdf[key], pdf[to], pdf["_part"]):
-                if k != run:
-                    held = entering.get(p) if run is None else None
-                    run, now = k, held[1] if held and held[0] == k else INDEX[start]
-                before.append(STATES[now])
-                ok = (STATES[now], t) in LEGAL
-                legal.append(ok)
-                if ok:
-                    now = INDEX[t]
-            yield pdf[cols].assign(from_status=before, legal=legal)
-
-    fields = ", ".join(f"{c} {s.schema[c].dataType.simpleString()}" for c in cols)
-    return s.mapInPandas(apply, f"{fields}, from_status string, legal boolean")
+    row = F.struct("_row", F.struct(*cols).alias("_event"), by_status(to, moves, SAME).alias("_own"), by_status(to, masks, 0).alias("_mask"))
+    here = ["_part", F.floor(F.col("_row") / BLOCK).alias("_block")]
+    s = s.groupBy(*here).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+
+    # a new id inside a block starts afresh, whatever enters the block
+    k = "`" + key.replace("`", "``") + "`"
+    anew = f"NOT (run.k <=> e._event.{k})"
+    head = f"get(_rows, 0)._event.{k}"
+    whole = f"""aggregate(_rows, named_struct('k', {head}, 't', {SAME}L), (run, e) -> named_struct('k', e._event.{k},
+                 't', IF({anew}, {leaving("e._own", first)} * {ONES}L, {composed("run.t", "e._own")})))"""
+    s = cut_lineage(s.select("*", F.expr(f"named_struct('k', {head})").alias("_first"), F.expr(whole).alias("_run")))
+
+    blocks = s.select("_part", "_block", "_first", F.struct("_run.k").alias("_last"), F.col("_run.t").alias("_table"))
+    offsets = _before(blocks.groupBy("_part").agg(F.count("*").alias("_n")), "_n", "_off")
+    blocks = blocks.join(offsets, "_part").withColumn("_at", F.col("_off") + F.col("_block"))
+    earlier = blocks.select((F.col("_at") + 1).alias("_at"), F.col("_last").alias("_gone"))
+    fresh = F.col("_gone").isNull() | ~F.col("_gone").eqNullSafe(F.col("_first"))
+    blocks = cut_lineage(blocks.join(earlier, "_at", "left").select("_at", "_part", "_block", "_table", fresh.alias("_fresh")))
+    tables = blocks.select("_at", F.expr(f"IF(_fresh, {leaving('_table', first)} * {ONES}L, _table)").alias("_table"))
+    # every prefix begins afresh, so its table leaves all states alike
+    after = prefixes(tables, blocks.count()).select((F.col("_at") + 1).alias("_at"), F.col("_table").bitwiseAND(F.lit(7)).alias("_left"))
+    entering = blocks.join(after, "_at", "left").select("_part", "_block", F.when(F.col("_fresh"), F.lit(first)).otherwise(F.col("_left")).cast("long").alias("_enter"))
+
+    now = f"IF({anew}, {first}L, run.s)"
+    states = F.expr(f"""aggregate(_rows, named_struct('k', _first.k, 's', _enter, 'out', CAST(array() AS array<bigint>)),
+                        (run, e) -> named_struct('k', e._event.{k}, 's', {leaving("e._own", now)}, 'out', concat(run.out, array({now})))).out""")
+    rows = s.join(entering, ["_part", "_block"]).select(F.inline(F.arrays_zip(F.col("_rows").alias("_e"), states.alias("_state"))))
+    legal = F.expr("shiftright(_e._mask, CAST(_state AS INT)) & 1L = 1L")
+    names = F.expr("array(" + ", ".join(f"'{x}'" for x in STATES) + ")")
+    return rows.select(*[F.col("_e._event")[c].alias(c) for c in cols], F.get(names, F.col("_state").cast("int")).alias("from_status"), legal.alias("legal"))
 
 
 def final_status(machine: DataFrame, key: str, order: list[str], to: str = "to_status") -> DataFrame:
