@@ -41,20 +41,34 @@ def group_quantiles(df: DataFrame, groups: list[str], value: str, probs: dict[st
 
 # --- splits -----------------------------------------------------------------
 
-def walk_forward(panel: DataFrame, order: list[str], n_splits: int = 5, gap: int = 5, min_train: int | None = None) -> DataFrame:
-    """Rows with (fold, role): expanding train, purge gap, validation block."""
+def _placed(panel: DataFrame, order: list[str], n_splits: int, gap: int) -> DataFrame:
+    """Rows with their position and the size of a block; too small a panel is an error."""
     if n_splits < 2:
         raise ValueError("n_splits must be >= 2")
     p = sorted_positions(panel, [], order, "_pos", "_n")
     size = F.floor(F.col("_n") / (n_splits + 1))
-    size = F.when(size <= gap, F.raise_error(F.lit("panel too small for the purge gap")).cast("bigint")).otherwise(size)
-    p = p.withColumn("_size", size).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
-    train_end = F.col("_size") * (F.col("fold") + 1)
+    return p.withColumn("_size", F.when(size <= gap, F.raise_error(F.lit("panel too small for the purge gap")).cast("bigint")).otherwise(size))
+
+
+def _role(fold: Column, gap: int, min_train: int | None = None) -> Column:
+    """What a placed row is in a fold: train, valid or null."""
+    train_end = F.col("_size") * (fold + 1)
     start = train_end + gap
     end = F.least(start + F.col("_size"), F.col("_n"))
-    role = F.when(F.col("_pos") < train_end, "train").when((F.col("_pos") >= start) & (F.col("_pos") < end), "valid")
     usable = (start < F.col("_n")) & (train_end >= (F.lit(min_train) if min_train else F.col("_size")))
-    return p.withColumn("role", role).filter(F.col("role").isNotNull() & usable).drop("_pos", "_n", "_size")
+    return F.when(usable & (F.col("_pos") < train_end), "train").when(usable & (F.col("_pos") >= start) & (F.col("_pos") < end), "valid")
+
+
+def walk_forward(panel: DataFrame, order: list[str], n_splits: int = 5, gap: int = 5, min_train: int | None = None) -> DataFrame:
+    """Rows with (fold, role): expanding train, purge gap, validation block."""
+    p = _placed(panel, order, n_splits, gap).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
+    return p.withColumn("role", _role(F.col("fold"), gap, min_train)).filter(F.col("role").isNotNull()).drop("_pos", "_n", "_size")
+
+
+def fold_roles(panel: DataFrame, order: list[str], n_splits: int = 5, gap: int = 5, min_train: int | None = None) -> DataFrame:
+    """The folds of ``walk_forward`` with every row once: an array ``roles`` holds its role in each fold."""
+    p = _placed(panel, order, n_splits, gap)
+    return p.withColumn("roles", F.array(*[_role(F.lit(k), gap, min_train) for k in range(n_splits)])).drop("_pos", "_n", "_size")
 
 
 def _cut(val_size: float, test_size: float) -> Column:
