@@ -23,7 +23,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
-from .evaluation import group_quantiles, regression_metrics
+from .evaluation import fold_roles, group_quantiles, regression_metrics
 
 FLAT = 1e-12  # a variance below this share of the overall one counts as none
 MODEL = "fold int, features string, alpha double, n_train long, n_valid long, intercept double, coef array<double>, fill array<double>, sse double, sum_y double, sum_yy double"
@@ -35,6 +35,11 @@ def number(c: str) -> Column:
     return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
 
 
+def fold_roles_of(panel: DataFrame, order: list[str], cols: list[str], n_splits: int, gap: int) -> DataFrame:
+    """``fold_roles`` of the labelled rows, with the columns a model reads and no others."""
+    return fold_roles(panel.filter(number("target").isNotNull()).select(*order, "target", *cols), order, n_splits, gap)
+
+
 def units(rows: DataFrame, cols: list[str]) -> list[tuple[float, float]]:
     """(mean, deviation) of the known values of each column: units of the products only, each fold scales again."""
     row = rows.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in cols]).first()
@@ -76,6 +81,15 @@ def train_medians(rows: DataFrame, cols: list[str]) -> DataFrame:
     return group_quantiles(counted, ["fold", "feature"], "v", {"median": 0.5}).select("fold", "feature", "median")
 
 
+def filled_folds(rows: DataFrame, cols: list[str], target: str, keys: list[str]) -> DataFrame:
+    """(keys, fold, role, target, features): rows of every fold with its train medians filled in, 0 where it has none."""
+    rows = rows.select(*keys, "roles", F.col(target).cast("double").alias("target"), *[number(c).alias(c) for c in cols])
+    fill = train_medians(rows, cols).groupBy("fold").agg(F.map_from_entries(F.collect_list(F.struct("feature", "median"))).alias("_m"))  # one entry per column
+    fill = fill.select("fold", F.transform(F.array(*[F.lit(c) for c in cols]), lambda c: F.coalesce(F.element_at("_m", c), F.lit(0.0))).alias("_m"))
+    long = rows.select(*keys, "target", F.array(*cols).alias("_x"), F.posexplode("roles").alias("fold", "role")).filter(F.col("role").isNotNull())
+    return long.join(fill, "fold").select(*keys, "fold", "role", "target", array_to_vector(F.zip_with("_x", "_m", lambda x, m: F.coalesce(x, m))).alias("features"))
+
+
 def solve(train: np.ndarray, valid: np.ndarray, fill: np.ndarray, pick: np.ndarray, alphas: list[float]) -> Iterator[tuple]:
     """(alpha, intercept, coefficients, squared validation error) per penalty.
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fixed import STOP_WORDS
 from ..session import cut_lineage
+from . import gram
 from .evaluation import group_quantiles, regression_metrics
 
 # Model settings.
@@ -25,6 +28,8 @@ FOREST = dict(numTrees=200, maxDepth=6, minInstancesPerNode=20, featureSubsetStr
 BOOSTED = dict(maxIter=200, stepSize=0.05, maxDepth=3, subsamplingRate=0.8, seed=0)
 TEXT = dict(max_features=20_000, min_df=2.0, max_df=0.85)
 SVD_COMPONENTS = 24
+ALPHAS = [0.1, 1.0, 10.0, 100.0]
+GRID = dict(forest_trees=(200, 400), forest_depth=(4, 6, 10), forest_leaf=(10, 20), boosted_rounds=(100, 200), boosted_step=(0.02, 0.05, 0.1), boosted_depth=(2, 3, 4))
 
 
 def routed_columns(panel: DataFrame) -> tuple[list[str], list[str]]:
@@ -155,10 +160,10 @@ def ridge(n: int, alpha: float = RIDGE_ALPHA) -> LinearRegression:
 
 
 def baseline_models(*, trees: int | None = None, rounds: int | None = None) -> dict[str, object]:
-    """Candidates by name; a function of the number of train rows where the setting depends on it."""
+    """The tree candidates by name; ridge comes from ``gram`` with penalty RIDGE_ALPHA."""
     forest = {**FOREST, **({"numTrees": trees} if trees else {})}
     boosted = {**BOOSTED, **({"maxIter": rounds} if rounds else {})}
-    return {"ridge": ridge, "random_forest": RandomForestRegressor(featuresCol="features", labelCol="target", **forest),
+    return {"random_forest": RandomForestRegressor(featuresCol="features", labelCol="target", **forest),
             "gradient_boosting": GBTRegressor(featuresCol="features", labelCol="target", **boosted)}
 
 
@@ -178,23 +183,45 @@ def walk_forward_predictions(folds: DataFrame, n_splits: int, fit: Callable[[Dat
     return out
 
 
-def grid_search(folds: DataFrame, n_splits: int, cols: list[str], candidates: dict[str, object]) -> DataFrame:
-    """Pooled scores of every candidate on the same folds, best first by R2.  A fold is prepared once for all candidates."""
-    keys = ["fold", "symbol", "as_of", "target"]
-    ready = []
-    for k in range(n_splits):
-        rows = folds.filter(F.col("fold") == k)
-        branch = NumericBranch(cols).fit(rows.filter(F.col("role") == "train"))
-        ready.append(cut_lineage(branch.transform(rows, "features").select(*keys, "role", "features")))
-    scores = None
-    for name, estimator in candidates.items():
-        pred = None
-        for rows in ready:
-            model = fit_model(rows.filter(F.col("role") == "train"), estimator)
-            p = model.transform(rows.filter(F.col("role") == "valid")).select("fold", "symbol", "as_of", F.col("target").alias("y"), F.col("prediction").alias("p"))
-            pred = p if pred is None else pred.unionByName(p)
-        m = regression_metrics(pred).filter(F.col("fold").isNull()).select(F.lit(name).alias("candidate"), "n", "r2", "rmse", "mae")
-        scores = m if scores is None else scores.unionByName(m)
+def grid_candidates() -> dict[str, object]:
+    """The tree candidates of the grid by name: 12 forests and 18 boosted ensembles."""
+    out: dict[str, object] = {}
+    for depth in GRID["forest_depth"]:
+        for leaf in GRID["forest_leaf"]:
+            for trees in GRID["forest_trees"]:
+                out[f"forest_{depth}_{leaf}_{trees}"] = RandomForestRegressor(featuresCol="features", labelCol="target", **{**FOREST, "maxDepth": depth, "minInstancesPerNode": leaf, "numTrees": trees})
+    for depth in GRID["boosted_depth"]:
+        for step in GRID["boosted_step"]:
+            for rounds in GRID["boosted_rounds"]:
+                out[f"boosted_{depth}_{step}_{rounds}"] = GBTRegressor(featuresCol="features", labelCol="target", maxDepth=depth, stepSize=step, maxIter=rounds, seed=0)
+    return out
+
+
+def grid_search(panel: DataFrame, order: list[str], cols: list[str], n_splits: int, gap: int, alphas: list[float], trees: dict[str, object], threads: int = 8) -> DataFrame:
+    """(candidate, n, r2, rmse, mae) pooled over the same folds, best R2 first.
+
+    ``order`` is unique per row.  All ridge penalties come from one scan
+    (``gram``).  Tree candidates are Spark ML fits on the folds' train rows;
+    ``threads`` of them are submitted at a time, since each is a chain of
+    small jobs.  A fold without train or validation rows is passed over.
+    """
+    rows = cut_lineage(gram.fold_roles_of(panel, order, cols, n_splits, gap))
+    scores = gram.ridge_scores(rows, cols, "target", order, alphas)
+    ready = cut_lineage(gram.filled_folds(rows, cols, "target", order))
+    folds = [r["fold"] for r in ready.groupBy("fold").agg(F.countDistinct("role").alias("n")).filter("n = 2").orderBy("fold").collect()]  # one row per fold
+
+    def predict(job: tuple[str, int]) -> DataFrame:
+        name, k = job
+        part = ready.filter(F.col("fold") == k)
+        model = trees[name].fit(part.filter(F.col("role") == "train"))
+        return model.transform(part.filter(F.col("role") == "valid")).select(F.lit(name).alias("candidate"), F.col("target").alias("y"), F.col("prediction").alias("p"))
+
+    jobs = [(name, k) for name in trees for k in folds]
+    if jobs:
+        with ThreadPoolExecutor(threads) as pool:
+            pred = reduce(DataFrame.unionByName, pool.map(predict, jobs))
+        pooled = regression_metrics(pred, by="candidate").filter(F.col("candidate").isNotNull())
+        scores = scores.unionByName(pooled.select("candidate", "n", "r2", "rmse", "mae"))
     return scores.orderBy(F.desc("r2"))
 
 

@@ -17,7 +17,7 @@ from ..sources import views
 from ..sources.tables import table, text_table
 from . import panel as pn
 from .cte import PRICES, with_
-from .q_panel import TARGET
+from .q_panel import TARGET, wide_panel
 from .q_documents import LEX
 from .q_returns import BY, rounded
 from .q_windows import GRID28, MONTHLY, WEEKLY
@@ -82,26 +82,30 @@ def _(spark, sf):
     return svd.transform(x, "svd").select("doc_id", F.size(vector_to_array("svd")).alias("n_components"), F.aggregate(vector_to_array("svd"), F.lit(0.0), lambda s, v: s + v * v).alias("energy"))
 
 
+PANEL_ORDER = ["meta_as_of", "meta_symbol"]
+# of the 30 tree candidates those that end in minutes on one machine; the README has the figures
+GRID_TREES = ["forest_4_10_200", "forest_4_20_200", "forest_6_10_200", "forest_6_20_200", "boosted_2_0.1_100", "boosted_3_0.1_100"]
+
+
 @query("models_baseline")
 def _(spark, sf):
-    folds = folds_of(compact_panel(spark, sf), 3, ev.purge_gap())
-    return md.grid_search(folds, 3, NUMERIC, md.baseline_models(rounds=20))
+    panel = cut_lineage(wide_panel(spark, sf))
+    return md.grid_search(panel, PANEL_ORDER, pn.numeric_features(panel), 5, ev.purge_gap(28), [md.RIDGE_ALPHA], md.baseline_models())
 
 
 @query("grid_search")
 def _(spark, sf):
-    folds = folds_of(compact_panel(spark, sf, MONTHLY), 2, ev.purge_gap(28))
-    from pyspark.ml.regression import RandomForestRegressor
-    cands = {f"ridge_{a}": lambda n, a=a: md.ridge(n, a) for a in (0.1, 1.0, 10.0, 100.0)}
-    cands.update({f"forest_{d}": RandomForestRegressor(featuresCol="features", labelCol="target", **{**md.FOREST, "maxDepth": d, "minInstancesPerNode": 10}) for d in (4, 6)})
-    return md.grid_search(folds, 2, NUMERIC, cands)
+    panel = cut_lineage(wide_panel(spark, sf))
+    trees = {k: v for k, v in md.grid_candidates().items() if k in GRID_TREES}
+    return md.grid_search(panel, PANEL_ORDER, pn.numeric_features(panel), 5, ev.purge_gap(28), md.ALPHAS, trees)
 
 
 @query("importance_by_group")
 def _(spark, sf):
-    panel = cut_lineage(compact_panel(spark, sf))
-    ready = md.NumericBranch(NUMERIC).fit(panel).transform(panel, "features")
-    groups, top = md.importances(md.fit_model(ready, md.baseline_models()["random_forest"]), NUMERIC, spark)
+    panel = cut_lineage(wide_panel(spark, sf))
+    cols = pn.numeric_features(panel)
+    ready = cut_lineage(md.NumericBranch(cols).fit(panel).transform(panel, "features").select("target", "features"))
+    groups, top = md.importances(md.fit_model(ready, md.baseline_models()["random_forest"]), cols, spark)
     return groups.select(F.lit("group").alias("kind"), F.col("grp").alias("name"), "importance").unionByName(top.select(F.lit("feature").alias("kind"), F.col("feature").alias("name"), "importance"))
 
 
