@@ -2,25 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes
 from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.mllib.linalg import Vectors as OldVectors
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.fixed import STOP_WORDS
 from ..session import cut_lineage
 from . import gram
-from .evaluation import group_quantiles, regression_metrics
+from .evaluation import fold_roles, group_quantiles, regression_metrics
+from .selection import top_per_key
+from .sparse import SparseRidge
 
 # Model settings.
 RIDGE_ALPHA = 1.0
@@ -28,6 +26,7 @@ FOREST = dict(numTrees=200, maxDepth=6, minInstancesPerNode=20, featureSubsetStr
 BOOSTED = dict(maxIter=200, stepSize=0.05, maxDepth=3, subsamplingRate=0.8, seed=0)
 TEXT = dict(max_features=20_000, min_df=2.0, max_df=0.85)
 SVD_COMPONENTS = 24
+ABLATION_ALPHA = 10.0
 ALPHAS = [0.1, 1.0, 10.0, 100.0]
 GRID = dict(forest_trees=(200, 400), forest_depth=(4, 6, 10), forest_leaf=(10, 20), boosted_rounds=(100, 200), boosted_step=(0.02, 0.05, 0.1), boosted_depth=(2, 3, 4))
 
@@ -107,6 +106,15 @@ class TextBranch:
         return x.drop(*[f"{c}__{s}" for s in ("t", "w", "s", "b", "g", "tf", "x")])
 
 
+def term_counts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, term, tf): word 1-2-grams of every text, stop words left out first."""
+    words = F.regexp_extract_all(F.col("_t"), F.lit(r"(?U)\w\w+"), F.lit(0))
+    d = plain(df.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("_t")), "_t")
+    d = d.select(*keys, F.filter(words, lambda w: ~w.isin(STOP_WORDS)).alias("_w"))
+    pairs = F.zip_with(F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0))), F.slice("_w", 2, F.greatest(F.size("_w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    return d.select(*keys, F.explode(F.concat("_w", pairs)).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+
+
 def tfidf_rows(df: DataFrame, key: str, text: str, max_features: int = TEXT["max_features"], min_df: float = TEXT["min_df"], max_df: float = TEXT["max_df"]) -> DataFrame:
     """(key, term, tfidf): the text branch as sparse rows, unit length per key.
 
@@ -114,11 +122,7 @@ def tfidf_rows(df: DataFrame, key: str, text: str, max_features: int = TEXT["max
     a share ``max_df`` of the texts, the ``max_features`` most frequent (ties
     by term).  Only that vocabulary is broadcast.
     """
-    words = F.regexp_extract_all(F.col("_t"), F.lit(r"(?U)\w\w+"), F.lit(0))
-    d = plain(df.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t")), "_t")
-    d = d.select(key, F.filter(words, lambda w: ~w.isin(STOP_WORDS)).alias("_w"))
-    pairs = F.zip_with(F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0))), F.slice("_w", 2, F.greatest(F.size("_w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    tf = cut_lineage(d.select(key, F.explode(F.concat("_w", pairs)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")))
+    tf = cut_lineage(term_counts(df, [key], text))
     n = df.count()
     counts = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).filter(F.col("df").between(min_df, max_df * n))
     vocab = counts.orderBy(F.desc("cf"), "term").limit(max_features).select("term", (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1).alias("idf"))
@@ -127,36 +131,51 @@ def tfidf_rows(df: DataFrame, key: str, text: str, max_features: int = TEXT["max
     return x.join(norm, key).select(key, "term", (F.col("v") / F.col("_l")).alias("tfidf"))
 
 
-class AdaptiveSVD:
-    """Truncated SVD to at most ``k`` components, fewer when the vocabulary or
-    the rows are few."""
-
-    def __init__(self, column: str, k: int = SVD_COMPONENTS):
-        self.column, self.k = column, k
-
-    def fit(self, df: DataFrame) -> "AdaptiveSVD":
-        width = len(df.select(self.column).first()[0])
-        k = max(1, min(self.k, width - 1))
-        rows = df.select(self.column).rdd.map(lambda r: OldVectors.fromML(r[0]))
-        svd = RowMatrix(rows, numCols=width).computeSVD(k, computeU=False)
-        self.singular, self.components = [float(v) for v in svd.s.toArray()], svd.V.toArray()
-        return self
-
-    def transform(self, df: DataFrame, out: str) -> DataFrame:
-        comps = self.components  # vocabulary x k, both bounded by parameters
+def fold_tfidf(rows: DataFrame, keys: list[str], text: str, max_features: int = TEXT["max_features"], min_df: float = TEXT["min_df"], max_df: float = TEXT["max_df"]) -> DataFrame:
+    """(keys, fold, term, i, tfidf): ``tfidf_rows`` of every fold of ``fold_roles``, the vocabulary learned on its train rows.
 
-        @F.pandas_udf("array<double>")
-        def project(idx: pd.Series, val: pd.Series) -> pd.Series:
-            return pd.Series([(np.asarray(x) @ comps[np.asarray(i, dtype=int)]).tolist() if len(i) else [0.0] * comps.shape[1] for i, x in zip(idx, val)])
-
-        sparse = df.withColumn("_a", vector_to_array(self.column))
-        sparse = sparse.withColumn("_i", F.filter(F.transform("_a", lambda x, i: F.when(x != 0, i)), lambda i: i.isNotNull())).withColumn("_v", F.filter("_a", lambda x: x != 0))
-        return sparse.withColumn(out, array_to_vector(project("_i", "_v"))).drop("_a", "_i", "_v")
-
-
-def ridge(n: int, alpha: float = RIDGE_ALPHA) -> LinearRegression:
-    """Penalty alpha on the summed loss equals alpha / n on the mean loss of n train rows."""
-    return LinearRegression(featuresCol="features", labelCol="target", elasticNetParam=0.0, regParam=alpha / max(n, 1), standardization=False)
+    Each text is cut into terms once.  ``i`` numbers a fold's terms in their
+    order; a null text has no terms.
+    """
+    tf = cut_lineage(term_counts(rows, [*keys, "roles"], text))
+    sizes = rows.select(F.posexplode("roles").alias("fold", "role")).filter(F.col("role") == "train").groupBy("fold").agg(F.count("*").alias("_n"))
+    placed = tf.select(*keys, "term", "tf", F.posexplode("roles").alias("fold", "role")).filter(F.col("role").isNotNull())
+    counts = placed.filter(F.col("role") == "train").groupBy("fold", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).join(sizes, "fold")
+    counts = counts.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("_n")))
+    vocab = top_per_key(counts, ["fold"], [F.desc("cf"), "term"], max_features).select("fold", "term", (F.log((F.col("_n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    vocab = vocab.withColumn("i", F.row_number().over(W.partitionBy("fold").orderBy("term")) - 1)  # at most max_features rows a fold
+    x = placed.join(vocab, ["fold", "term"]).withColumn("v", F.col("tf") * F.col("idf"))
+    norm = x.groupBy("fold", *keys).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("_l"))
+    return x.join(norm, ["fold", *keys]).select(*keys, "fold", "term", "i", (F.col("v") / F.col("_l")).alias("tfidf"))
+
+
+def ablation(panel: DataFrame, order: list[str], cols: list[str], text: str, n_splits: int, gap: int, alpha: float = ABLATION_ALPHA, max_features: int = TEXT["max_features"], tol: float = 1e-9) -> DataFrame:
+    """(features, n, r2, rmse, mae) of ridge on the numeric columns, the text, and both, over the same folds.
+
+    Numeric columns are filled with the train median and scaled; the text is
+    the tf-idf of its 1-2-grams, vocabulary of the train rows.  Nothing is
+    made dense over the vocabulary: all folds and sets are solved together by
+    conjugate gradients (``sparse.SparseRidge``).
+    """
+    both = panel.filter(gram.number("target").isNotNull()).select(*order, "target", text, *cols)
+    rows = cut_lineage(fold_roles(both, order, n_splits, gap))
+    words = fold_tfidf(rows, order, text, max_features)
+    numeric = cut_lineage(gram.filled_folds(rows, cols, "target", order).withColumn("_x", vector_to_array("features")).drop("features"))
+    stats = numeric.filter(F.col("role") == "train").select("fold", F.posexplode("_x").alias("j", "x")).groupBy("fold", "j").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+    stats = stats.groupBy("fold").agg(F.array_sort(F.collect_list(F.struct("j", "m", "s"))).alias("_s"))  # one entry per column
+    stride = max_features + len(cols)
+    scaled = F.zip_with("_x", "_s", lambda x, s: F.when(s["s"] > F.abs(s["m"]) * 1e-12, (x - s["m"]) / s["s"]).otherwise(0.0))
+    entries = F.filter(F.transform(scaled, lambda v, j: F.struct((F.col("fold") * stride + max_features + j).cast("int").alias("i"), v.alias("v"))), lambda e: e["v"] != 0)
+    wide = numeric.join(stats, "fold").select(*order, "fold", "role", "target", entries.alias("_n"))
+    terms = words.groupBy("fold", *order).agg(F.array_sort(F.collect_list(F.struct((F.col("fold") * stride + F.col("i")).cast("int").alias("i"), F.col("tfidf").alias("v")))).alias("_t"))  # at most max_features entries
+    joined = wide.join(terms, ["fold", *order], "left").withColumn("_e", F.concat(F.coalesce("_t", F.array().cast("array<struct<i:int,v:double>>")), "_n"))
+    ready = cut_lineage(joined.select("fold", "role", "target", F.col("_e.i").alias("idx"), F.col("_e.v").alias("val")))
+    is_text = np.arange(stride) < max_features
+    masks = np.column_stack([~is_text, is_text, np.ones(stride, bool)]).astype(float)
+    model = SparseRidge(alpha, tol).fit(ready.filter(F.col("role") == "train"), "target", list(range(n_splits)), stride, masks)
+    p = model.transform(ready.filter(F.col("role") == "valid"), ["target"])
+    named = p.select(F.col("target").alias("y"), F.explode(F.map_from_arrays(F.array(*[F.lit(v) for v in ("numeric", "text", "both")]), "p")).alias("features", "p"))
+    return regression_metrics(named, by="features").filter(F.col("features").isNotNull()).select("features", "n", "r2", "rmse", "mae")
 
 
 def baseline_models(*, trees: int | None = None, rounds: int | None = None) -> dict[str, object]:
@@ -167,22 +186,6 @@ def baseline_models(*, trees: int | None = None, rounds: int | None = None) -> d
             "gradient_boosting": GBTRegressor(featuresCol="features", labelCol="target", **boosted)}
 
 
-def fit_model(train: DataFrame, estimator):
-    """``estimator`` may be a function of the number of train rows."""
-    return (estimator(train.count()) if callable(estimator) else estimator).fit(train)
-
-
-def walk_forward_predictions(folds: DataFrame, n_splits: int, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """One fit per fold on its train rows only; predictions of all folds."""
-    out = None
-    for k in range(n_splits):
-        rows = folds.filter(F.col("fold") == k)
-        apply = fit(rows.filter(F.col("role") == "train"))
-        p = apply(rows.filter(F.col("role") == "valid")).select("fold", "symbol", "as_of", F.col("target").alias("y"), F.col("prediction").alias("p"))
-        out = p if out is None else out.unionByName(p)
-    return out
-
-
 def grid_candidates() -> dict[str, object]:
     """The tree candidates of the grid by name: 12 forests and 18 boosted ensembles."""
     out: dict[str, object] = {}

@@ -11,6 +11,7 @@ from ..operators import documents as doc
 from ..operators import evaluation as ev
 from ..operators import models as md
 from ..operators import returns as ret
+from ..operators import sparse as sp
 from ..operators.windows import edges
 from ..session import cut_lineage
 from ..sources import views
@@ -20,32 +21,9 @@ from .cte import PRICES, with_
 from .q_panel import TARGET, wide_panel
 from .q_documents import LEX
 from .q_returns import BY, rounded
-from .q_windows import GRID28, MONTHLY, WEEKLY
+from .q_windows import GRID28, MONTHLY
 from .registry import query
 
-NUMERIC = ["eq_vol_21d", "eq_vol_63d", "eq_ret_5d", "eq_ret_21d", "tech_sma_21d", "ds3_n_docs", "ds3_sentiment"]
-KEYS = ["symbol", "as_of"]
-
-
-def compact_panel(spark, sf, grid=WEEKLY):
-    """A narrow labelled panel; the wide one feeds the same functions."""
-    px = views.prices(spark, sf)
-    w = ret.history(BY)
-    f = ret.with_returns(px, BY)
-    vol = lambda n: F.when(F.count("lr").over(w.rowsBetween(-n + 1, 0)) >= max(5, n // 4), F.stddev_samp("lr").over(w.rowsBetween(-n + 1, 0)) * (252 ** 0.5))
-    f = f.select("symbol", "date", vol(21).alias("eq_vol_21d"), vol(63).alias("eq_vol_63d"), F.log(F.col("adj_close") / F.lag("adj_close", 5).over(w)).alias("eq_ret_5d"),
-                 F.log(F.col("adj_close") / F.lag("adj_close", 21).over(w)).alias("eq_ret_21d"), (F.col("adj_close") / F.avg("adj_close").over(w.rowsBetween(-20, 0)) - 1).alias("tech_sma_21d"))
-    at = edges(f, grid, by=BY).drop("date")
-    recent = doc.sentiment_summary(doc.doc_scores(views.docs(spark, sf), LEX), grid, BY, ["news_recent"]).select(
-        *KEYS, F.col("n_docs").cast("double").alias("ds3_n_docs"), F.col("sentiment_mean").alias("ds3_sentiment"))
-    target = pn.compute_target(px, grid).filter(F.col("target").isNotNull())
-    return at.join(recent, KEYS, "left").join(target, KEYS)
-
-
-def folds_of(panel, n_splits, gap):
-    return cut_lineage(ev.walk_forward(panel, ["as_of", "symbol"], n_splits, gap))
-
-
 @query("preprocess_numeric", with_(PRICES, GRID28, TARGET, """e AS (SELECT symbol, as_of, vol_21d, LN(adj_close) AS lvl FROM t1 JOIN grid ON date < as_of AND (nxt IS NULL OR nxt >= as_of) WHERE as_of < DATE '2000-09-01'),
 l AS (SELECT 'eq_vol_21d' AS feature, vol_21d AS v FROM e UNION ALL SELECT 'eq_level', CASE WHEN dayofmonth(as_of) % 3 <> 0 THEN lvl END FROM e),
 m AS (SELECT feature, QUANTILE_CONT(v, 0.5) AS med FROM l GROUP BY feature)""") + """
@@ -75,11 +53,10 @@ def _(spark, sf):
 
 @query("adaptive_svd")
 def _(spark, sf):
-    d = text_table(spark, sf, "documents").select("doc_id", F.col("text").alias("text_body"))
-    b = md.TextBranch("text_body", max_features=300, ngrams=False).fit(d)
-    x = cut_lineage(b.transform(d, "tfidf").select("doc_id", "tfidf"))
-    svd = md.AdaptiveSVD("tfidf").fit(x)
-    return svd.transform(x, "svd").select("doc_id", F.size(vector_to_array("svd")).alias("n_components"), F.aggregate(vector_to_array("svd"), F.lit(0.0), lambda s, v: s + v * v).alias("energy"))
+    d = text_table(spark, sf, "documents").select("doc_id", "text")
+    rows, vocab = sp.sparse_rows(md.tfidf_rows(d, "doc_id", "text"), d, "doc_id", "term", "tfidf")
+    svd = sp.SparseSVD(md.SVD_COMPONENTS).fit(rows, vocab.count())
+    return svd.transform(rows, "doc_id").select("doc_id", F.size("svd").alias("n_components"), F.aggregate("svd", F.lit(0.0), lambda s, v: s + v * v).alias("energy"))
 
 
 PANEL_ORDER = ["meta_as_of", "meta_symbol"]
@@ -105,36 +82,15 @@ def _(spark, sf):
     panel = cut_lineage(wide_panel(spark, sf))
     cols = pn.numeric_features(panel)
     ready = cut_lineage(md.NumericBranch(cols).fit(panel).transform(panel, "features").select("target", "features"))
-    groups, top = md.importances(md.fit_model(ready, md.baseline_models()["random_forest"]), cols, spark)
+    groups, top = md.importances(md.baseline_models()["random_forest"].fit(ready), cols, spark)
     return groups.select(F.lit("group").alias("kind"), F.col("grp").alias("name"), "importance").unionByName(top.select(F.lit("feature").alias("kind"), F.col("feature").alias("name"), "importance"))
 
 
 @query("ablation")
 def _(spark, sf):
-    panel = compact_panel(spark, sf, MONTHLY).join(
-        doc.window_corpus(views.docs(spark, sf), MONTHLY, ["news_recent"]).select(*KEYS, F.col("corpus").alias("text_recent")), KEYS, "left")
-    folds = folds_of(panel, 2, ev.purge_gap(28))
-
-    def fitter(parts):
-        def fit(train):
-            branch = md.TextBranch("text_recent", max_features=200, ngrams=False).fit(train) if "text" in parts else None
-            numeric = md.NumericBranch(NUMERIC).fit(train) if "numeric" in parts else None
-
-            def features(df):
-                if numeric:
-                    df = numeric.transform(df, "numeric")
-                if branch:
-                    df = branch.transform(df, "textual")
-                cols = (["numeric"] if numeric else []) + (["textual"] if branch else [])
-                return VectorAssembler(inputCols=cols, outputCol="features").transform(df)
-            model = md.ridge(train.count()).fit(features(train))
-            return lambda df: model.transform(features(df))
-        return fit
-    out = None
-    for label, parts in (("numeric", {"numeric"}), ("text", {"text"}), ("both", {"numeric", "text"})):
-        m = ev.regression_metrics(md.walk_forward_predictions(folds, 2, fitter(parts))).filter(F.col("fold").isNull()).select(F.lit(label).alias("features"), "n", "r2", "rmse", "mae")
-        out = m if out is None else out.unionByName(m)
-    return out
+    panel = cut_lineage(wide_panel(spark, sf))
+    corpus = doc.window_corpus(views.docs(spark, sf), MONTHLY, ["news_recent"]).select(F.col("symbol").alias("meta_symbol"), F.col("as_of").alias("meta_as_of"), F.col("corpus").alias("text_recent"))
+    return md.ablation(panel.join(corpus, PANEL_ORDER, "left"), PANEL_ORDER, pn.numeric_features(panel), "text_recent", 5, ev.purge_gap(28))
 
 
 def labelled_docs(spark, sf):
