@@ -21,6 +21,8 @@ from ..session import cut_lineage
 
 EXTRA = 10  # vectors beyond the components asked for
 DEPTH = 8   # blocks of the subspace before it is restarted
+CHUNK = 256      # columns summed as one vector between tasks
+RANGE = 1 << 16  # entries multiplied at a time
 
 
 def sparse_rows(long: DataFrame, keys: DataFrame, key: str, term: str, value: str) -> tuple[DataFrame, DataFrame]:
@@ -48,28 +50,43 @@ def batch_matrix(batch: pa.RecordBatch, name_i: str = "idx", name_v: str = "val"
     return np.repeat(np.arange(len(size)), size), idx.flatten().to_numpy(), values
 
 
+def added(out: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
+    """Adds rows of values to ``out`` at sorted places."""
+    if len(at):
+        start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        out[at[start]] += np.add.reduceat(values, start, axis=0)
+
+
 def times(row: np.ndarray, col: np.ndarray, val: np.ndarray, n: int, x: np.ndarray) -> np.ndarray:
     """A x for the n rows of a batch, entry ranges at a time."""
     out = np.zeros((n, x.shape[1]))
-    for lo in range(0, len(row), 1 << 16):
-        part = slice(lo, lo + (1 << 16))
-        np.add.at(out, row[part], val[part, None] * x[col[part]])
+    for lo in range(0, len(row), RANGE):
+        part = slice(lo, lo + RANGE)
+        added(out, row[part], val[part, None] * x[col[part]])
     return out
 
 
 def back(row: np.ndarray, col: np.ndarray, val: np.ndarray, y: np.ndarray, out: np.ndarray) -> None:
     """Adds Aᵀ y of a batch to ``out``."""
-    for lo in range(0, len(row), 1 << 16):
-        part = slice(lo, lo + (1 << 16))
-        np.add.at(out, col[part], val[part, None] * y[row[part]])
+    for lo in range(0, len(row), RANGE):
+        part = lo + np.argsort(col[lo:lo + RANGE], kind="stable")
+        added(out, col[part], val[part, None] * y[row[part]])
+
+
+def blocks(total: np.ndarray) -> pa.RecordBatch:
+    """(i, y): the blocks of CHUNK columns that a task touched."""
+    padded = np.vstack([total, np.zeros((-len(total) % CHUNK, total.shape[1]))]).reshape(-1, CHUNK * total.shape[1])
+    at = np.flatnonzero(padded.any(axis=1))
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(list(padded[at]), pa.list_(pa.float64()))], ["i", "y"])
 
 
 def gathered(parts: DataFrame, width: int, size: int) -> np.ndarray:
-    """Sum of (i, y) rows by i as a size x width block."""
-    total = np.zeros((size, width))
-    for r in parts.groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector("y"))).alias("y")).collect():  # at most one row per term
-        total[r["i"]] = r["y"]
-    return total
+    """Sum of the tasks' blocks as a size x width array."""
+    total = np.zeros((-(-size // CHUNK), CHUNK * width))
+    t = parts.groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector("y"))).alias("y")).toArrow()  # one row per block of terms
+    if t.num_rows:
+        total[t["i"].to_numpy()] = t["y"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+    return total.reshape(-1, width)[:size]
 
 
 def normal_product(rows: DataFrame, x: np.ndarray) -> np.ndarray:
@@ -79,8 +96,7 @@ def normal_product(rows: DataFrame, x: np.ndarray) -> np.ndarray:
         for batch in batches:
             row, col, val = batch_matrix(batch)
             back(row, col, val, times(row, col, val, batch.num_rows, x), total)
-        at = np.flatnonzero(np.any(total != 0, axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(list(total[at]), pa.list_(pa.float64()))], ["i", "y"])
+        yield blocks(total)
 
     tasks = rows.coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism).select("idx", "val")
     return gathered(tasks.mapInArrow(partial, "i int, y array<double>"), x.shape[1], x.shape[0])
@@ -94,8 +110,7 @@ def target_sums(rows: DataFrame, size: int, y: str) -> np.ndarray:
             row, col, val = batch_matrix(batch)
             t = batch.column(2).to_numpy(zero_copy_only=False)
             back(row, col, val, np.column_stack([np.ones(len(t)), t]), total)
-        at = np.flatnonzero(np.any(total != 0, axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(list(total[at]), pa.list_(pa.float64()))], ["i", "y"])
+        yield blocks(total)
 
     return gathered(rows.select("idx", "val", F.col(y).cast("double")).mapInArrow(partial, "i int, y array<double>"), 2, size)
 
@@ -182,7 +197,7 @@ class SparseSVD:
     the rank have singular value 0; without any term the only one is 0.
     """
 
-    def __init__(self, k: int = 24, tol: float = 1e-8, max_steps: int = 200, seed: int = 0):
+    def __init__(self, k: int = 24, tol: float = 1e-7, max_steps: int = 200, seed: int = 0):
         self.k, self.tol, self.max_steps, self.seed = k, tol, max_steps, seed
 
     def fit(self, rows: DataFrame, n_terms: int) -> "SparseSVD":
