@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -313,6 +314,63 @@ def test_windows_are_optimal():
         assert cost(ends) == min(best[p] for p in [0, *place] if place[-1] - p < 25)
 
 
+def cheapest(places, inner, end, size):
+    """Cost and cost + place of the best cuts up to every token, each token a place."""
+    best = {0: 0.0}
+    for p in range(1, end + 1):
+        best[p] = min(best[q] + size - (p - q) + places.get(p, inner) for q in range(max(0, p - size), p))
+    return best
+
+
+def test_windows_end_at_any_token():
+    r = random.Random(6)
+    for _ in range(60):
+        end, size, inner = r.randrange(1, 400), 16, float(r.choice((5, 9, 32)))
+        places = {p: r.choice((0.0, 4.0)) for p in (*r.sample(range(1, end + 1), r.randrange(end + 1) // r.choice((1, 3, 20))), end)}
+        ends, tail = packing.windows(sorted(places), [places[p] for p in sorted(places)], 0, size, inner)
+        assert all(0 < b - a <= size for a, b in zip([0, *ends], ends)) and (ends[-1] if ends else 0) == tail
+        best = cheapest(places, inner, end, size)
+        got = sum(size - (b - a) + places.get(b, inner) for a, b in zip([0, *ends], ends))
+        assert got == best[tail] == min(best[p] for p in best if end - p < size)
+
+
+def test_every_sentence_end_is_a_cut_point():
+    ends, sentences = [40, 700], np.array([3, 5, 9, 40, 47, 50, 51, 690, 695])
+    place, penalty = packing.cut_points(ends, sentences, 4)
+    assert place == [5, 9, 40, 47, 50, 51, 690, 695, 700]
+    assert [p for p, x in zip(place, penalty) if not x] == ends and set(penalty) == {0.0, packing.SENTENCE_PENALTY}
+
+
+def test_packing_costs_least():
+    """A block of short and long sentences, cut as if every token had been tried."""
+    r = random.Random(7)
+    for size in (16, 64):
+        packer = packing.Packer(0, size)
+        for i in range(8):
+            n = r.randrange(1, 300)
+            packer.add(i, bytes(4 * n), np.array(sorted(r.sample(range(1, n + 1), n // r.choice((1, 2, 9, 60)))), np.int64))
+        places = {int(p): packing.SENTENCE_PENALTY for x in packer.sentences for p in x} | {p: 0.0 for p in packer.ends}
+        end = packer.end
+        best = cheapest(places, packing.INNER_PENALTY, end, size)
+        rows = packer.flush(False)
+        length = defaultdict(int)
+        for x in rows:
+            length[x[5]] += x[2]
+        stops = list(itertools.accumulate(length[k] for k in sorted(length)))
+        assert packer.start == (stops or [0])[-1]
+        got = sum(size - (b - a) + places.get(b, packing.INNER_PENALTY) for a, b in zip([0, *stops], stops))
+        assert got == min(best[p] for p in best if end - p < size)
+
+
+def test_sentence_ends_beside_special_tokens():
+    tool = packing.Words(WORDS)
+    mark = tool.marks[0].decode()
+    text = f"One two. Three {mark} four? Five"
+    (_, got), = [x for x in tool.encode(pa.array([text]))]
+    count = lambda x: len(tool.tokenizer.encode(x, add_special_tokens=False).ids)
+    assert got[0][1].tolist() == [count("One two."), count(f"One two. Three {mark} four?")]
+
+
 def test_packing_keeps_every_id_once(spark):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(WORDS)

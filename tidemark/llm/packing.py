@@ -1,14 +1,16 @@
 """Packing documents into training sequences by order-preserving dynamic programming.
 
 The token stream of a partition is cut into windows of at most ``size``
-tokens.  Window ends are chosen among document ends (free), sentence ends and
-places inside long sentences (both for a penalty), so that padding plus penalties are least.  Since padding is
-linear in the window's start, the best start is the minimum of a sliding
-window, kept in a monotone queue: each cut place is entered and left once.
+tokens.  Window ends are chosen among all document ends (free), all sentence
+ends and all other tokens (both for a penalty), so that padding plus penalties
+are least.  Since padding is linear in the window's start, the best start is
+the minimum of a sliding window, kept in a monotone queue: each cut place is
+entered and left once.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 from collections import deque
@@ -25,59 +27,48 @@ from tidemark.llm.pieces import Table, buffers, steps, tight
 SIZE = 4096
 SENTENCE_PENALTY = 4.0
 INNER_PENALTY = 32.0
-#: Sentence ends closer together than this are one place; gaps wider than STEP get places inside.
-NEAR = 32
-STEP = 96
 BLOCK = 1 << 20
 SENTENCE_END = re.compile("(?:[.!?]|…|。)(?:[\"')\\]]|”|’)*$".encode())
 
 
-def cut_points(ends: list[int], sentences: np.ndarray, start: int, size: int) -> tuple[list[int], list[float]]:
-    """Places where a window may end, with their penalties; wide gaps get places in between."""
+def cut_points(ends: list[int], sentences: np.ndarray, start: int) -> tuple[list[int], list[float]]:
+    """Every document end and every sentence end behind ``start``, with their penalties."""
     docs = np.asarray(ends, np.int64)
-    if len(sentences):
-        sentences = sentences[np.diff(sentences // NEAR, prepend=-1) != 0]
     place = np.union1d(docs, sentences)
     place = place[place > start]
-    penalty = np.where(np.isin(place, docs), 0.0, SENTENCE_PENALTY)
-    step = min(STEP, size)
-    edge = np.concatenate([[start], place])
-    room = (np.diff(edge) - 1) // step
-    if room.any():
-        nth = np.arange(int(room.sum())) - np.repeat(np.cumsum(room) - room, room) + 1
-        more = np.repeat(edge[:-1], room) + nth * step
-        place = np.concatenate([place, more])
-        penalty = np.concatenate([penalty, np.full(len(more), INNER_PENALTY)])
-        order = np.argsort(place, kind="stable")
-        place, penalty = place[order], penalty[order]
-    return place.tolist(), penalty.tolist()
-
-
-def windows(place: list[int], penalty: list[float], start: int, size: int) -> tuple[list[int], int]:
+    return place.tolist(), np.where(np.isin(place, docs), 0.0, SENTENCE_PENALTY).tolist()
+
+
+def windows(place: list[int], penalty: list[float], start: int, size: int, inner: float | None = None) -> tuple[list[int], int]:
     """The window ends of least cost, and where the last, unfinished window begins.
 
     cost(j, i) = size - (place[i] - place[j]) + penalty[i], so the best j for i
     minimises cost[j] + place[j] over the places within ``size`` before i.
+    With ``inner`` a window may also end at any token between the places, for
+    that penalty.  Of the tokens with the same best start the last one, where a
+    window is full, costs as much in cost[j] + place[j] and reaches farthest:
+    only it is entered, when its start leaves the queue, and nothing is lost.
     """
-    cost, back = [0.0], [-1]
-    spot = [start, *place]
+    spot, best, back = [start], [start + 0.0], [-1]  # best: cost + place
     queue: deque[int] = deque([0])
-    best = [start + 0.0]
-    for i in range(1, len(spot)):
-        at = spot[i]
-        while spot[queue[0]] < at - size:
-            queue.popleft()
-        j = queue[0]
-        value = best[j] + size - at + penalty[i - 1]
-        cost.append(value)
-        back.append(j)
-        key = value + at
+
+    def enter(at: int, j: int, extra: float) -> None:
+        key = best[j] + size + extra
+        spot.append(at)
         best.append(key)
+        back.append(j)
         while queue and best[queue[-1]] >= key:
             queue.pop()
-        queue.append(i)
+        queue.append(len(spot) - 1)
+    for at, extra in zip(place, penalty):
+        while spot[queue[0]] < at - size:
+            full = spot[queue[0]] + size
+            if inner is not None and full > spot[-1]:
+                enter(full, queue[0], inner)
+            queue.popleft()
+        enter(at, queue[0], extra)
     last = len(spot) - 1
-    i = min((k for k in range(last, -1, -1) if spot[last] - spot[k] < size), key=lambda k: cost[k]) if last else 0
+    i = min(itertools.takewhile(lambda k: spot[last] - spot[k] < size, range(last, -1, -1)), key=lambda k: best[k] - spot[k])
     # the places of less than a window before the end: the cheapest one starts what is carried on
     tail, ends = spot[i], []
     while i > 0:
@@ -107,6 +98,13 @@ class Words:
         got = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
         return [e.ids for e in got]
 
+    def marked(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and token counts at sentence ends, of one text with special tokens."""
+        got = self.tokenizer.encode(text, add_special_tokens=False)
+        stop = [m.end() for m in re.finditer(r"\S+", text) if SENTENCE_END.search(m[0].encode("utf-8", "replace"))]
+        to = np.maximum.accumulate(np.array([b for _, b in got.offsets], np.int64))
+        return np.array(got.ids, np.uint32), np.searchsorted(to, np.array(stop, np.int64), "right")
+
     def encode(self, column: pa.Array) -> Iterator[tuple[int, list[tuple[np.ndarray, np.ndarray]]]]:
         """(position of the first text, [(ids, token counts at sentence ends)]), a bounded step at a time."""
         data, off = buffers(column)
@@ -127,7 +125,7 @@ class Words:
                         for k in range(b - a):
                             text = raw[ends[k]:ends[k + 1]]
                             if mark in text:
-                                out[k] = (np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32), none)
+                                out[k] = self.marked(text.decode("utf-8", "replace"))
             yield a, out
 
 
@@ -177,8 +175,8 @@ class Packer:
         if self.end == self.start:
             return []
         sentences = np.concatenate(self.sentences) if self.sentences else np.zeros(0, np.int64)
-        place, penalty = cut_points(self.ends, sentences, self.start, self.size)
-        ends, tail = windows(place, penalty, self.start, self.size)
+        place, penalty = cut_points(self.ends, sentences, self.start)
+        ends, tail = windows(place, penalty, self.start, self.size, INNER_PENALTY)
         if final:
             for n in binary_parts(self.end - tail, self.size):
                 tail += n
