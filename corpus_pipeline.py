@@ -27,7 +27,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies, the one of the smallest id: five-word resemblance of 0.8 or more."""
+    """Keeps one document of each group of near copies, the one of the smallest id: SimHash links and MinHash lists, verified at a five-word resemblance of 0.8 or more."""
     return resemblance.drop_near(docs)
 
 

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from tidemark.llm import resemblance
+from tidemark.llm import resemblance, simhash
 
 
 def brute_groups(texts):
@@ -102,3 +102,20 @@ def test_odd_rows(spark):
     assert sorted((r["doc_id"] or 0, r["row"] or 0.0) for r in kept.collect()) == [(0, 0.0), (1, 1.0), (2, 3.0), (5, 0.0)]
     assert {(r["id"], r["component"]) for r in resemblance.groups(docs).collect()} == {(1, 1), (None, 1), (2, 2), (None, None), (7, 5), (5, 5)}
     assert resemblance.drop_near(docs.limit(0)).count() == 0
+
+
+def test_simhash_links_are_followed_and_verified(spark, monkeypatch):
+    """With no pair from lists or rare shingles, texts whose fingerprints link are one group only if they resemble each other."""
+    r = random.Random(21)
+    while True:
+        words = [f"w{r.randrange(10 ** 6)}" for _ in range(400)]
+        other = [*words[:200], "changed", *words[201:]]
+        if 0 < (simhash.fingerprint(" ".join(words)) ^ simhash.fingerprint(" ".join(other))).bit_count() <= 2:
+            break
+    beat = "a b c " * 50
+    unlike = [beat + " ".join(f"{k}{r.randrange(10 ** 6)}" for _ in range(20)) for k in "xy"]
+    assert simhash.fingerprint(unlike[0]) == simhash.fingerprint(unlike[1])
+    for name in ("head_pairs", "rare_pairs"):
+        monkeypatch.setattr(resemblance, name, lambda *a, f=getattr(resemblance, name): f(*a).filter("false"))
+    docs = spark.createDataFrame(list(enumerate([" ".join(words), " ".join(other), *unlike])), "doc_id bigint, text string")
+    assert {x["id"]: x["component"] for x in resemblance.groups(docs).collect()} == {0: 0, 1: 0, 2: 2, 3: 3}

@@ -1,13 +1,19 @@
-"""Near copies by the resemblance of word shingles: MinHash bands and rare shingles propose pairs, whole shingle sets decide.
+"""Near copies by SimHash links, MinHash bands and rare shingles, each verified by the resemblance of whole texts.
 
 Resemblance is the Jaccard similarity of two texts' sets of five-word
-shingles.  Texts of one set are one member.  A member is listed under 16 bands
-of four minima; two members of resemblance 0.8 share a band with probability
-1 - (1 - 0.8^4)^16 = 0.9998, of 0.9 with more than 0.9999999.
-
-Lists are not joined with themselves.  In a few rounds one member of each list
-is held against the others, as long as the links found leave a list apart; a
-group of copies grows together at a few pairs per member.  Members of lists
+shingles.  Texts of one set are one member.
+
+The SimHash index links fingerprints within two bits (``simhash.links``: they
+meet in a list of six positional bytes).  Two bits miss many pairs of
+resemblance 0.8, and some fingerprints within two bits are of texts that
+resemble each other less: every link is verified, and MinHash bands list the
+members for what the fingerprints leave apart.  A member is listed under 16
+bands of four minima; two members of resemblance 0.8 share a band with
+probability 1 - (1 - 0.8^4)^16 = 0.9998, of 0.9 with more than 0.9999999.
+
+Lists are not joined with themselves.  In a few rounds, the first beside the
+SimHash links, one member of each list is held against the others, as long as
+the links found leave a list apart; a group of copies grows together at a few pairs per member.  Members of lists
 that stay apart meet by their rare shingles: in any common order the first
 shingle that two sets of resemblance s share has so few before it that the rest
 can still hold the overlap they need, so no pair among them is missed, and
@@ -25,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tidemark.llm import common as c
+from tidemark.llm import common as c, simhash
 from tidemark.llm.graph import components, dealt
 from tidemark.session import cut_lineage
 
@@ -73,23 +79,24 @@ def bands(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(df: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(row, id, member, n, bits, keys): the hash of a text's whole shingle set, its size, its short sketch and its band keys."""
+    """(row, id, fp, member, n, bits, keys): a text's SimHash fingerprint, the hash of its whole shingle set, its size, its short sketch and its band keys."""
     src = c.only(df, id=id_col, text=text_col).withColumn("row", F.monotonically_increasing_id())
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c.held(("resemblance",), object)  # frees what an earlier stage held
         for part in c.small(batches, rows=256):
-            member, size, bits, keys = [], [], [], []
+            fp, member, size, bits, keys = [], [], [], [], []
             for t in part.column("text").to_pylist():
                 s = shingles(t, words)
                 key, low = bands(s)
+                fp.append(simhash.fingerprint(t))
                 member.append(xxhash.xxh64_intdigest(s.tobytes(), 7))
                 size.append(len(s))
                 bits.append(low.view(np.int64))
                 keys.append(key.view(np.int64) if len(s) else np.zeros(0, np.int64))
-            cols = [part.column("row"), part.column("id"), pa.array(np.array(member, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["row", "id", "member", "n", "bits", "keys"])
-    return src.mapInArrow(task, c.struct(("row", c.LONG), ("id", c.column_type(src, "id")), ("member", c.LONG), ("n", c.LONG), ("bits", T.ArrayType(c.LONG)), ("keys", T.ArrayType(c.LONG))))
+            cols = [part.column("row"), part.column("id"), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(np.array(member, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["row", "id", "fp", "member", "n", "bits", "keys"])
+    return src.mapInArrow(task, c.struct(("row", c.LONG), ("id", c.column_type(src, "id")), ("fp", c.LONG), ("member", c.LONG), ("n", c.LONG), ("bits", T.ArrayType(c.LONG)), ("keys", T.ArrayType(c.LONG))))
 
 
 def sets(df: DataFrame, rows: DataFrame, words: int, text_col: str) -> DataFrame:
@@ -105,10 +112,21 @@ def sets(df: DataFrame, rows: DataFrame, words: int, text_col: str) -> DataFrame
 
 
 def verified(pairs: DataFrame, whole: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets resemble each other at least so much."""
+    """The pairs (a, b, and whatever else) whose sets resemble each other at least so much."""
     both = pairs.join(whole.withColumnsRenamed({"member": "a", "s": "sa"}), "a").join(whole.withColumnsRenamed({"member": "b", "s": "sb"}), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared) - 1e-9).select("a", "b")
+    return both.filter(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared) - 1e-9).select(pairs.columns)
+
+
+def simhash_pairs(docs: DataFrame) -> DataFrame:
+    """(a, b, ra, rb), the roots being themselves: members whose fingerprints link in the SimHash index, and members of one fingerprint; one member stands for each fingerprint."""
+    prints = docs.filter("n > 0").select("fp", "member").distinct()
+    heads = c.written(prints.groupBy("fp").agg(F.min("member").alias("head")))
+    same = prints.join(dealt(heads), "fp").select(F.col("member").alias("a"), F.col("head").alias("b"))
+    of = lambda side: heads.select(F.col("fp").alias(side), F.col("head").alias(f"_{side}"))
+    linked = simhash.links(heads.select("fp")).join(of("a"), "a").join(of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    both = same.unionByName(linked).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return both.select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb")).distinct()
 
 
 def alike_in_size(a: Column, b: Column, similarity: float) -> Column:
@@ -127,17 +145,19 @@ def differing(a: Column, b: Column) -> Column:
 
 
 def head_pairs(listed: DataFrame, rounds: int, similarity: float) -> DataFrame:
-    """(a, b): a member of each list that has two roots, another one in every round, beside the members of other roots."""
+    """(a, b, ra, rb): members of lists that have two roots beside one of another root, another one in every round, and their roots."""
     order = F.xxhash64(F.lit(rounds), "member") if not rounds else F.xxhash64(F.lit(rounds), "band", "member")
     head = F.min(F.struct(order.alias("h"), "member", "n", "bits", "root")).alias("head")
     heads = listed.groupBy("band", "key").agg(head, F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("band", "key", "head")
     met = listed.join(dealt(heads), ["band", "key"]).filter("root <> head.root")
     near = met.filter(alike_in_size(F.col("n"), F.col("head.n"), similarity) & (differing(F.col("bits"), F.col("head.bits")) <= UNLIKE))
-    return near.select(F.least("member", "head.member").alias("a"), F.greatest("member", "head.member").alias("b")).distinct()
+    swap = F.col("member") > F.col("head.member")
+    ends = [F.when(swap == turn, F.col(f"head.{x}")).otherwise(F.col(x)).alias(to) for x, turn, to in (("member", True, "a"), ("member", False, "b"), ("root", True, "ra"), ("root", False, "rb"))]
+    return near.select(ends).distinct()
 
 
 def rare_pairs(members: DataFrame, whole: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, _root, shared): members (member, n, root) of different roots that share one of the rarest shingles of each.
+    """(a, b, ra, rb, shared): members (member, n, root) of different roots that share one of the rarest shingles of each.
 
     Rarity is the number of these members that have the shingle; a shingle of
     one member keeps its place among the rarest but meets nobody.
@@ -154,11 +174,13 @@ def rare_pairs(members: DataFrame, whole: DataFrame, similarity: float) -> DataF
     enough = rest >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("_n")) - 1e-9
     ordered = (F.col("n") < F.col("_n")) | ((F.col("n") == F.col("_n")) & (F.col("a") < F.col("_member")))
     met = smaller.join(larger, "x").filter((F.col("root") != F.col("_root")) & ordered & alike_in_size(F.col("n"), F.col("_n"), similarity) & enough)
-    return met.groupBy("a", F.col("_member").alias("b"), "_root").agg(F.count("*").alias("shared"))
+    return met.groupBy("a", F.col("_member").alias("b"), F.col("root").alias("ra"), F.col("_root").alias("rb")).agg(F.count("*").alias("shared"))
 
 
-def edges(roots: DataFrame) -> DataFrame:
-    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(member, root) after the links (ra, rb) between roots."""
+    up = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    return cut_lineage(roots.join(up.select(F.col("root").alias("_top"), F.col("node").alias("root")), "root", "left").select("member", F.coalesce("_top", "root").alias("root")))
 
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -175,26 +197,30 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     docs = c.written(signatures(df, words, id_col, text_col))
     first = F.min(F.struct(F.col("id").isNull().alias("null_id"), F.col("id"), F.col("row"))).alias("m")
     distinct = c.written(docs.groupBy("member").agg(first, *(F.first(x).alias(x) for x in ("n", "bits", "keys"))))
-    listed = distinct.select("member", "n", "bits", F.posexplode("keys").alias("band", "key"))
+    listed = distinct.select("member", F.posexplode("keys").alias("band", "key"))
     several = listed.groupBy("band", "key").agg(F.count("*").alias("_k")).filter("_k > 1").select("band", "key")
-    met = c.written(listed.join(several, ["band", "key"]))
-    rows = distinct.join(met.select("member").distinct(), "member", "left_semi").select(F.col("m.row").alias("row"), "member")
-    whole = c.written(sets(df, rows, words, text_col))
-    roots, known = None, met.withColumn("root", F.col("member"))
+    met = c.written(listed.join(several, ["band", "key"]).join(distinct.select("member", "n", "bits"), "member"))
+    near = cut_lineage(simhash_pairs(docs))
+    some = met.select("member").union(near.select("a")).union(near.select("b")).distinct()
+    chosen = c.written(distinct.join(some, "member", "left_semi").select(F.col("m.row").alias("row"), "member"))
+    whole = c.written(sets(df, chosen, words, text_col))
+    roots = chosen.select("member", F.col("member").alias("root"))
     for k in range(ROUNDS):
-        links = verified(head_pairs(known, k, similarity), whole, similarity)
-        roots = components(links if roots is None else links.unionByName(edges(roots)))
-        known = cut_lineage(met.join(roots.withColumnRenamed("node", "member"), "member", "left").withColumn("root", F.coalesce("root", "member")))
+        pairs = head_pairs(met.withColumn("root", F.col("member")) if not k else cut_lineage(met.join(roots, "member")), k, similarity)
+        pairs = pairs if k else pairs.unionByName(near).distinct()
+        roots = joined(roots, verified(pairs, whole, similarity))
+    known = met.join(roots, "member")
     apart = known.groupBy("band", "key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("band", "key")
     left = cut_lineage(known.join(apart, ["band", "key"], "left_semi").select("member", "n", "root").distinct())
     pairs = cut_lineage(rare_pairs(left, whole, similarity))
     # each member against its likeliest partner of every other group first: those that hold leave few pairs apart
-    likely = pairs.groupBy("a", "_root").agg(F.max_by("b", F.struct("shared", "b")).alias("b")).select("a", "b")
-    roots = components(verified(likely, whole, similarity).unionByName(edges(roots)))
-    of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"_{side}"))
-    apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).join(likely, ["a", "b"], "left_anti")
-    roots = components(verified(apart.select("a", "b"), whole, similarity).unionByName(edges(roots)))
-    member = distinct.join(roots.withColumnRenamed("node", "member"), "member", "left").withColumn("root", F.coalesce("root", "member"))
+    likely = pairs.groupBy("a", "rb").agg(F.max_by(F.struct("b", "ra"), F.struct("shared", "b")).alias("t")).select("a", "t.b", "t.ra", "rb")
+    tops = joined(left.select(F.col("root").alias("member"), "root").distinct(), verified(likely, whole, similarity))
+    of = lambda side: tops.select(F.col("member").alias(f"r{side}"), F.col("root").alias(f"_{side}"))
+    apart = pairs.join(of("a"), "ra").join(of("b"), "rb").filter("_a <> _b").join(likely, ["a", "b"], "left_anti").select("a", "b", F.col("_a").alias("ra"), F.col("_b").alias("rb"))
+    tops = joined(tops, verified(apart, whole, similarity)).select(F.col("member").alias("root"), F.col("root").alias("_top"))
+    roots = roots.join(tops, "root", "left").select("member", F.coalesce("_top", "root").alias("root"))
+    member = distinct.select("member", "m").join(roots, "member", "left").withColumn("root", F.coalesce("root", "member"))
     least = member.groupBy("root").agg(F.min("m").alias("m"))
     named = member.select("member", "root").join(least, "root").select("member", F.col("m.id").alias("component"), F.col("m.row").alias("_row"))
     return docs.join(named, "member").select("row", "id", "component", (F.col("row") == F.col("_row")).alias("kept"))
