@@ -10,7 +10,7 @@ from tidemark.session import cut_lineage
 def dealt(least: DataFrame) -> DataFrame:
     """Takes a node table out of the partitioning of its aggregate: only a join of two
     exchanges is one whose large partitions, the edges of a hub, Spark can split."""
-    return least.repartition(int(least.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return least.hint("rebalance")
 
 
 def large_star(e: DataFrame) -> DataFrame:
@@ -27,6 +27,13 @@ def small_star(e: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def settled(e: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour, a root, or is a root itself."""
+    ends = e.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(e.select(F.col("b").alias("node"), F.lit(0).alias("up")))
+    seen = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+    return not seen.filter("ups > 1 or ups = 1 and least = 0").agg(F.count("*")).first()[0]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of the component, for every node of an edge (a, b).
 
@@ -35,13 +42,7 @@ def components(edges: DataFrame) -> DataFrame:
     and repeated edges are allowed; nodes without an edge are not returned.
     """
     e = cut_lineage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    state = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-    before = state(e)
-    while before[0]:
+    while not settled(e):
         e = cut_lineage(small_star(large_star(e)))
-        now = state(e)
-        if now == before:
-            break
-        before = now
     roots = e.select(F.col("b").alias("node")).distinct().withColumn("root", F.col("node"))
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
