@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from tidemark.llm import resemblance, simhash
 
 
@@ -119,3 +120,40 @@ def test_simhash_links_are_followed_and_verified(spark, monkeypatch):
         monkeypatch.setattr(resemblance, name, lambda *a, f=getattr(resemblance, name): f(*a).filter("false"))
     docs = spark.createDataFrame(list(enumerate([" ".join(words), " ".join(other), *unlike])), "doc_id bigint, text string")
     assert {x["id"]: x["component"] for x in resemblance.groups(docs).collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
+def variants(n, seed, words=150, most=9):
+    """Variants of one text, each without one to ``most`` of its words: many pairs a little below the threshold, few shingles of one variant only."""
+    r = random.Random(seed)
+    return [" ".join(f"w{k}" for k in sorted(r.sample(range(words), words - r.randint(1, most)))) for _ in range(n)]
+
+
+def test_pairs_far_below_the_threshold_are_not_made(spark, monkeypatch):
+    """Rows of the join by rare shingles: of members that cannot share enough by their parities, none."""
+    made = []
+    plain = resemblance.rare_pairs
+
+    def counted(members, whole, similarity):
+        pairs = plain(members, whole, similarity).cache()
+        made.append(sum(r["shared"] for r in pairs.select("shared").collect()))
+        return pairs
+    monkeypatch.setattr(resemblance, "rare_pairs", counted)
+    texts = variants(400, 5)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {x["id"]: x["component"] for x in resemblance.groups(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_groups(texts)
+    assert sum(made) <= 10 * len(texts)
+
+
+def test_parities_bound_what_sets_share(spark):
+    r = random.Random(3)
+    rows = []
+    for _ in range(200):
+        pool = [r.randrange(1 << 64) for _ in range(r.choice((1, 20, 150, 2000)))]
+        both = pool[:r.randint(0, len(pool))]
+        a, b = ({*both, *(r.randrange(1 << 64) for _ in range(r.choice((0, 5, 100))))} for _ in range(2))
+        rows.append((*(resemblance.parity(np.array(sorted(s), np.uint64)).tolist() for s in (a, b)), len(a), len(b), len(a & b)))
+    df = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>, n bigint, m bigint, shared bigint")
+    got = df.select("n", "m", "shared", resemblance.may_share(df.a, df.b, df.n, df.m).alias("most")).collect()
+    assert all(x["shared"] <= x["most"] <= min(x["n"], x["m"]) + abs(x["n"] - x["m"]) / 2 for x in got)
+    assert sum(x["most"] - x["shared"] <= 2 for x in got) >= 50

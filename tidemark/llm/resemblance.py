@@ -18,8 +18,12 @@ that stay apart meet by their rare shingles: in any common order the first
 shingle that two sets of resemblance s share has so few before it that the rest
 can still hold the overlap they need, so no pair among them is missed, and
 texts that share a frequent passage but have a ninth of their own meet nowhere.
-Pairs grow with the square of a group only where texts are alike in more than
-three quarters of their shingles and still not linked through others.
+Those that meet are compared by 512 parities of each set: every parity in which
+two sets differ takes a shingle that only one of them has, so the parities bound
+from above what the sets can share, and no pair that resembles is passed over.
+Pairs grow with the square of a group only where texts are so near the threshold
+that the parities cannot tell (for 150 shingles from about 0.78 on) and still not
+linked through others.
 """
 
 from __future__ import annotations
@@ -43,6 +47,8 @@ ROUNDS = 2
 #: A head is held against those of which at most so many of 64 minima, cut to four bits, differ: nine in ten
 #: of resemblance 0.8.  What it passes over stays apart and meets by its rare shingles.
 UNLIKE = 16
+#: Parities kept of a set, a power of two.
+CELLS = 512
 SLICE = 4096
 
 _rng = np.random.Generator(np.random.Philox(key=[5, 8]))
@@ -78,6 +84,12 @@ def bands(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key, np.bitwise_or.reduce(bits, axis=1)
 
 
+def parity(members: np.ndarray) -> np.ndarray:
+    """The parities of how many shingles of a set fall in each cell, as longs; two sets' differ in at most as many as their symmetric difference has."""
+    cell = (members >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+    return np.packbits((np.bincount(cell, minlength=CELLS) & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
 def signatures(df: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """(row, id, fp, member, n, bits, keys): a text's SimHash fingerprint, the hash of its whole shingle set, its size, its short sketch and its band keys."""
     src = c.only(df, id=id_col, text=text_col).withColumn("row", F.monotonically_increasing_id())
@@ -100,19 +112,21 @@ def signatures(df: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
 
 
 def sets(df: DataFrame, rows: DataFrame, words: int, text_col: str) -> DataFrame:
-    """(member, s): the shingle sets of the members whose ``row`` is in ``rows`` (row, member)."""
+    """(member, s, parity): the shingle sets of the members whose ``row`` is in ``rows`` (row, member), and their parities."""
     src = c.only(df, text=text_col).withColumn("row", F.monotonically_increasing_id()).join(rows, "row").select("member", "text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c.held(("resemblance",), object)
         for part in c.small(batches, rows=64):
-            s = [shingles(t, words).view(np.int64) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("member"), pa.array(s, pa.list_(pa.int64()))], ["member", "s"])
-    return src.mapInArrow(task, c.struct(("member", c.LONG), ("s", T.ArrayType(c.LONG))))
+            s = [shingles(t, words) for t in part.column("text").to_pylist()]
+            cols = [part.column("member"), pa.array([x.view(np.int64) for x in s], pa.list_(pa.int64())), pa.array([parity(x) for x in s], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["member", "s", "parity"])
+    return src.mapInArrow(task, c.struct(("member", c.LONG), ("s", T.ArrayType(c.LONG)), ("parity", T.ArrayType(c.LONG))))
 
 
 def verified(pairs: DataFrame, whole: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b, and whatever else) whose sets resemble each other at least so much."""
+    whole = whole.select("member", "s")
     both = pairs.join(whole.withColumnsRenamed({"member": "a", "s": "sa"}), "a").join(whole.withColumnsRenamed({"member": "b", "s": "sb"}), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.filter(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared) - 1e-9).select(pairs.columns)
@@ -144,6 +158,14 @@ def differing(a: Column, b: Column) -> Column:
     return total
 
 
+def may_share(a: Column, b: Column, n: Column, m: Column) -> Column:
+    """At most how many shingles sets of n and m share, by their parities."""
+    odd = F.lit(0)
+    for i in range(CELLS // 64):
+        odd = odd + F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))))
+    return (n + m - odd) / 2
+
+
 def head_pairs(listed: DataFrame, rounds: int, similarity: float) -> DataFrame:
     """(a, b, ra, rb): members of lists that have two roots beside one of another root, another one in every round, and their roots."""
     order = F.xxhash64(F.lit(rounds), "member") if not rounds else F.xxhash64(F.lit(rounds), "band", "member")
@@ -157,7 +179,7 @@ def head_pairs(listed: DataFrame, rounds: int, similarity: float) -> DataFrame:
 
 
 def rare_pairs(members: DataFrame, whole: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, ra, rb, shared): members (member, n, root) of different roots that share one of the rarest shingles of each.
+    """(a, b, ra, rb, shared): members (member, n, root) of different roots that share one of the rarest shingles of each, and enough of all by their parities.
 
     Rarity is the number of these members that have the shingle; a shingle of
     one member keeps its place among the rarest but meets nobody.
@@ -168,10 +190,12 @@ def rare_pairs(members: DataFrame, whole: DataFrame, similarity: float) -> DataF
     # what a set of n must share with one of m or more, m >= n: s / (1 + s) (n + m)
     most = lambda share: F.col("n") - F.ceil(F.lit(share) * F.col("n") - 1e-9) + 1
     rare = has.join(often, "x").withColumn("place", place).filter(F.col("place") <= most(similarity)).filter("lo <> hi").select("x", "member", "n", "root", "place")
+    rare = rare.join(whole.select("member", "parity"), "member")
     smaller = rare.filter(F.col("place") <= most(2 * similarity / (1 + similarity))).withColumnRenamed("member", "a")
-    larger = rare.select("x", *(F.col(k).alias(f"_{k}") for k in ("member", "n", "root", "place")))
+    larger = rare.select("x", *(F.col(k).alias(f"_{k}") for k in ("member", "n", "root", "place", "parity")))
     rest = F.least(F.col("n") - F.col("place"), F.col("_n") - F.col("_place")) + 1
-    enough = rest >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("_n")) - 1e-9
+    most_shared = F.least(rest, may_share(F.col("parity"), F.col("_parity"), F.col("n"), F.col("_n")))
+    enough = most_shared >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("_n")) - 1e-9
     ordered = (F.col("n") < F.col("_n")) | ((F.col("n") == F.col("_n")) & (F.col("a") < F.col("_member")))
     met = smaller.join(larger, "x").filter((F.col("root") != F.col("_root")) & ordered & alike_in_size(F.col("n"), F.col("_n"), similarity) & enough)
     return met.groupBy("a", F.col("_member").alias("b"), F.col("root").alias("ra"), F.col("_root").alias("rb")).agg(F.count("*").alias("shared"))
