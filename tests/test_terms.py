@@ -106,3 +106,9 @@ def test_novelty_counts_every_term(spark, monkeypatch, top_n):
             if at.day <= 28 and all(tops):
                 want[s, at] = (len(tops[0]), len(tops[0] - tops[1]))
     assert want and {k: v for k, v in got.items() if k[1].day <= 28} == want
+
+
+def test_rows_and_matrix_exchange_nothing(spark, rows):
+    df = spark.createDataFrame([r for r in rows if r[0] is not None and r[0] != 3], "id long, t string").repartition(3)
+    for made in (md.tfidf_rows(df, "id", "t", 30), md.tfidf_matrix(df, "id", "t", 30)[0]):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
